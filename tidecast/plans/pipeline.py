@@ -1,0 +1,99 @@
+"""The three jobs of a forecast: prepare demand, train and select, score in batch."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidecast.config import DATE, BoostParams, ForecastConfig, lag_names, quoted, target_name, target_names
+from tidecast.operators.daily import attach_centers, attach_products, daily_demand
+from tidecast.operators.densify import densify
+from tidecast.operators.features import base_features, future_rows, template_features, with_targets, year_frequency
+from tidecast.operators.linear import fit_linear, score_linear, score_long
+from tidecast.operators.metrics import best_model, error_metrics, forecast_vs_actual, prediction_name
+from tidecast.operators.splits import SPLIT, with_split
+from tidecast.operators.trees import recursive_boosted
+from tidecast.sources.sinks import save_splits, save_table
+from tidecast.staging import stage
+
+LINEAR, BOOSTED = "linear", "boosted_recursive"
+
+
+def prepare_demand(items: DataFrame, products: DataFrame, centers: DataFrame, cfg: ForecastConfig,
+                   path: str | None = None) -> DataFrame:
+    """Loaded sources to daily demand labelled by split; written by split when a path is given."""
+    demand = with_split(daily_demand(attach_products(items, attach_centers(products, centers)), cfg.series, cfg), cfg)
+    if path:
+        save_splits(demand, path)
+        return demand.sparkSession.read.parquet(path)
+    return stage(demand, "demand")
+
+
+def direct_forecast(demand: DataFrame, model: DataFrame, cfg: ForecastConfig) -> DataFrame:
+    """(series, horizon, date, yhat) of the linear model for the days after ``demand`` ends."""
+    start = future_rows(densify(demand, cfg.series), cfg)
+    cells = score_long(start, model, cfg.series, [*cfg.series, DATE], lag_names(cfg.lags), [])
+    return cells.select(*cfg.series, "horizon", F.date_add(DATE, F.col("horizon") - 1).alias(DATE), "yhat")
+
+
+def linear_metrics(demand: DataFrame, model: DataFrame, cfg: ForecastConfig) -> DataFrame:
+    """Errors of the linear model per split over all rows with known targets."""
+    rows = base_features(demand, cfg, step_lags=False, targets=True)
+    return error_metrics(score_long(rows, model, cfg.series, [SPLIT]), [SPLIT]).select(F.lit(LINEAR).alias("model"), "*")
+
+
+@dataclass
+class Training:
+    linear: DataFrame     # coefficients, one row per series
+    forecasts: DataFrame  # (model, series, horizon, date, yhat) for the first days of validation
+    metrics: DataFrame    # (model, n, mae, …) on exactly those days
+    best: DataFrame       # (model, rmse)
+
+
+def train_and_select(demand: DataFrame, cfg: ForecastConfig, boost: BoostParams | None = None,
+                     refit: bool = False) -> Training:
+    """Fits both models on the train split and compares them on the same validation days.
+
+    Actual days come from the filled history, so days without demand count as zero.
+    """
+    train = demand.where(F.col(DATE) < F.lit(cfg.valid_from))
+    linear = stage(fit_linear(
+        base_features(demand, cfg, step_lags=False, targets=True).where(F.col(SPLIT) == "train"), cfg.series), "linear")
+    # The feature table of the train days alone: what it was encoded with is what the forecast uses.
+    frame = stage(template_features(train, cfg), "train")
+    boosted = stage(recursive_boosted(
+        frame, densify(train, cfg.series), year_frequency(frame), cfg, boost, refit), "boosted")
+
+    columns = [*cfg.series, "horizon", DATE, "yhat"]
+    forecasts = direct_forecast(train, linear, cfg).select(F.lit(LINEAR).alias("model"), *columns).unionByName(
+        boosted.select(F.lit(BOOSTED).alias("model"), *columns))
+    pairs = forecast_vs_actual(forecasts, densify(demand, cfg.series), cfg.series)
+    metrics = stage(error_metrics(pairs, ["model"]), "metrics")
+    return Training(linear, forecasts, metrics, best_model(metrics))
+
+
+def batch_predict(frame: DataFrame, model: DataFrame, cfg: ForecastConfig, path: str | None = None,
+                  only_with_targets: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(predictions, metrics) of a saved linear model on a feature table.
+
+    Predictions keep every feature row under the columns y_D+1 …; rows without a full set of
+    known targets carry nulls unless ``only_with_targets`` is off. Targets and features share
+    a row, so aligning them takes no join.
+    """
+    keys = (*cfg.series, SPLIT) if cfg.per_split else cfg.series
+    names = [quoted(t) for t in target_names(cfg.horizons)]
+    rows = frame if target_name(1) in frame.columns else with_targets(frame, keys, cfg.horizons)
+    complete = F.col(quoted(target_name(cfg.horizons))).isNotNull()
+    cells = score_long(rows.where(complete), model, cfg.series, [])
+    metrics = error_metrics(cells.withColumn("model", F.lit(LINEAR)), ["model"])
+    scored = score_linear(rows, model, cfg.series, n_y=cfg.horizons)
+    shown = {t: F.col(quoted(prediction_name(h))) for h, t in enumerate(target_names(cfg.horizons), 1)}
+    if only_with_targets:
+        shown = {t: F.when(complete, c) for t, c in shown.items()}
+    predictions = scored.withColumns(shown).drop("qty", *[prediction_name(h) for h in range(1, cfg.horizons + 1)])
+    if path:
+        save_table(predictions, path)
+        predictions = frame.sparkSession.read.parquet(path)
+    return predictions, metrics

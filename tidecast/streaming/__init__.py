@@ -1,0 +1 @@
+"""Intentionally empty: every input of the forecast is a batch table, there is no stream to serve."""
