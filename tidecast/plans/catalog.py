@@ -157,7 +157,8 @@ def features_qty_lags(spark, folder):
 
 @query
 def features_step_lags(spark, folder):
-    return plain(feat.with_step_lags(feat.with_day_step(dense(spark, folder), KEYS)))
+    rows = feat.with_step_lags(feat.with_day_step(dense(spark, folder), KEYS))
+    return plain(rows.where(F.col(quoted("day_step_D-14")).isNotNull()))
 
 
 @query
