@@ -59,8 +59,8 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Number of rows that repeat an earlier one in every column."""
-    return df.groupBy(*[F.col(quoted(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
+    return df.groupBy(*[F.col(quoted(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n")).agg(
+        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_duplicates"))
 
 
 def frequencies(df: DataFrame, columns: list[str], as_type: str) -> DataFrame:

@@ -7,12 +7,12 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.config import QTY, STEP, BoostParams, ForecastConfig, lag_names, quoted, step_lag_names, target_name
-from tidecast.operators.features import encode_year
 from tidecast.operators.metrics import prediction_name
 from tidecast.operators.recursion import recursive_forecast, series_state
 from tidecast.staging import stage
@@ -26,13 +26,16 @@ def tree_features(cfg: ForecastConfig) -> list[str]:
     return [STEP, *lag_names(cfg.lags), *step_lag_names(cfg.lags), *CALENDAR, *HOLIDAYS, "is_holiday", "year_freq"]
 
 
+def vector_of(features: list[str]) -> Column:
+    return array_to_vector(F.array(*[F.col(quoted(c)).cast("double") for c in features]))
+
+
 def assembled(df: DataFrame, features: list[str], label: str | None = None) -> DataFrame:
-    """Adds ``features``; names with '-' are aliased for the assembler only."""
-    plain = [f"__f{i}" for i in range(len(features))]
-    wide = df.withColumns({p: F.col(quoted(c)).cast("double") for p, c in zip(plain, features)})
+    """Adds the vector ``features``, and ``label`` if asked."""
+    columns = {"features": vector_of(features)}
     if label:
-        wide = wide.withColumn("label", F.col(quoted(label)).cast("double"))
-    return VectorAssembler(inputCols=plain, outputCol="features").transform(wide).drop(*plain)
+        columns["label"] = F.col(quoted(label)).cast("double")
+    return df.withColumns(columns)
 
 
 def boosted_regressor(params: BoostParams, **kw) -> GBTRegressor:
@@ -66,14 +69,15 @@ def recursive_boosted(frame: DataFrame, dense: DataFrame, frequency: DataFrame,
     """
     params, features = params or cfg.boost, tree_features(cfg)
     history = frame.select(*[F.col(quoted(c)) for c in features], QTY)
+    year_freq, vector = known_frequency(frequency), vector_of(features)
     model = None
 
     def predict(rows: DataFrame, step: int) -> DataFrame:
         nonlocal history, model
-        rows = encode_year(rows, frequency)
+        rows = rows.withColumn("year_freq", year_freq)
         if model is None or refit:
             model = fit_boosted(history, features, params)
-        predicted = model.transform(assembled(rows, features)).drop("features")
+        predicted = model.transform(rows.withColumn("features", vector)).drop("features")
         if refit:
             predicted = stage(predicted, "round")
             appended = predicted.withColumn(QTY, F.col("prediction")).select(
@@ -84,6 +88,15 @@ def recursive_boosted(frame: DataFrame, dense: DataFrame, frequency: DataFrame,
     return recursive_forecast(series_state(dense, cfg, step_first), predict, cfg)
 
 
+def known_frequency(frequency: DataFrame) -> Column:
+    """The learned frequencies as an expression on ``year``: a handful of calendar years, read once,
+    so that no round of a forecast needs a join. A year never seen gives 0."""
+    known = F.lit(0)
+    for r in frequency.select("year", "year_freq").collect():
+        known = F.when(F.col("year") == r.year, r.year_freq).otherwise(known)
+    return known.cast("bigint")
+
+
 def append_rows(history: DataFrame, rows: DataFrame) -> DataFrame:
     """History with the newly forecast rows; the quantity becomes fractional."""
     return history.withColumn(QTY, F.col(QTY).cast("double")).unionByName(rows)

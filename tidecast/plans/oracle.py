@@ -77,6 +77,14 @@ FRAME = f"""{dense(CUT)}, stepped AS (
 lagged AS (SELECT *, {lags()}, {step_lags()} FROM stepped),
 frame AS (SELECT *, {CALENDAR}, {HOLIDAYS} FROM lagged WHERE qty_d14 IS NOT NULL)"""
 
+SPLIT_DENSE = f"""{daily(CUT)}, lab AS (SELECT *, {SPLIT} AS split FROM daily),
+b AS (SELECT split, min(date) AS lo, max(date) AS hi FROM lab GROUP BY split),
+s AS (SELECT DISTINCT {DC}, split FROM lab),
+g AS (SELECT {DC}, split, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date
+      FROM s JOIN b USING (split)),
+dense AS (SELECT g.{DC}, g.split, g.date, CAST(coalesce(qty, 0) AS BIGINT) AS qty
+      FROM g LEFT JOIN lab ON lab.{DC} = g.{DC} AND lab.date = g.date)"""
+
 XY = f"""{dense(CUT)}, wide AS (SELECT *, CAST(row_number() OVER {W} AS BIGINT) AS day_step, {SPLIT} AS split,
   {lags()}, {leads()}, lead(date, 13) OVER {W} AS last_date FROM dense),
 xy AS (SELECT * FROM wide WHERE qty_d14 IS NOT NULL AND y_d14 IS NOT NULL
@@ -178,13 +186,7 @@ ORACLE = {
         FROM daily""",
     "dense_demand_one_series": f"WITH {dense(f'{DC} = 1')} SELECT date, qty FROM dense",
     "dense_demand_per_dc": f"WITH {dense()} SELECT * FROM dense",
-    "dense_demand_per_split": f"""WITH {daily(CUT)}, lab AS (SELECT *, {SPLIT} AS split FROM daily),
-        b AS (SELECT split, min(date) AS lo, max(date) AS hi FROM lab GROUP BY split),
-        s AS (SELECT DISTINCT {DC}, split FROM lab),
-        g AS (SELECT {DC}, split, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date
-              FROM s JOIN b USING (split))
-        SELECT g.{DC}, g.split, g.date, CAST(coalesce(qty, 0) AS BIGINT) AS qty
-        FROM g LEFT JOIN lab ON lab.{DC} = g.{DC} AND lab.date = g.date""",
+    "dense_demand_per_split": f"WITH {SPLIT_DENSE} SELECT * FROM dense",
     "backfill_attributes": f"""WITH {dense()}, known AS (SELECT d.*, CASE WHEN q.qty IS NOT NULL THEN n_name END AS nm
         FROM dense d LEFT JOIN daily q ON q.{DC} = d.{DC} AND q.date = d.date
         LEFT JOIN nation ON n_nationkey = d.{DC})
@@ -215,8 +217,8 @@ ORACLE = {
     "full_features_template": f"""WITH {FRAME}, f AS (SELECT year, count(*) AS n FROM frame WHERE split = 'train'
         GROUP BY year) SELECT frame.*, is_national_holiday + is_state_holiday AS is_holiday,
         coalesce(n, 0) AS year_freq FROM frame LEFT JOIN f USING (year)""",
-    "full_features_per_split": f"""WITH {dense(CUT)}, stepped AS (SELECT *, {SPLIT} AS split FROM dense),
-        st AS (SELECT *, row_number() OVER {W_SPLIT} - 1 AS day_step FROM stepped),
+    "full_features_per_split": f"""WITH {SPLIT_DENSE},
+        st AS (SELECT *, row_number() OVER {W_SPLIT} - 1 AS day_step FROM dense),
         lagged AS (SELECT *, {lags(W_SPLIT)}, {step_lags(W_SPLIT)} FROM st),
         frame AS (SELECT *, {CALENDAR}, {HOLIDAYS} FROM lagged WHERE qty_d14 IS NOT NULL)
         SELECT *, is_national_holiday + is_state_holiday AS is_holiday,
