@@ -4,7 +4,7 @@ from conftest import SMALL
 
 from tidecast.operators import daily, features as feat
 from tidecast.plans.catalog import CUT, KEYS, QUERIES, demand
-from tidecast.sources import tables
+from tidecast.sources import sinks, tables
 
 
 def plan(df) -> str:
@@ -35,3 +35,28 @@ def test_fact_joins_survive_without_broadcast(spark):
         assert {tuple(r) for r in df.collect()} == small
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_only_needed_tables_are_joined(spark):
+    text = plan(QUERIES["items_per_product"](spark, SMALL))
+    assert "orders" not in text and "supplier" not in text and "Join" not in text
+
+
+def test_forecast_state_needs_no_window(spark):
+    text = plan(feat.future_rows(demand(spark, SMALL, CUT), CUT))
+    assert "Window" not in text and "Generate" not in text
+
+
+def test_bucketed_facts_join_without_a_shuffle(spark, tmp_path):
+    for name, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+        sinks.save_bucketed(tables.table(spark, SMALL, name), f"bucketed_{name}", (key,), 4, str(tmp_path / name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        items, orders = spark.table("bucketed_lineitem"), spark.table("bucketed_orders")
+        text = plan(items.join(orders, items.l_orderkey == orders.o_orderkey, "left"))
+        assert "SortMergeJoin" in text and "Exchange" not in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE bucketed_lineitem")
+        spark.sql("DROP TABLE bucketed_orders")

@@ -87,7 +87,7 @@ def test_mix_adds_up_and_scales(spark, series):
         f"product_id int, created_at string, {CENTER} bigint").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
     from tidecast.operators.daily import daily_demand
     demand = daily_demand(items)
-    mix = planning.product_mix(items, demand, planning.last_day(demand))
+    mix = planning.product_mix(items, demand, planning.history_of(demand)[1])
     assert {(r.product_id, r.units): r.mix for r in mix.collect()} == {(1, 2): pytest.approx(2 / 3), (2, 1): pytest.approx(1 / 3)}
     units = spark.createDataFrame([(1, 30.0)], f"{CENTER} bigint, units double")
     assert {r.product_id: r.expected_units for r in planning.product_demand(mix, units).collect()} == {

@@ -64,20 +64,29 @@ def without_statuses(items: DataFrame, statuses) -> DataFrame:
     return items.where(F.col("status").isNull() | ~F.col("status").isin(*statuses))
 
 
-def daily_demand(items: DataFrame, keys: tuple[str, ...] = (CENTER,), cfg: ForecastConfig | None = None,
-                 created_at: str = "created_at") -> DataFrame:
-    """Units per (keys, date). One item is one unit; rows with a null key or day are dropped.
+def units(items: DataFrame, keys: tuple[str, ...] = (CENTER,), cfg: ForecastConfig | None = None,
+          created_at: str = "created_at") -> DataFrame:
+    """(keys, date, qty = 1) per item; items with a null key or day are dropped.
 
-    Every filter sits below the aggregate, where the scans can use it. The count combines map
-    side, so a key that holds a third of the facts moves as one row per task and day.
+    Every filter sits below whatever aggregates the units, where the scans can use it.
     """
     if cfg:
         items = without_statuses(keep_centers(items, cfg.centers), cfg.exclude_statuses)
         items = before(items, created_at, cfg.cutoff)
     for k in keys:
         items = items.where(F.col(k).isNotNull())
-    dated = items.select(*keys, utc_date(items, created_at).alias(DATE)).where(F.col(DATE).isNotNull())
-    return dated.groupBy(*keys, DATE).agg(F.count(F.lit(1)).alias(QTY))
+    return items.select(*keys, utc_date(items, created_at).alias(DATE), F.lit(1).alias(QTY)).where(
+        F.col(DATE).isNotNull())
+
+
+def daily_demand(items: DataFrame, keys: tuple[str, ...] = (CENTER,), cfg: ForecastConfig | None = None,
+                 created_at: str = "created_at") -> DataFrame:
+    """Units per (keys, date). One item is one unit.
+
+    The count combines map side, so a key that holds a third of the facts moves as one row per
+    task and day.
+    """
+    return units(items, keys, cfg, created_at).groupBy(*keys, DATE).agg(F.count(F.lit(1)).alias(QTY))
 
 
 def with_attributes(demand: DataFrame, dimension: DataFrame, key: str = CENTER) -> DataFrame:

@@ -11,7 +11,7 @@ from tidecast.config import (
 from tidecast.functions.calendar import (
     calendar_columns, cyclic_columns, holiday_columns, month_day, year_week,
 )
-from tidecast.operators.densify import densify
+from tidecast.operators.densify import date_bounds, densify
 from tidecast.operators.splits import SPLIT, split_label, targets_inside_split
 
 
@@ -65,6 +65,33 @@ def year_frequency(df: DataFrame, fit_on: str | None = "train") -> DataFrame:
             .agg(F.count(F.lit(1)).alias("year_freq")))
 
 
+def dense_year_frequency(demand: DataFrame, cfg: ForecastConfig) -> DataFrame:
+    """``year_frequency`` of the rows ``base_features`` makes of ``demand``, without making them.
+
+    Every series has a row for each day of the range but its first ``cfg.lags``, so a year counts
+    its days times the number of series: one distinct over the sparse table.
+    """
+    if cfg.cutoff is not None:
+        demand = demand.where(F.col(DATE) < F.lit(cfg.cutoff))
+    demand = demand.withColumn(SPLIT, split_label(F.col(DATE), cfg))
+    by = [SPLIT] if cfg.per_split else []
+    # Distinct first, then a count: a hot series collapses map side.
+    n_series = demand.select(*by, *cfg.series).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n_series"))
+    bounds = date_bounds(demand, DATE, tuple(by))
+    if by:
+        ranges = bounds.join(n_series, by)
+    else:
+        ranges = bounds.withColumn("n_series", n_series.scalar())
+    first = F.date_add("first_day", cfg.lags)
+    days = ranges.where(first <= F.col("last_day")).select(
+        "n_series", F.explode(F.sequence(first, F.col("last_day"))).alias(DATE))
+    days = days.withColumn(SPLIT, split_label(F.col(DATE), cfg))
+    count = F.sum("n_series").alias("year_freq")
+    if cfg.year_freq_fit_on == "split":
+        return days.groupBy(SPLIT, F.year(DATE).alias("year")).agg(count)
+    return days.where(F.col(SPLIT) == "train").groupBy(F.year(DATE).alias("year")).agg(count)
+
+
 def encode_year(df: DataFrame, frequency: DataFrame) -> DataFrame:
     """Joins the frequencies; a year never seen gets 0. The table has one row per calendar year (and
     split), a bound set by the calendar, which makes the broadcast safe."""
@@ -103,9 +130,7 @@ def base_features(demand: DataFrame, cfg: ForecastConfig, step_first: int = 1, s
 def template_features(demand: DataFrame, cfg: ForecastConfig, targets: bool = False) -> DataFrame:
     """Full feature table: zero-based step, lags of quantity and step, calendar, holidays, year_freq."""
     frame = with_calendar(base_features(demand, cfg, step_first=0, targets=targets), cfg)
-    fit_on = None if cfg.year_freq_fit_on == "split" else "train"
-    seen = base_features(demand, cfg, step_first=0, step_lags=False)
-    return encode_year(frame, year_frequency(seen, fit_on))
+    return encode_year(frame, dense_year_frequency(demand, cfg))
 
 
 def multi_center_features(demand: DataFrame, cfg: ForecastConfig, targets: bool = False) -> DataFrame:
@@ -161,12 +186,27 @@ def ends_of_series(df: DataFrame, keys, n: int = 14) -> DataFrame:
         "end", F.explode(picks)).drop("head_pos", "tail_pos")
 
 
-def future_rows(dense: DataFrame, cfg: ForecastConfig, step_first: int = 1) -> DataFrame:
-    """One row per series for the day after its end: its lags are the last known quantities."""
-    keys = cfg.series
-    w = _by_series(keys)
-    lagged = dense.withColumns({STEP: (F.row_number().over(w) + step_first).cast("bigint"), **{
-        lag_name(i): (F.lag(QTY, i - 1).over(w) if i > 1 else F.col(QTY)) for i in range(1, cfg.lags + 1)
-    }})
-    latest = last_row(lagged.drop(QTY), keys)
-    return latest.withColumn(DATE, F.date_add(DATE, 1)).where(F.col(quoted(lag_name(cfg.lags))).isNotNull())
+def recent_quantities(demand: DataFrame, keys, n: int = 14) -> DataFrame:
+    """(keys, date, n_days, recent): the last day of the table, the length of its range, and the
+    quantities of the last ``n`` days of each series, newest first, silent days as zero.
+
+    A conditional sum per day: no gap fill, no window, one shuffle that combines map side. A
+    range shorter than ``n`` days gives no rows. Takes sparse or dense demand.
+    """
+    bounds = date_bounds(demand, DATE)
+    rows = demand.withColumns({
+        "__first": bounds.select("first_day").scalar(), "__last": bounds.select("last_day").scalar()})
+    age = F.datediff("__last", DATE)
+    sums = rows.groupBy(*keys).agg(
+        F.max("__last").alias(DATE), (F.datediff(F.max("__last"), F.max("__first")) + 1).alias("n_days"),
+        *[F.sum(F.when(age == i, F.col(QTY)).otherwise(0)).alias(f"__{i}") for i in range(n)])
+    return sums.where(F.col("n_days") >= n).select(
+        *keys, DATE, "n_days", F.array(*[f"__{i}" for i in range(n)]).alias("recent"))
+
+
+def future_rows(demand: DataFrame, cfg: ForecastConfig, step_first: int = 1) -> DataFrame:
+    """One row per series for the day after the end: its lags are the last known quantities."""
+    last = recent_quantities(demand, cfg.series, cfg.lags)
+    return last.select(
+        *cfg.series, F.date_add(DATE, 1).alias(DATE), (F.col("n_days") + step_first).cast("bigint").alias(STEP),
+        *[F.col("recent")[i - 1].alias(lag_name(i)) for i in range(1, cfg.lags + 1)])

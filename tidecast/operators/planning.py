@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.config import CENTER, DATE, QTY, ForecastConfig
 from tidecast.operators.daily import before, since
-from tidecast.operators.densify import densify
+from tidecast.operators.densify import date_bounds
 from tidecast.operators.features import base_features, future_rows
 from tidecast.operators.linear import fit_linear, score_long
 
@@ -21,9 +21,9 @@ AVERAGE_DAYS = 90
 MIX_MONTHS = 3
 
 
-def last_day(demand: DataFrame) -> dt.date | None:
-    """The last day with demand: one value, read to prune the scans that depend on it."""
-    return demand.agg(F.max(DATE)).first()[0]
+def history_of(demand: DataFrame) -> tuple[dt.date, dt.date]:
+    """First and last day with demand: two values, read to prune the scans that depend on them."""
+    return tuple(date_bounds(demand).first())
 
 
 def two_week_demand(demand: DataFrame, cfg: ForecastConfig) -> DataFrame:
@@ -33,8 +33,7 @@ def two_week_demand(demand: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """
     rows = base_features(demand, cfg, step_lags=False, targets=True, within_split=False)
     model = fit_linear(rows, cfg.series)
-    tomorrow = future_rows(densify(demand, cfg.series), cfg)
-    cells = score_long(tomorrow, model, cfg.series, [*cfg.series, DATE], y=[])
+    cells = score_long(future_rows(demand, cfg), model, cfg.series, [*cfg.series, DATE], y=[])
     return cells.groupBy(*cfg.series, F.col(DATE).alias("first_day")).agg(F.sum("yhat").alias("units"))
 
 
@@ -74,32 +73,34 @@ def product_demand(mix: DataFrame, center_units: DataFrame, product: str = "prod
         CENTER, product, "units", "mix", (F.col("mix") * F.col("expected")).alias("expected_units"))
 
 
-def recent_average(demand: DataFrame, keys, as_of: Column | dt.date | None = None,
-                   days: int = AVERAGE_DAYS) -> DataFrame:
+def recent_average(demand: DataFrame, keys, days: int = AVERAGE_DAYS,
+                   history: tuple[dt.date, dt.date] | None = None) -> DataFrame:
     """(keys, avg_qty): mean over the last ``days`` calendar days, silent days counting as zero.
 
     Dividing by the number of days replaces the gap fill; a history shorter than the window
-    divides by its own length. Series without recent demand stay, with 0.
+    divides by its own length. Series without recent demand stay, with 0. ``demand`` may hold
+    several rows a day, such as ``daily.units``: with ``history`` (first and last day) given it
+    is read once and reduced by one shuffle, whatever the grain of ``keys``.
     """
-    if as_of is None:
-        as_of = demand.agg(F.max(DATE).alias("d")).scalar()
-    elif not isinstance(as_of, Column):
-        as_of = F.lit(as_of)
-    first = demand.agg(F.min(DATE).alias("d")).scalar()
-    rows = demand.withColumns({"__end": as_of, "__first": first})
-    span = F.least(F.lit(days), F.datediff("__end", "__first") + 1)
-    recent = (F.col(DATE) > F.date_sub(F.col("__end"), days)) & (F.col(DATE) <= F.col("__end"))
+    if history:
+        first, last = F.lit(history[0]), F.lit(history[1])
+    else:
+        bounds = date_bounds(demand)
+        first, last = bounds.select("first_day").scalar(), bounds.select("last_day").scalar()
+    rows = demand.withColumns({"__first": first, "__last": last})
+    recent = (F.col(DATE) > F.date_sub(F.col("__last"), days)) & (F.col(DATE) <= F.col("__last"))
+    span = F.least(F.lit(days), F.datediff(F.max("__last"), F.max("__first")) + 1)
     return rows.groupBy(*keys).agg(
-        (F.coalesce(F.sum(F.when(recent, F.col(QTY))), F.lit(0)) / F.first(span)).alias("avg_qty"))
+        (F.sum(F.when(recent, F.col(QTY)).otherwise(0)) / span).alias("avg_qty"))
 
 
-def safety_stock(demand: DataFrame, keys, as_of=None) -> DataFrame:
+def safety_stock(demand: DataFrame, keys, history=None) -> DataFrame:
     """One week of average demand."""
-    return recent_average(demand, keys, as_of).withColumn("safety_stock", F.col("avg_qty") * SAFETY_DAYS)
+    return recent_average(demand, keys, history=history).withColumn("safety_stock", F.col("avg_qty") * SAFETY_DAYS)
 
 
-def order_quantity(demand: DataFrame, keys, as_of=None) -> DataFrame:
+def order_quantity(demand: DataFrame, keys, history=None) -> DataFrame:
     """Gross units to order for two months and the lead time, on top of the safety stock."""
     need = F.col("avg_qty") * (PLAN_DAYS + LEAD_TIME) + F.col("safety_stock")
     # Rounding first keeps a whole number from being lifted by a stray last bit.
-    return safety_stock(demand, keys, as_of).withColumn("order_qty", F.ceil(F.round(need, 6)))
+    return safety_stock(demand, keys, history).withColumn("order_qty", F.ceil(F.round(need, 6)))

@@ -4,28 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.config import DATE, QTY, STEP, ForecastConfig, lag_name, step_lag_name
+from tidecast.config import DATE, STEP, ForecastConfig, lag_name, step_lag_name
 from tidecast.functions.calendar import calendar_columns, holiday_columns
-from tidecast.operators.features import last_row
+from tidecast.operators.features import recent_quantities
 from tidecast.staging import stage
 
 STATE = "recent"  # the last quantities of a series, newest first
 
 
-def series_state(dense: DataFrame, cfg: ForecastConfig, step_first: int = 1) -> DataFrame:
-    """(series, date, day_step, recent): the last day of each series and its latest quantities.
-
-    One row per series; the array has a fixed length, series shorter than that drop out.
-    """
-    w = Window.partitionBy(*cfg.series).orderBy(DATE)
-    recent = F.array(F.col(QTY), *[F.lag(QTY, i).over(w) for i in range(1, cfg.lags)])
-    marked = dense.withColumns({STEP: (F.row_number().over(w) + (step_first - 1)).cast("bigint"), STATE: recent})
-    state = last_row(marked.select(*cfg.series, DATE, STEP, STATE), cfg.series)
-    return state.where(~F.exists(STATE, lambda v: v.isNull())).withColumn(
-        STATE, F.col(STATE).cast("array<double>"))
+def series_state(demand: DataFrame, cfg: ForecastConfig, step_first: int = 1) -> DataFrame:
+    """(series, date, day_step, recent): one row per series at the last day of the table, with its
+    latest quantities in an array of fixed length."""
+    last = recent_quantities(demand, cfg.series, cfg.lags)
+    return last.select(*cfg.series, DATE, (F.col("n_days") + (step_first - 1)).cast("bigint").alias(STEP),
+                       F.col("recent").cast("array<double>").alias(STATE))
 
 
 def next_day_columns(cfg: ForecastConfig) -> dict[str, Column]:

@@ -59,9 +59,9 @@ def fit_boosted(frame: DataFrame, features: list[str], params: BoostParams, labe
         data.unpersist()
 
 
-def recursive_boosted(frame: DataFrame, dense: DataFrame, frequency: DataFrame, cfg: ForecastConfig,
+def recursive_boosted(frame: DataFrame, demand: DataFrame, frequency: DataFrame, cfg: ForecastConfig,
                       params: BoostParams | None = None, refit: bool = False, step_first: int = 0) -> DataFrame:
-    """(series, horizon, date, yhat) for the days after ``dense`` ends.
+    """(series, horizon, date, yhat) for the days after ``demand`` ends.
 
     ``frame`` are the training rows of the template table, ``frequency`` the year frequencies
     they were encoded with. ``refit`` trains again each round on the history plus the forecasts
@@ -85,7 +85,7 @@ def recursive_boosted(frame: DataFrame, dense: DataFrame, frequency: DataFrame,
             history = append_rows(history, appended)
         return predicted
 
-    return recursive_forecast(series_state(dense, cfg, step_first), predict, cfg)
+    return recursive_forecast(series_state(demand, cfg, step_first), predict, cfg)
 
 
 def known_frequency(frequency: DataFrame) -> Column:

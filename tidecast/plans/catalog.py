@@ -277,40 +277,40 @@ def first_last_14(spark, folder):
 
 @query
 def status_counts(spark, folder):
-    return profile.value_counts(tables.order_items(spark, folder), "status")
+    return profile.value_counts(tables.order_items(spark, folder, "status"), "status")
 
 
 @query
 def items_per_product(spark, folder):
-    return profile.value_counts(tables.order_items(spark, folder), "product_id")
+    return profile.value_counts(tables.order_items(spark, folder, "product_id"), "product_id")
 
 
 @query
 def items_per_dc(spark, folder):
-    return profile.value_counts(tables.order_items(spark, folder), CENTER)
+    return profile.value_counts(tables.order_items(spark, folder, CENTER), CENTER)
 
 
 @query
 def pareto_products(spark, folder):
-    counts = profile.value_counts(tables.order_items(spark, folder), "product_id")
+    counts = profile.value_counts(tables.order_items(spark, folder, "product_id"), "product_id")
     return rounded(profile.pareto(counts, "product_id"), 9)
 
 
 @query
 def pareto_concentration(spark, folder):
-    counts = profile.value_counts(tables.order_items(spark, folder), "product_id")
+    counts = profile.value_counts(tables.order_items(spark, folder, "product_id"), "product_id")
     return rounded(profile.concentration(profile.pareto(counts, "product_id")), 9)
 
 
 @query
 def distinct_counts(spark, folder):
-    items = tables.order_items(spark, folder)
-    return profile.distinct_counts(items.select("order_id", "product_id", "status", "created_at", CENTER))
+    return profile.distinct_counts(
+        tables.order_items(spark, folder, "order_id", "product_id", "status", "created_at", CENTER))
 
 
 @query
 def distinct_dcs(spark, folder):
-    return profile.distinct_values(tables.order_items(spark, folder), CENTER)
+    return profile.distinct_values(tables.order_items(spark, folder, CENTER), CENTER)
 
 
 @query
@@ -326,7 +326,7 @@ def null_lags(spark, folder):
 
 @query
 def duplicate_rows(spark, folder):
-    return profile.duplicate_rows(tables.order_items(spark, folder).select("order_id", "product_id", CENTER))
+    return profile.duplicate_rows(tables.order_items(spark, folder, "order_id", "product_id", CENTER))
 
 
 @query
@@ -339,7 +339,7 @@ def describe_numeric(spark, folder):
 @query
 def describe_prices(spark, folder):
     """A description straight over the facts, with a column of many distinct values."""
-    return rounded(profile.describe_numeric(tables.order_items(spark, folder), ["sale_price"]), 4)
+    return rounded(profile.describe_numeric(tables.order_items(spark, folder, "sale_price"), ["sale_price"]), 4)
 
 
 @query
@@ -376,7 +376,7 @@ def table_shape(spark, folder):
 @query
 def numeric_columns_profile(spark, folder):
     """Non-null count and rounded mean of the columns that are numeric by type."""
-    items = tables.order_items(spark, folder)
+    items = tables.order_items(spark, folder, "order_id", "product_id", "sale_price", CENTER)
     columns = profile.numeric_columns(items)
     one = items.agg(*[F.count(c).alias(f"n_{c}") for c in columns], *[F.avg(c).alias(f"m_{c}") for c in columns])
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("n"), F.round(f"m_{c}", 2).alias("mean"))
@@ -399,7 +399,7 @@ def prefixed_products(spark, folder):
 
 @query
 def renamed_projection(spark, folder):
-    items = tables.order_items(spark, folder).drop("status")
+    items = tables.order_items(spark, folder).drop("status", "sale_price")
     return items.withColumnsRenamed({"created_at": DATE, CENTER: "dc_id"}).select(
         "order_id", "product_id", "dc_id", F.col(DATE).cast("date").alias(DATE))
 
@@ -565,8 +565,7 @@ def gbt_recursive(spark, folder):
     rows = demand(spark, folder, CUT)
     train = rows.where(F.col(DATE) < F.lit(CUT.valid_from))
     frame = stage(feat.template_features(train, CUT), "train")
-    return trees.recursive_boosted(
-        frame, dense_ops.densify(train, KEYS), feat.year_frequency(frame), CUT, QUICK)
+    return trees.recursive_boosted(frame, train, feat.year_frequency(frame), CUT, QUICK)
 
 
 @query
@@ -617,7 +616,7 @@ def two_week_demand_dc(spark, folder):
 def product_demand_from_mix(spark, folder):
     """Mix of the last three months times the units of each center's last fourteen days."""
     items, rows = tables.order_items(spark, folder), demand(spark, folder)
-    as_of = planning.last_day(rows)
+    as_of = planning.history_of(rows)[1]
     fortnight = rows.where(F.col(DATE) > F.date_sub(F.lit(as_of), 14)).groupBy(CENTER).agg(F.sum(QTY).alias("units"))
     return rounded(planning.product_demand(planning.product_mix(items, rows, as_of), fortnight))
 
@@ -626,7 +625,7 @@ def product_demand_from_mix(spark, folder):
 def product_demand_from_forecast(spark, folder):
     """Mix of the last three months times the forecast of the next fourteen days."""
     items, rows = tables.order_items(spark, folder), demand(spark, folder)
-    mix = planning.product_mix(items, rows, planning.last_day(rows))
+    mix = planning.product_mix(items, rows, planning.history_of(rows)[1])
     return rounded(planning.product_demand(mix, planning.two_week_demand(rows, ALL)))
 
 
@@ -642,6 +641,7 @@ def order_quantity(spark, folder):
 
 @query
 def order_quantity_per_product(spark, folder):
-    grain = (CENTER, "product_id")
-    rows = stage(daily.daily_demand(tables.order_items(spark, folder), grain, ALL), "product-demand")
-    return rounded(planning.order_quantity(rows, grain))
+    """At product grain straight from the units; the small center table supplies the date range."""
+    items, grain = tables.order_items(spark, folder, "created_at", "product_id", CENTER), (CENTER, "product_id")
+    history = planning.history_of(demand(spark, folder))
+    return rounded(planning.order_quantity(daily.units(items, grain, ALL), grain, history))

@@ -33,7 +33,7 @@ def prepare_demand(items: DataFrame, products: DataFrame, centers: DataFrame, cf
 
 def direct_forecast(demand: DataFrame, model: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """(series, horizon, date, yhat) of the linear model for the days after ``demand`` ends."""
-    start = future_rows(densify(demand, cfg.series), cfg)
+    start = future_rows(demand, cfg)
     cells = score_long(start, model, cfg.series, [*cfg.series, DATE], lag_names(cfg.lags), [])
     return cells.select(*cfg.series, "horizon", F.date_add(DATE, F.col("horizon") - 1).alias(DATE), "yhat")
 
@@ -63,8 +63,7 @@ def train_and_select(demand: DataFrame, cfg: ForecastConfig, boost: BoostParams
         base_features(demand, cfg, step_lags=False, targets=True).where(F.col(SPLIT) == "train"), cfg.series), "linear")
     # The feature table of the train days alone: what it was encoded with is what the forecast uses.
     frame = stage(template_features(train, cfg), "train")
-    boosted = stage(recursive_boosted(
-        frame, densify(train, cfg.series), year_frequency(frame), cfg, boost, refit), "boosted")
+    boosted = stage(recursive_boosted(frame, train, year_frequency(frame), cfg, boost, refit), "boosted")
 
     columns = [*cfg.series, "horizon", DATE, "yhat"]
     forecasts = direct_forecast(train, linear, cfg).select(F.lit(LINEAR).alias("model"), *columns).unionByName(

@@ -28,27 +28,34 @@ def centers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def order_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Items with order day, status, product, price and center id.
+# Columns of an item and the table each comes from.
+ITEM_COLUMNS = {
+    "order_id": "lineitem", "product_id": "lineitem", "status": "orders", "created_at": "orders",
+    "sale_price": "lineitem", CENTER: "supplier",
+}
 
-    All joins are left joins without hints: Catalyst broadcasts a side whose statistics fall
-    under the threshold, otherwise sorts and merges, and AQE splits a hot order or supplier.
+
+def order_items(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Items with the asked columns, or with all: order, product, status, day, price, center.
+
+    Only tables that provide an asked column are joined: a left join drops no item, but Spark
+    cannot know that it adds none and would not leave it out. The joins carry no hints:
+    Catalyst broadcasts a side whose statistics fall under the threshold, otherwise sorts and
+    merges, and AQE splits a hot order or supplier.
     """
-    lineitem = table(spark, folder, "lineitem")
-    orders = table(spark, folder, "orders")
-    supplier = table(spark, folder, "supplier")
-    return (
-        lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey, "left")
-        .join(supplier, lineitem.l_suppkey == supplier.s_suppkey, "left")
-        .select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("o_orderstatus").alias("status"),
-            F.col("o_orderdate").alias("created_at"),
-            F.col("l_extendedprice").alias("sale_price"),
-            F.col("s_nationkey").cast("bigint").alias(CENTER),
-        )
-    )
+    columns = columns or tuple(ITEM_COLUMNS)
+    needed = {ITEM_COLUMNS[c] for c in columns}
+    items = table(spark, folder, "lineitem")
+    if "orders" in needed:
+        items = items.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    if "supplier" in needed:
+        items = items.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    source = {
+        "order_id": "l_orderkey", "product_id": "l_partkey", "status": "o_orderstatus",
+        "created_at": "o_orderdate", "sale_price": "l_extendedprice", CENTER: "s_nationkey",
+    }
+    return items.select(*[
+        (F.col(source[c]).cast("bigint") if c == CENTER else F.col(source[c])).alias(c) for c in columns])
 
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
