@@ -487,6 +487,20 @@ def lr_one_lag(spark, folder):
                                 F.col("weights")[0][0].alias("slope")))
 
 
+@query
+def lr_normal_equations(spark, folder):
+    """What defines a least-squares fit: residuals sum to zero, alone and against every lag."""
+    frame = xy(spark, folder)
+    model = stage(linear.fit_linear(frame, KEYS), "model")
+    lags = lag_names()
+    cells = linear.score_long(frame, model, KEYS, [CENTER, *[F.col(quoted(c)) for c in lags]])
+    residual = F.col("y") - F.col("yhat")
+    sums = cells.groupBy(CENTER, "horizon").agg(
+        F.array(F.sum(residual), *[F.sum(residual * F.col(quoted(c))) for c in lags]).alias("s"))
+    return sums.select(CENTER, "horizon", F.posexplode("s").alias("term", "gradient")).withColumn(
+        "gradient", F.round("gradient", 4) + 0.0)
+
+
 def fixed_model(rows: DataFrame) -> DataFrame:
     """The same stated coefficients for every center: horizon h weighs lag j by 1 / (h + j)."""
     weights = F.array(*[F.array(*[F.lit(1.0 / (h + j)) for j in range(1, 15)]) for h in range(1, 15)])

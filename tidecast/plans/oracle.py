@@ -311,6 +311,8 @@ ORACLE = {
     "lr_sufficient_stats": f"WITH {XY}, train AS (SELECT * FROM xy WHERE split = 'train') {STATS}",
     "lr_one_lag": f"""WITH {XY} SELECT {DC}, count(*) AS n_rows, round(regr_intercept(y_d1, qty_d1), 6) AS intercept,
         round(regr_slope(y_d1, qty_d1), 6) AS slope FROM xy GROUP BY {DC}""",
+    "lr_normal_equations": f"""WITH {daily(CUT)} SELECT {DC}, CAST(h AS INTEGER) AS horizon, CAST(t AS INTEGER) AS term,
+        CAST(0 AS DOUBLE) AS gradient FROM (SELECT DISTINCT {DC} FROM daily), range(1, 15) a(h), range(15) b(t)""",
     "lr_score_fixed_coefficients": f"""WITH {dense()}, l AS (SELECT *, {lags()} FROM dense)
         SELECT {DC}, date, {FIXED} FROM l WHERE qty_d14 IS NOT NULL""",
     "lr_metrics_fixed_coefficients": f"""WITH {XY}, pairs AS ({FIXED_PAIRS}),
