@@ -20,7 +20,9 @@ TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem")
 def connect(folder: str):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+        path = Path(folder) / f"{t}.parquet"
+        files = path / "*.parquet" if path.is_dir() else path
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{files}'")
     return con
 
 

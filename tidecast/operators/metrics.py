@@ -17,15 +17,11 @@ def prediction_name(h: int) -> str:
 
 def long_pairs(scored: DataFrame, keep: list[str], n: int = 14) -> DataFrame:
     """Wide targets and predictions as (keep…, horizon, y, yhat), one row per cell."""
-    cells = [
-        F.struct(
-            F.lit(h).alias("horizon"),
-            F.col(quoted(target_name(h))).cast("double").alias("y"),
-            F.col(quoted(prediction_name(h))).alias("yhat"),
-        )
-        for h in range(1, n + 1)
-    ]
-    return scored.select(*keep, F.explode(F.array(*cells)).alias("c")).select(*keep, "c.*")
+    zipped = F.arrays_zip(
+        F.array(*[F.col(quoted(target_name(h))).cast("double") for h in range(1, n + 1)]).alias("y"),
+        F.array(*[F.col(quoted(prediction_name(h))) for h in range(1, n + 1)]).alias("yhat"))
+    return scored.select(*keep, F.posexplode(zipped).alias("h", "c")).select(
+        *keep, (F.col("h") + 1).alias("horizon"), F.col("c.y").alias("y"), F.col("c.yhat").alias("yhat"))
 
 
 def error_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -70,9 +66,16 @@ def forecast_vs_actual(forecast: DataFrame, actual: DataFrame, keys) -> DataFram
     return forecast.join(actual, [*keys, DATE], "inner")
 
 
-def naive_forecast(dense: DataFrame, keys, lag: int, horizons: int = 14) -> DataFrame:
-    """Repeats the last ``lag`` days: adds yhat columns next to the targets of each row."""
-    return dense.withColumns({
-        prediction_name(h): F.col(quoted(f"{QTY}_D-{lag - (h - 1) % lag}")).cast("double")
-        for h in range(1, horizons + 1)
-    })
+def naive_pairs(rows: DataFrame, keep: list[str], lags: tuple[int, ...] = (1, 7), n: int = 14,
+                history: int = 14) -> DataFrame:
+    """(model, keep…, horizon, y, yhat) of forecasts that repeat the last ``lag`` days, one model per lag.
+
+    All models come out of one pass over the rows.
+    """
+    y = F.array(*[F.col(quoted(target_name(h))).cast("double") for h in range(1, n + 1)])
+    recent = F.array(*[F.col(quoted(f"{QTY}_D-{i}")).cast("double") for i in range(1, history + 1)])
+    cells = rows.select(*keep, recent.alias("recent"), F.posexplode(y).alias("h", "y")).withColumn(
+        "lag", F.explode(F.array(*[F.lit(lag) for lag in lags])))
+    return cells.select(
+        F.concat(F.lit("naive_lag"), F.col("lag").cast("string")).alias("model"), *keep,
+        (F.col("h") + 1).alias("horizon"), "y", F.col("recent")[F.col("lag") - 1 - F.col("h") % F.col("lag")].alias("yhat"))

@@ -428,12 +428,7 @@ def fixture_sample(spark, folder):
 # --- metrics --------------------------------------------------------------------------------------------
 
 def naive_pairs(spark, folder) -> DataFrame:
-    rows = feat.base_features(demand(spark, folder, CUT), CUT, step_lags=False, targets=True)
-    pairs = []
-    for lag in (1, 7):
-        scored = met.naive_forecast(rows, KEYS, lag)
-        pairs.append(met.long_pairs(scored, [splits.SPLIT]).withColumn("model", F.lit(f"naive_lag{lag}")))
-    return pairs[0].unionByName(pairs[1])
+    return met.naive_pairs(xy(spark, folder), [splits.SPLIT])
 
 
 @query
