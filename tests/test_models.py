@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidecast.config import CENTER, DATE, QTY, SHALLOW_BOOST, BoostParams, ForecastConfig, lag_names, quoted, target_names
 from tidecast.operators import features as feat, linear, metrics as met, trees
 from tidecast.operators.recursion import next_day_features, recursive_forecast, series_state
-from tidecast.plans import pipeline
+from tidecast.plans import jobs
 from tidecast.sources import sinks
 
 KEYS = (CENTER,)
@@ -77,6 +77,13 @@ def test_all_zero_series_forecasts_zero(series):
     assert spread[1] == (0.0, 0.0) and spread[2] == (pytest.approx(4), pytest.approx(4))
 
 
+def test_constant_fractions_leave_only_the_intercept(spark):
+    """Rounding noise of centered sums must not pass for variation."""
+    df = spark.createDataFrame([(1, 0.1 + 1e6, 0.7, float(i)) for i in range(97)], f"{CENTER} int, a double, b double, y double")
+    r = linear.fit_linear(df, KEYS, ["a", "b"], ["y"]).collect()[0]
+    assert r.weights == [[0.0, 0.0]] and r.intercepts == [pytest.approx(48)]
+
+
 def test_short_series_has_no_model_but_keeps_its_rows(series):
     demand = series({1: noisy(80), 2: [None] * 60 + noisy(20)})
     frame = feat.base_features(demand, OPEN, targets=True, within_split=False)
@@ -191,6 +198,12 @@ def test_boost_parameters():
     assert BoostParams().n_estimators == 500 and SHALLOW_BOOST.max_depth == 3
 
 
+def test_appended_forecasts_join_the_history(spark):
+    history = spark.createDataFrame([(1.0, 3)], "a double, qty bigint")
+    longer = trees.append_rows(history, spark.createDataFrame([(2.5, 2.0)], "qty double, a double"))
+    assert sorted(map(tuple, longer.select("a", "qty").collect())) == [(1.0, 3.0), (2.0, 2.5)]
+
+
 def test_per_horizon_models(xy):
     models = trees.fit_per_horizon(xy, lag_names(), TINY, horizons=2)
     scored = trees.score_per_horizon(xy, lag_names(), models)
@@ -218,18 +231,27 @@ def test_importance_ranks_the_driver_first(spark):
 
 def test_training_compares_on_the_same_days(series, cfg, spark, tmp_path):
     demand = series({1: noisy(411, 1), 2: noisy(411, 2, 60)})
-    run = pipeline.train_and_select(demand, cfg, TINY)
+    run = jobs.train_and_select(demand, cfg, TINY)
     m = {r.model: r for r in run.metrics.collect()}
     assert {k: r.n for k, r in m.items()} == {"linear": 28, "boosted_recursive": 28}
     assert run.best.collect()[0].model == min(m, key=lambda k: m[k].rmse)
     assert {r[DATE] for r in run.forecasts.select(DATE).distinct().collect()} == {
         day("2023-11-01") + dt.timedelta(days=i) for i in range(14)}
 
-    features = feat.template_features(demand, replace(cfg, per_split=False)).where("split <> 'train'")
-    predictions, errors = pipeline.batch_predict(features, run.linear, cfg, str(tmp_path / "predictions"))
+    winner = jobs.save_best(run, str(tmp_path / "best"))
+    assert jobs.load_best(spark, str(tmp_path / "best"))[0] == winner
+    swapped = replace(run, best=spark.createDataFrame([("boosted_recursive", 1.0)], "model string, rmse double"))
+    jobs.save_best(swapped, str(tmp_path / "best"))
+    name, model = jobs.load_best(spark, str(tmp_path / "best"))
+    assert name == "boosted_recursive" and model.getNumTrees == TINY.n_estimators
+    with pytest.raises(ValueError):
+        jobs.save_best(replace(swapped, boosted=None), str(tmp_path / "none"))
+
+    features = feat.template_features(demand, cfg).where("split <> 'train'")
+    predictions, errors = jobs.batch_predict(features, run.linear, cfg, str(tmp_path / "predictions"))
     assert predictions.count() == features.count() and QTY not in predictions.columns
     # Rows without all fourteen known targets keep their features and carry no prediction.
     assert predictions.where("`y_D+1` is null").count() == 2 * 13 == predictions.where("`y_D+14` is null").count()
     assert errors.collect()[0].n == 14 * (features.count() - 26)
-    everything, _ = pipeline.batch_predict(features, run.linear, cfg, only_with_targets=False)
+    everything, _ = jobs.batch_predict(features, run.linear, cfg, only_with_targets=False)
     assert everything.where("`y_D+14` is null").count() == 0

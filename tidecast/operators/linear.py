@@ -64,7 +64,12 @@ def solve(statistics: DataFrame, keys, n_x: int, n_y: int, rcond: float = RCOND)
             mean = s[:, :, 0] / n[:, None]                               # of 1, every x, every y
             centered = s[:, 1:, 1:] - n[:, None, None] * mean[:, 1:, None] * mean[:, None, 1:n_x + 1]
             gram, cross = centered[:, :n_x], centered[:, n_x:]           # x·x and y·x
-            weights = cross @ np.linalg.pinv(gram, rcond=rcond, hermitian=True)
+            # Directions that are zero, or no larger than what rounding leaves of the raw sums.
+            values, vectors = np.linalg.eigh(gram)
+            raw = np.einsum("sjj->sj", s[:, 1:n_x + 1, 1:]).max(axis=1)
+            floor = np.maximum(rcond * values[:, -1], 64 * np.finfo(float).eps * raw)[:, None]
+            inverse = np.where(values > floor, 1.0 / np.where(values > floor, values, 1.0), 0.0)
+            weights = cross @ (vectors * inverse[:, None, :]) @ vectors.transpose(0, 2, 1)
             intercepts = mean[:, n_x + 1:] - np.einsum("shx,sx->sh", weights, mean[:, 1:n_x + 1])
             out = batch[keys].copy()
             out["n_rows"] = n.astype("int64")
@@ -87,7 +92,9 @@ def _with_model(frame: DataFrame, model: DataFrame, keys) -> DataFrame:
     weights = model.select(*keys, "intercepts", "weights")
     if keys:
         return frame.join(weights, list(keys), "left")
-    return frame.withColumns({c: weights.select(c).scalar() for c in ("intercepts", "weights")})
+    one = weights.select(F.struct("intercepts", "weights")).scalar()
+    return frame.withColumn("__model", one).withColumns({
+        c: F.col(f"__model.{c}") for c in ("intercepts", "weights")}).drop("__model")
 
 
 def score_long(frame: DataFrame, model: DataFrame, keys, keep: list[str], x: list[str] | None = None,

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,17 +60,17 @@ def fit_boosted(frame: DataFrame, features: list[str], params: BoostParams, labe
 
 
 def recursive_boosted(frame: DataFrame, demand: DataFrame, frequency: DataFrame, cfg: ForecastConfig,
-                      params: BoostParams | None = None, refit: bool = False, step_first: int = 0) -> DataFrame:
+                      params: BoostParams | None = None, refit: bool = False, model: GBTRegressionModel | None = None,
+                      step_first: int = 0) -> DataFrame:
     """(series, horizon, date, yhat) for the days after ``demand`` ends.
 
     ``frame`` are the training rows of the template table, ``frequency`` the year frequencies
     they were encoded with. ``refit`` trains again each round on the history plus the forecasts
-    made so far; without it one model serves all rounds.
+    made so far; without it one model, given or fitted here, serves all rounds.
     """
     params, features = params or cfg.boost, tree_features(cfg)
     history = frame.select(*[F.col(quoted(c)) for c in features], QTY)
     year_freq, vector = known_frequency(frequency), vector_of(features)
-    model = None
 
     def predict(rows: DataFrame, step: int) -> DataFrame:
         nonlocal history, model

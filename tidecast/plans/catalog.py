@@ -19,7 +19,7 @@ from tidecast.functions import calendar as cal
 from tidecast.operators import (
     daily, densify as dense_ops, features as feat, linear, metrics as met, planning, profile, splits, trees,
 )
-from tidecast.plans import pipeline
+from tidecast.plans import jobs
 from tidecast.sources import tables
 from tidecast.sources.loader import prefixed
 from tidecast.sources.sinks import preview_view
@@ -515,7 +515,7 @@ def lr_score_fixed_coefficients(spark, folder):
 @query
 def lr_metrics_fixed_coefficients(spark, folder):
     rows = demand(spark, folder, CUT)
-    return rounded(pipeline.linear_metrics(rows, fixed_model(rows), CUT).drop("mape"))
+    return rounded(jobs.linear_metrics(rows, fixed_model(rows), CUT).drop("mape"))
 
 
 @query
@@ -524,7 +524,7 @@ def lr_fit_predict(spark, folder):
     rows = demand(spark, folder, CUT)
     frame = feat.base_features(rows, CUT, step_lags=False, targets=True)
     model = stage(linear.fit_linear(frame.where("split = 'train'"), KEYS), "model")
-    return rounded(pipeline.linear_metrics(rows, model, CUT))
+    return rounded(jobs.linear_metrics(rows, model, CUT))
 
 
 @query
@@ -556,7 +556,7 @@ def batch_predict(spark, folder):
     train = feat.base_features(rows, CUT, step_lags=False, targets=True).where("split = 'train'")
     model = stage(linear.fit_linear(train, KEYS), "model")
     test = feat.with_targets(feat.template_features(rows, CUT).where("split = 'test'"), KEYS)
-    return rounded(plain(pipeline.batch_predict(test, model, CUT)[0]))
+    return rounded(plain(jobs.batch_predict(test, model, CUT)[0]))
 
 
 @query
@@ -611,7 +611,7 @@ def feature_importance(spark, folder):
 @query
 def model_selection(spark, folder):
     """Both model families trained, forecast and compared on the same validation days."""
-    return rounded(pipeline.train_and_select(demand(spark, folder, CUT), CUT, QUICK).metrics)
+    return rounded(jobs.train_and_select(demand(spark, folder, CUT), CUT, QUICK).metrics)
 
 
 # --- planning -----------------------------------------------------------------------------------------------

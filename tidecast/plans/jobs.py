@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.config import DATE, BoostParams, ForecastConfig, lag_names, quoted, target_name, target_names
@@ -14,8 +15,8 @@ from tidecast.operators.features import base_features, future_rows, template_fea
 from tidecast.operators.linear import fit_linear, score_linear, score_long
 from tidecast.operators.metrics import best_model, error_metrics, forecast_vs_actual, prediction_name
 from tidecast.operators.splits import SPLIT, with_split
-from tidecast.operators.trees import recursive_boosted
-from tidecast.sources.sinks import save_splits, save_table
+from tidecast.operators.trees import fit_boosted, recursive_boosted, tree_features
+from tidecast.sources.sinks import load_linear, save_linear, save_splits, save_table
 from tidecast.staging import stage
 
 LINEAR, BOOSTED = "linear", "boosted_recursive"
@@ -50,6 +51,7 @@ class Training:
     forecasts: DataFrame  # (model, series, horizon, date, yhat) for the first days of validation
     metrics: DataFrame    # (model, n, mae, …) on exactly those days
     best: DataFrame       # (model, rmse)
+    boosted: GBTRegressionModel | None  # None when it was trained anew each round
 
 
 def train_and_select(demand: DataFrame, cfg: ForecastConfig, boost: BoostParams | None = None,
@@ -63,14 +65,34 @@ def train_and_select(demand: DataFrame, cfg: ForecastConfig, boost: BoostParams
         base_features(demand, cfg, step_lags=False, targets=True).where(F.col(SPLIT) == "train"), cfg.series), "linear")
     # The feature table of the train days alone: what it was encoded with is what the forecast uses.
     frame = stage(template_features(train, cfg), "train")
-    boosted = stage(recursive_boosted(frame, train, year_frequency(frame), cfg, boost, refit), "boosted")
+    trees = None if refit else fit_boosted(frame, tree_features(cfg), boost or cfg.boost)
+    boosted = stage(recursive_boosted(frame, train, year_frequency(frame), cfg, boost, refit, trees), "boosted")
 
     columns = [*cfg.series, "horizon", DATE, "yhat"]
     forecasts = direct_forecast(train, linear, cfg).select(F.lit(LINEAR).alias("model"), *columns).unionByName(
         boosted.select(F.lit(BOOSTED).alias("model"), *columns))
     pairs = forecast_vs_actual(forecasts, densify(demand, cfg.series), cfg.series)
     metrics = stage(error_metrics(pairs, ["model"]), "metrics")
-    return Training(linear, forecasts, metrics, best_model(metrics))
+    return Training(linear, forecasts, metrics, best_model(metrics), trees)
+
+
+def save_best(run: Training, path: str) -> str:
+    """Saves the winning model under ``path`` and returns its name; the name is data, not a file name."""
+    name = run.best.first()["model"]
+    if name == BOOSTED and run.boosted is None:
+        raise ValueError("a model trained anew each round leaves no single model to save")
+    save_table(run.best.select("model"), f"{path}/choice")
+    if name == LINEAR:
+        save_linear(run.linear, f"{path}/model")
+    else:
+        run.boosted.write().overwrite().save(f"{path}/model")
+    return name
+
+
+def load_best(spark: SparkSession, path: str) -> tuple[str, DataFrame | GBTRegressionModel]:
+    name = spark.read.parquet(f"{path}/choice").first()["model"]
+    model = load_linear(spark, f"{path}/model") if name == LINEAR else GBTRegressionModel.load(f"{path}/model")
+    return name, model
 
 
 def batch_predict(frame: DataFrame, model: DataFrame, cfg: ForecastConfig, path: str | None = None,
