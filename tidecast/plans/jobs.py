@@ -8,8 +8,8 @@ from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.config import DATE, BoostParams, ForecastConfig, lag_names, quoted, target_name, target_names
-from tidecast.operators.daily import attach_centers, attach_products, daily_demand
+from tidecast.config import CENTER, DATE, BoostParams, ForecastConfig, lag_names, quoted, target_name, target_names
+from tidecast.operators.daily import attach_products, daily_demand, with_attributes
 from tidecast.operators.densify import densify
 from tidecast.operators.features import base_features, future_rows, template_features, with_targets, year_frequency
 from tidecast.operators.linear import fit_linear, score_linear, score_long
@@ -24,8 +24,15 @@ LINEAR, BOOSTED = "linear", "boosted_recursive"
 
 def prepare_demand(items: DataFrame, products: DataFrame, centers: DataFrame, cfg: ForecastConfig,
                    path: str | None = None) -> DataFrame:
-    """Loaded sources to daily demand labelled by split; written by split when a path is given."""
-    demand = with_split(daily_demand(attach_products(items, attach_centers(products, centers)), cfg.series, cfg), cfg)
+    """Loaded sources to daily demand with the attributes of its center, labelled by split.
+
+    Written by split when a path is given. Items meet only the product's center id before the
+    count; the attributes follow after it.
+    """
+    placed = attach_products(items, products.select("product_id", CENTER))
+    demand = with_split(daily_demand(placed, cfg.series, cfg), cfg)
+    if CENTER in cfg.series:
+        demand = with_attributes(demand, centers)
     if path:
         save_splits(demand, path)
         return demand.sparkSession.read.parquet(path)
