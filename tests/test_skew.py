@@ -12,21 +12,25 @@ CHECKED = ("daily_demand", "product_daily_demand", "features_qty_lags", "pareto_
            "distinct_counts", "duplicate_rows", "lr_one_lag", "product_demand_from_mix", "order_quantity_per_product")
 
 
-@pytest.fixture(scope="module")
-def skewed(spark, tmp_path_factory):
-    folder = str(tmp_path_factory.mktemp("skewed"))
+def write_skewed(spark, source: str, folder: str, columns=("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")):
     for name in TABLES:
-        df = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        df = spark.read.parquet(f"{source}/{name}.parquet")
         if name == "lineitem":
             hot = F.pmod(F.hash("l_orderkey", "l_partkey", "l_linenumber"), F.lit(3)) == 0
-            order = spark.read.parquet(f"{SMALL}/orders.parquet").agg(F.max_by("o_orderkey", "o_orderdate")).first()[0]
+            order = spark.read.parquet(f"{source}/orders.parquet").agg(F.max_by("o_orderkey", "o_orderdate")).first()[0]
             fixed = {"l_orderkey": order, "l_partkey": 7, "l_suppkey": 3, "l_extendedprice": 99.5}
             df = df.withColumns({
-                c: F.when(hot, F.lit(v)).otherwise(F.col(c)).cast(df.schema[c].dataType) for c, v in fixed.items()})
-        df.write.parquet(f"{folder}/{name}.parquet")
+                c: F.when(hot, F.lit(v)).otherwise(F.col(c)).cast(df.schema[c].dataType) for c, v in fixed.items() if c in columns})
+        # Several files make several map tasks, along which a hot partition can be cut.
+        df.repartition(8 if name == "lineitem" else 1).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
 
+@pytest.fixture(scope="module")
+def skewed(spark, tmp_path_factory):
+    return write_skewed(spark, SMALL, str(tmp_path_factory.mktemp("skewed")))
+
+
 @pytest.fixture(scope="module")
 def con(skewed):
     return connect(skewed)
@@ -47,3 +51,22 @@ def test_skewed_results_match_sql(spark, skewed, con, name, broadcast):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.unset("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes")
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_hot_order_is_split_by_the_join(spark, tmp_path):
+    """The fact join shuffles by order; the partition of the hot order is cut into several tasks."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB"}
+    skewed = write_skewed(spark, "/root/testdata/sf0.1", str(tmp_path), ("l_orderkey",))
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = QUERIES["daily_demand_one_dc"](spark, skewed)
+        df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
