@@ -1,7 +1,6 @@
 import datetime as dt
 import math
 
-import pandas as pd
 from pandas.tseries.holiday import USFederalHolidayCalendar
 from pyspark.sql import functions as F
 

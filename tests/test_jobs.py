@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidecast.config import CENTER, DATE, QTY, BoostParams, ForecastConfig
-from tidecast.operators.features import multi_center_features, template_features
+from tidecast.operators.features import base_features, multi_center_features, template_features
+from tidecast.operators.linear import fit_linear
 from tidecast.plans import jobs
 from tidecast.sources.loader import load_data
 
@@ -73,3 +74,16 @@ def test_cancelled_orders_can_be_left_out(spark, sources):
     demand = jobs.prepare_demand(a, c, b, cfg)
     want = {k: v for k, v in expected(items, ("Cancelled",)).items() if k[0] == 1}
     assert {(r[CENTER], r[DATE]): r[QTY] for r in demand.collect()} == want
+
+
+def test_shorter_lags_and_horizons(spark, sources):
+    a, b, c = load_data(spark, *sources[1])
+    cfg = ForecastConfig(lags=5, horizons=3, centers=(1,))
+    demand = jobs.prepare_demand(a, c, b, cfg)
+    rows = base_features(demand, cfg, step_lags=False, targets=True)
+    model = fit_linear(rows, cfg.series, *jobs.columns_of(cfg))
+    per_split = {r.split: r.n for r in jobs.linear_metrics(demand, model, cfg).collect()}
+    assert per_split == {r.split: 3 * r["count"] for r in rows.groupBy("split").count().collect()}
+    predictions, _ = jobs.batch_predict(multi_center_features(demand, cfg), model, cfg)
+    assert "y_D+3" in predictions.columns and "y_D+4" not in predictions.columns
+    assert jobs.direct_forecast(demand, model, cfg).count() == 3

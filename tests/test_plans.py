@@ -60,3 +60,13 @@ def test_bucketed_facts_join_without_a_shuffle(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("DROP TABLE bucketed_lineitem")
         spark.sql("DROP TABLE bucketed_orders")
+
+
+def test_split_ranges_are_broadcast_even_when_nothing_else_is(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["dense_demand_per_split"](spark, SMALL))
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

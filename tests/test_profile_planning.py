@@ -4,7 +4,7 @@ import pytest
 from conftest import day
 from pyspark.sql import functions as F
 
-from tidecast.config import CENTER, DATE, QTY, ForecastConfig
+from tidecast.config import CENTER, ForecastConfig
 from tidecast.operators import planning, profile
 from tidecast.operators.ranking import running_total
 
@@ -98,3 +98,9 @@ def test_two_week_demand_of_a_constant_series(series):
     cfg = ForecastConfig(cutoff=None)
     r = planning.two_week_demand(series({1: [6] * 80}), cfg).collect()[0]
     assert r.units == pytest.approx(84) and r.first_day == day("2023-03-22")
+
+
+def test_other_lags_and_horizons(series):
+    cfg = ForecastConfig(cutoff=None, lags=5, horizons=3)
+    r = planning.two_week_demand(series({1: [6] * 40}), cfg).collect()[0]
+    assert r.units == pytest.approx(18) and r.first_day == day("2023-02-10")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.config import DATE, QTY
+from tidecast.operators.splits import SPLIT
 
 
 def date_bounds(df: DataFrame, date: str = DATE, by: tuple[str, ...] = ()) -> DataFrame:
@@ -27,7 +28,11 @@ def densify(demand: DataFrame, keys: tuple[str, ...], date: str = DATE, value: s
     """
     rows = demand.select(*keys, date, value)
     if bounds_by:
-        rows = rows.join(date_bounds(rows, date, bounds_by), list(bounds_by))
+        bounds = date_bounds(rows, date, bounds_by)
+        if set(bounds_by) == {SPLIT}:
+            # Three rows. Joined by shuffle instead, all rows would meet under three keys.
+            bounds = F.broadcast(bounds)
+        rows = rows.join(bounds, list(bounds_by))
     else:
         bounds = date_bounds(demand, date)
         rows = rows.withColumns({

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.config import CENTER, DATE, QTY, ForecastConfig
+from tidecast.config import CENTER, DATE, QTY, ForecastConfig, lag_names, target_names
 from tidecast.operators.daily import before, since
 from tidecast.operators.densify import date_bounds
 from tidecast.operators.features import base_features, future_rows
@@ -32,8 +32,9 @@ def two_week_demand(demand: DataFrame, cfg: ForecastConfig) -> DataFrame:
     The model trains on all rows whose targets are known, then scores the day after the last.
     """
     rows = base_features(demand, cfg, step_lags=False, targets=True, within_split=False)
-    model = fit_linear(rows, cfg.series)
-    cells = score_long(future_rows(demand, cfg), model, cfg.series, [*cfg.series, DATE], y=[])
+    x = lag_names(cfg.lags)
+    model = fit_linear(rows, cfg.series, x, target_names(cfg.horizons))
+    cells = score_long(future_rows(demand, cfg), model, cfg.series, [*cfg.series, DATE], x, y=[])
     return cells.groupBy(*cfg.series, F.col(DATE).alias("first_day")).agg(F.sum("yhat").alias("units"))
 
 

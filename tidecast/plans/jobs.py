@@ -22,6 +22,11 @@ from tidecast.staging import stage
 LINEAR, BOOSTED = "linear", "boosted_recursive"
 
 
+def columns_of(cfg: ForecastConfig) -> tuple[list[str], list[str]]:
+    """Inputs and targets of the linear model."""
+    return lag_names(cfg.lags), target_names(cfg.horizons)
+
+
 def prepare_demand(items: DataFrame, products: DataFrame, centers: DataFrame, cfg: ForecastConfig,
                    path: str | None = None) -> DataFrame:
     """Loaded sources to daily demand with the attributes of its center, labelled by split.
@@ -49,7 +54,7 @@ def direct_forecast(demand: DataFrame, model: DataFrame, cfg: ForecastConfig) ->
 def linear_metrics(demand: DataFrame, model: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """Errors of the linear model per split over all rows with known targets."""
     rows = base_features(demand, cfg, step_lags=False, targets=True)
-    return error_metrics(score_long(rows, model, cfg.series, [SPLIT]), [SPLIT]).select(F.lit(LINEAR).alias("model"), "*")
+    return error_metrics(score_long(rows, model, cfg.series, [SPLIT], *columns_of(cfg)), [SPLIT]).select(F.lit(LINEAR).alias("model"), "*")
 
 
 @dataclass
@@ -69,7 +74,8 @@ def train_and_select(demand: DataFrame, cfg: ForecastConfig, boost: BoostParams
     """
     train = demand.where(F.col(DATE) < F.lit(cfg.valid_from))
     linear = stage(fit_linear(
-        base_features(demand, cfg, step_lags=False, targets=True).where(F.col(SPLIT) == "train"), cfg.series), "linear")
+        base_features(demand, cfg, step_lags=False, targets=True).where(F.col(SPLIT) == "train"),
+        cfg.series, *columns_of(cfg)), "linear")
     # The feature table of the train days alone: what it was encoded with is what the forecast uses.
     frame = stage(template_features(train, cfg), "train")
     trees = None if refit else fit_boosted(frame, tree_features(cfg), boost or cfg.boost)
@@ -114,9 +120,9 @@ def batch_predict(frame: DataFrame, model: DataFrame, cfg: ForecastConfig, path:
     names = [quoted(t) for t in target_names(cfg.horizons)]
     rows = frame if target_name(1) in frame.columns else with_targets(frame, keys, cfg.horizons)
     complete = F.col(quoted(target_name(cfg.horizons))).isNotNull()
-    cells = score_long(rows.where(complete), model, cfg.series, [])
+    cells = score_long(rows.where(complete), model, cfg.series, [], *columns_of(cfg))
     metrics = error_metrics(cells.withColumn("model", F.lit(LINEAR)), ["model"])
-    scored = score_linear(rows, model, cfg.series, n_y=cfg.horizons)
+    scored = score_linear(rows, model, cfg.series, lag_names(cfg.lags), cfg.horizons)
     shown = {t: F.col(quoted(prediction_name(h))) for h, t in enumerate(target_names(cfg.horizons), 1)}
     if only_with_targets:
         shown = {t: F.when(complete, c) for t, c in shown.items()}
