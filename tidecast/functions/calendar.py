@@ -69,30 +69,23 @@ def month_day(date: Column) -> Column:
 
 
 def _on_fixed_holiday(date: Column) -> Column:
-    hits = [
-        (F.month(date) == m) & (F.dayofmonth(date) == d) & (F.year(date) >= since)
-        for m, d, _, since in FIXED_HOLIDAYS
-    ]
-    return _any(hits)
-
-
-def _any(conditions: list[Column]) -> Column:
-    result = conditions[0]
-    for c in conditions[1:]:
-        result = result | c
-    return result
+    key = F.month(date) * 100 + F.dayofmonth(date)
+    hit = key.isin(*[m * 100 + d for m, d, _, since in FIXED_HOLIDAYS if not since])
+    for m, d, _, since in FIXED_HOLIDAYS:
+        if since:
+            hit = hit | ((key == m * 100 + d) & (F.year(date) >= since))
+    return hit
 
 
 def is_national_holiday(date: Column) -> Column:
     """1 on US federal holidays and on their observed weekday (Saturday → Friday, Sunday → Monday)."""
-    floating = [
-        (F.month(date) == m) & (F.weekday(date) == wd) & F.dayofmonth(date).between(d, d + 6)
-        for m, wd, d, _ in FLOATING_HOLIDAYS
-    ]
-    observed_friday = (F.weekday(date) == 4) & _on_fixed_holiday(F.date_add(date, 1))
-    observed_monday = (F.weekday(date) == 0) & _on_fixed_holiday(F.date_sub(date, 1))
-    hit = _any([_on_fixed_holiday(date), observed_friday, observed_monday, *floating])
-    return hit.cast("int")
+    key, weekday = F.month(date) * 100 + F.dayofmonth(date), F.weekday(date)
+    hit = _on_fixed_holiday(date)
+    for m, wd, d, _ in FLOATING_HOLIDAYS:
+        hit = hit | ((weekday == wd) & key.between(m * 100 + d, m * 100 + d + 6))
+    observed_friday = (weekday == 4) & _on_fixed_holiday(F.date_add(date, 1))
+    observed_monday = (weekday == 0) & _on_fixed_holiday(F.date_sub(date, 1))
+    return (hit | observed_friday | observed_monday).cast("int")
 
 
 def is_state_holiday(date: Column, days: tuple[str, ...] = STATE_HOLIDAYS) -> Column:
