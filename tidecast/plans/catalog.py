@@ -521,10 +521,9 @@ def lr_metrics_fixed_coefficients(spark, folder):
 @query
 def lr_fit_predict(spark, folder):
     """Fit on train, errors on every split."""
-    rows = demand(spark, folder, CUT)
-    frame = feat.base_features(rows, CUT, step_lags=False, targets=True)
+    frame = xy(spark, folder)
     model = stage(linear.fit_linear(frame.where("split = 'train'"), KEYS), "model")
-    return rounded(jobs.linear_metrics(rows, model, CUT))
+    return rounded(jobs.split_errors(frame, model, CUT))
 
 
 @query

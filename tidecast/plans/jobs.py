@@ -51,10 +51,15 @@ def direct_forecast(demand: DataFrame, model: DataFrame, cfg: ForecastConfig) ->
     return cells.select(*cfg.series, "horizon", F.date_add(DATE, F.col("horizon") - 1).alias(DATE), "yhat")
 
 
+def split_errors(rows: DataFrame, model: DataFrame, cfg: ForecastConfig) -> DataFrame:
+    """Errors of a linear model per split of a frame with lags and targets."""
+    cells = score_long(rows, model, cfg.series, [SPLIT], *columns_of(cfg))
+    return error_metrics(cells, [SPLIT]).select(F.lit(LINEAR).alias("model"), "*")
+
+
 def linear_metrics(demand: DataFrame, model: DataFrame, cfg: ForecastConfig) -> DataFrame:
-    """Errors of the linear model per split over all rows with known targets."""
-    rows = base_features(demand, cfg, step_lags=False, targets=True)
-    return error_metrics(score_long(rows, model, cfg.series, [SPLIT], *columns_of(cfg)), [SPLIT]).select(F.lit(LINEAR).alias("model"), "*")
+    """Errors of a linear model per split over all rows with known targets."""
+    return split_errors(base_features(demand, cfg, step_lags=False, targets=True), model, cfg)
 
 
 @dataclass
