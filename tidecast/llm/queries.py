@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import chat, mixing, simhash
+from tidecast.llm import bpe, chat, html_crf, mixing, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,6 +44,18 @@ FROM placed GROUP BY conv_id
 """
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), (toxicity.fold("id") == 0).alias("held_out"), "score", "predicted")
+
+
+RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(_table(spark, folder, "pages"), RULES).withColumnRenamed("id", "page_id")
+
+
 def op7_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.simhash_components(_table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
@@ -115,9 +127,28 @@ FROM taken WHERE full_epochs * n_tokens + prefix_tokens > 0
 """
 
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    counted = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+                          bpe.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    found = html_crf.main_text(pages, html_crf.train_on(pages))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op2_chat_format": op2_chat_format,
+    "op5_toxicity": op5_toxicity,
+    "op6_url_filter": op6_url_filter,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op9_token_counts": op9_token_counts,
+    "op10_html_text": op10_html_text,
 }
 ORACLE = {"op2_chat_format": OP2_SQL, "op8_mix_sources": mix_sql()}
