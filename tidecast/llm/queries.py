@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, chat, html_crf, mixing, simhash, toxicity, url_filter
+from tidecast.llm import bpe, chat, decontaminate, html_crf, mixing, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -143,6 +148,7 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,

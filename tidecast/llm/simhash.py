@@ -30,6 +30,8 @@ SEED = 42
 BLOCK = 2_000
 # Keys of long lists that may be broadcast (16 bytes each); beyond it the join shuffles.
 HOT_KEYS = 100_000
+# Ids of copies that may be broadcast to leave them out.
+MOST_COPIES = 1_000_000
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _OFFSETS = (256 * np.arange(BYTES)).astype(np.int64)
@@ -153,5 +155,5 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows without id stay, as nothing tells which row they repeat; rows that repeat a kept id stay too.
     """
     groups = simhash_components(docs, id_col, text_col)
-    gone = groups.where("id <> component_id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = stage(groups.where("id <> component_id").select(F.col("id").alias("_gone")).distinct(), "copies")
+    return docs.join(broadcast_up_to(gone, MOST_COPIES), F.col(id_col) == F.col("_gone"), "left_anti")

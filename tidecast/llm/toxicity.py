@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm.boosted import Boosted, calibrated, fit_boosted, fit_isotonic
-from tidecast.llm.common import WORD
+from tidecast.llm.common import WORD, broadcast_up_to
 from tidecast.staging import stage
 
 # Insults and threats in the languages of the corpus, and how one is addressed in them.
@@ -19,6 +19,9 @@ SECOND = "you your yours yourself u ur du dich dir dein deine tu te toi ton ta v
 # Letters that digits and signs stand in for; the marks after them are dropped.
 STAND_INS, LETTERS = "013457@$!.-_*", "oieastasi"
 
+# Labelled ids that may be broadcast to the texts; more of them are joined by a shuffle.
+MOST_LABELS = 1_000_000
+
 FEATURES = ("insults", "insults_log", "hidden_insults", "hidden_log", "threats", "second", "aimed", "capitals", "shouted", "marks", "marks_run", "masked")
 
 
@@ -49,9 +52,10 @@ def features(text: Column) -> dict[str, Column]:
     }
 
 
-def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, FEATURES): one row per row of ``docs``, written once."""
-    return stage(docs.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in features(F.col(text_col)).items()]), "toxicity")
+def _with_features(docs: DataFrame, text_col: str) -> DataFrame:
+    """(_doc, FEATURES): the row itself in one column, so that no name of it can clash."""
+    kept = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_text"))
+    return kept.select("_doc", *[c.alias(k) for k, c in features(F.col("_text")).items()])
 
 
 def fold(id_col: str) -> Column:
@@ -60,24 +64,28 @@ def fold(id_col: str) -> Column:
 
 
 class Scorer:
+    """Trees and the curve that calibrates them."""
+
     def __init__(self, trees: Boosted, corners: list[tuple[float, float]]):
         self.trees, self.corners = trees, corners
 
-    def score(self, table: DataFrame) -> DataFrame:
-        """(id, score, predicted) of a table from ``with_features``."""
-        scored = self.trees.score(table, "_raw").withColumn("score", calibrated(F.col("_raw"), self.corners))
-        return scored.select("id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """(_doc, score, predicted): every row of ``docs`` with its score, in one pass without a shuffle."""
+        scored = self.trees.score(_with_features(docs, text_col), "_raw").withColumn("score", calibrated(F.col("_raw"), self.corners))
+        return scored.select("_doc", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def learn(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
     """Trees from folds 2 to 4 of the labelled rows, the calibration curve from fold 1; fold 0 is never read.
 
     Labels other than 0 and 1, null ones and ids without text are passed over; of repeated labels
     of an id the largest counts. With one class or no labels the score is that class, or 0.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col) != 0))
-    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    rows = stage(table.join(known, "id").withColumn("_fold", fold("id")), "labelled")
+    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_toxic"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(broadcast_up_to(known, MOST_LABELS), "_id")
+    rows = _with_features(texts, "_text").select(F.col("_doc._toxic").alias("toxic"), fold("_doc._id").alias("_fold"), *FEATURES)
+    rows = stage(rows, "labelled")
     trees = fit_boosted(rows.where("_fold > 1"), FEATURES, "toxic")
     return Scorer(trees, fit_isotonic(trees.score(rows.where("_fold = 1"), "_raw"), "_raw", "toxic"))
 
@@ -87,5 +95,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Null and empty texts are scored as texts without any mark. Other columns are not looked at.
     """
-    table = with_features(docs, id_col, text_col)
-    return learn(table, labels.select(F.col(id_col), F.col(label_col)), id_col, label_col).score(table)
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    scored = learn(docs, labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")), "id", "text", "label").score(docs)
+    return scored.select("_doc.id", "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """Rows of ``docs`` that are not predicted to be toxic, with all their columns."""
+    return learn(docs, labels, id_col, text_col, label_col).score(docs, text_col).where("predicted = 0").select("_doc.*")
