@@ -13,8 +13,8 @@ from tidecast.staging import stage
 INSULTS = (
     "arsch arschloch asshole bastard basura bitch bullshit cabron clown clowns cochon connard coward cretin crétin degenerate disgusting dumb dumbass dummkopf estúpido filth fool "
     "fools freak fuck fucking garbage gilipollas idiot idiota idiote idiots imbecile imbécil imbécile loser losers lunatic maggot mierda moron morons parasite pathetic payaso "
-    "piece of shit pig pigs puta putain retard rubbish salaud salope scheiße schlampe scum scumbag shit sick slut stupid stupide trash trottel ugly useless vermin whore worthless").split()
-THREATS = "burn die hang hate hunt hurt kill murder rape shoot stab strangle suffer".split()
+    "shit pig pigs puta putain retard rubbish salaud salope scheiße schlampe scum scumbag shit sick slut stupid stupide trash trottel ugly useless vermin whore worthless").split()
+THREATS = "burn hang hate hunt hurt kill murder rape shoot stab strangle suffer".split()
 SECOND = "you your yours yourself u ur du dich dir dein deine tu te toi ton ta vous votre usted ustedes tú".split()
 # Letters that digits and signs stand in for; the marks after them are dropped.
 STAND_INS, LETTERS = "013457@$!.-_*", "oieastasi"
