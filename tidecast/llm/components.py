@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.staging import stage
 
 
+def smallest_reached(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each node (a number at a place) the smallest node that it reaches over links between places ``a`` and ``b``."""
+    low, settled = nodes.copy(), len(a) == 0
+    while not settled:
+        before, least = low.copy(), np.minimum(low[a], low[b])
+        np.minimum.at(low, a, least)
+        np.minimum.at(low, b, least)
+        settled = bool((before == low).all())
+    return low
+
+
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
     return row[0], row[1]

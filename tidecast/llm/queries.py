@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, chat, decontaminate, html_crf, mixing, simhash, toxicity, url_filter
+from tidecast.llm import bpe, chat, decontaminate, html_crf, mixing, pq_dedup, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,6 +49,25 @@ FROM placed GROUP BY conv_id
 """
 
 
+def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return pq_dedup.embedding_components(_table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+OP3_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reached AS (
+  SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.node
+)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, c.root AS component_id, e.vec_id = c.root AS kept
+FROM embeddings e JOIN (SELECT node, min(root) AS root FROM reached GROUP BY node) c ON c.node = e.vec_id
+"""
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
     return scored.select(F.col("id").alias("doc_id"), (toxicity.fold("id") == 0).alias("held_out"), "score", "predicted")
@@ -150,6 +169,7 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op7_simhash_dedup": op7_simhash_dedup,
@@ -157,4 +177,4 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_html_text": op10_html_text,
 }
-ORACLE = {"op2_chat_format": OP2_SQL, "op8_mix_sources": mix_sql()}
+ORACLE = {"op2_chat_format": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op8_mix_sources": mix_sql()}

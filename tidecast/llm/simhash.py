@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm.common import broadcast_up_to
-from tidecast.llm.components import connected_components
+from tidecast.llm.components import connected_components, smallest_reached
 from tidecast.staging import stage
 
 BYTES = 8
@@ -103,13 +103,7 @@ def _link(f: pd.DataFrame) -> pd.DataFrame:
         at = at[at < len(group) - shift]
         at = at[group[at + shift] == group[at]]
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    label, settled = rep.copy(), len(a) == 0
-    while not settled:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        settled = bool((before == label).all())
+    label = smallest_reached(rep, a, b)
     linked = label != rep
     return pd.DataFrame({"a": rep[linked], "b": label[linked]})
 
