@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, chat, decontaminate, html_crf, mixing, pq_dedup, simhash, toxicity, url_filter
+from tidecast.llm import bpe, chat, decontaminate, hpylm, html_crf, mixing, pq_dedup, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,6 +68,15 @@ FROM embeddings e JOIN (SELECT node, min(root) AS root FROM reached GROUP BY nod
 """
 
 
+def _held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string")) % 7 == 2
+
+
+def op4_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    scored = hpylm.score_texts(_table(spark, folder, "documents"), _held_out).withColumnRenamed("id", "doc_id")
+    return scored.withColumn("held_out", _held_out(F.col("doc_id")))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
     return scored.select(F.col("id").alias("doc_id"), (toxicity.fold("id") == 0).alias("held_out"), "score", "predicted")
@@ -170,6 +179,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_lm_score": op4_lm_score,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op7_simhash_dedup": op7_simhash_dedup,
