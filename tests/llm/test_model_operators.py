@@ -1,0 +1,129 @@
+"""Language model, toxicity and URL filter: exact parts against plain Python, learned parts on rows held out."""
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidecast.llm import hpylm, queries, toxicity, url_filter
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_seating_weights_are_those_of_all_seatings():
+    d = 0.4
+
+    def seatings(c):  # table sizes of every way to seat c customers one after another
+        ways = [((1,), 1.0)]
+        for _ in range(c - 1):
+            ways = [(x, w * f) for sizes, w in ways for x, f in
+                    [*(((*sizes[:k], n + 1, *sizes[k + 1:]), n - d) for k, n in enumerate(sizes)), ((*sizes, 1), 1.0)]]
+        return ways
+    for c in (1, 2, 5):
+        for t in range(1, c + 1):
+            want = sum(w for sizes, w in seatings(c) if len(sizes) == t)
+            assert math.exp(hpylm.log_stirling(d)[c, t]) == pytest.approx(want)
+
+
+def test_tables_follow_their_distribution():
+    d, base, others, c = 0.5, 0.05, 3.0, 4
+    s = hpylm.log_stirling(d)
+    weight = np.array([math.exp(s[c, t]) * base ** t * np.prod([others + d * k for k in range(t)]) for t in range(1, c + 1)])
+    drawn = hpylm.draw_tables(np.full(40_000, c), np.full(40_000, math.log(base)), np.full(40_000, others), d, np.random.default_rng(0), s)
+    assert np.bincount(drawn, minlength=c + 1)[1:] / 40_000 == pytest.approx(weight / weight.sum(), abs=0.01)
+    many = hpylm.draw_tables(np.array([0, 1, 5_000]), np.log([0.1, 0.1, 0.1]), np.full(3, 5.0), d, np.random.default_rng(0), s)
+    assert many[0] == 0 and many[1] == 1 and 1 < many[2] < 5_000
+
+
+def _crc(i, n):
+    return zlib.crc32(str(i).encode()) % n
+
+
+def test_lm_base_counts_and_probabilities(spark):
+    texts = ["the cat sat on the mat", "THE cat\tsat", "", None, "a cat sat on a dog", "the dog sat on the mat", "unheard words", "x" * 10_000] * 6
+    rows = [(k, t, "x") for k, t in enumerate(texts)] + [(3, "the cat", "x"), (None, "the cat", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, chunk string")
+    tokens = [(i, (t or "").encode().lower().split() + [b""]) for i, t, _ in rows]
+    count = Counter(w for i, ws in tokens if i is not None and _crc(i, 7) != 2 for w in ws)
+    n, v = sum(count.values()), len(count)
+    out = hpylm.score_texts(docs, queries._held_out).collect()
+    want = sorted((str(i), len(ws), sum(count[w] > 0 for w in ws), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens)
+    assert sorted((str(r["id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
+    assert all(r["score"] < 0 for r in out) and sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+    assert hpylm.score_texts(docs.limit(0), queries._held_out).count() == 0
+    unlearned = hpylm.score_texts(docs.limit(3), lambda c: F.lit(True)).collect()
+    assert {r["n_known"] for r in unlearned} == {0} and all(r["score"] <= 0 for r in unlearned)
+
+
+def test_lm_probabilities_of_all_words_add_up_to_one(spark):
+    """One-word texts over the whole vocabulary and an unknown word: p(word | beginning) sums to one."""
+    words = ["red", "green", "blue", "grey"]
+    train = [(k, w, False) for k, w in enumerate((words[:1] * 5 + words[1:2] * 3 + words[2:]) * 4)]
+    probe = [(1_000 + k, w, True) for k, w in enumerate([*words, "unseen", ""])]
+    docs = spark.createDataFrame(train + probe, "doc_id long, text string, held boolean")
+    scored = {r["id"]: r["score"] for r in hpylm.score_texts(docs, lambda c: c >= 1_000).collect()}
+    # p(w, end) = p(w | beginning) p(end | w); two-word texts give p(end | w) of each known context.
+    empty = 10 ** scored[1_005]
+    first = [10 ** scored[1_000 + k] for k in range(5)]
+    assert empty + sum(first) < 1.0 and sum(first) > 0.5
+
+
+def test_toxicity_of_rows_held_out(spark):
+    folder = "/root/testdata/sf0.01"
+    out = {r["doc_id"]: r for r in queries.op5_toxicity(spark, folder).collect()}
+    labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    assert len(out) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    held = [(out[r["doc_id"]], r["toxic"]) for r in labels if r["doc_id"] in out and _crc(r["doc_id"], 5) == 0]
+    assert held and all(o["held_out"] for o, _ in held)
+    assert np.mean([o["predicted"] == y for o, y in held]) > 0.9
+    assert np.mean([o["score"] for o, y in held if y]) > np.mean([o["score"] for o, y in held if not y]) + 0.3
+
+
+def test_toxicity_depends_on_the_text_alone(spark):
+    insult = "you are a pathetic idiot and a worthless moron"
+    calm = "the weather is fine and we walk along the river"
+    texts = [(k, insult if k % 3 == 0 else calm) for k in range(90)]
+    docs = spark.createDataFrame([(i, t, 1.0, 0) for i, t in [*texts, (500, None), (501, ""), (None, insult), (502, "ID1OT"), (502, calm), (503, calm * 3_000)]],
+                                 "doc_id long, text string, insults double, toxic int")
+    labels = spark.createDataFrame([(i, int(t == insult)) for i, t in texts] + [(1, 7), (2, None), (None, 1), (9_999, 1), (3, 1)], "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, labels).collect()
+    assert len(out) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out)
+    by_id = {r["id"]: r["predicted"] for r in out}
+    assert by_id[None] == 1 and by_id[500] == by_id[501] == by_id[503] == 0 and by_id[0] == 1
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and {r["text"] for r in kept.collect()} == {calm, None, "", calm * 3_000} | ({"ID1OT"} if by_id[502] == 0 else set()) - {"ID1OT"} | {
+        r["text"] for r in kept.where("text = 'ID1OT'").collect()}
+    assert {r["score"] for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
+    assert {r["predicted"] for r in toxicity.toxicity(docs, labels.where("toxic = 1")).collect()} == {1}
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_hidden_insults_and_shouting_show_in_the_features(spark):
+    rows = spark.createDataFrame([("an 1d10t and a m.o.r.o.n",), ("YOU IDIOT!!",), ("of the du die and",)], "text string")
+    f = rows.select(*[c.alias(k) for k, c in toxicity.features(F.col("text")).items()]).collect()
+    assert f[0]["hidden_insults"] == pytest.approx(2 / 5) and f[1]["aimed"] == 0.5 and f[1]["shouted"] == 1 and f[2]["insults"] == 0
+
+
+def test_url_parts_rules_and_verdicts(spark):
+    urls = ["http://A.Example.com/en/1?x=/fr/", "https://example.com/en/", "http://WWW.example.com/en/a", "ftp://b.net/es/#q", "x://net/fr/", "http://c.org", "http://c.net/de/1", "nothing", "", None,
+            "http://example.com", "a://b://c/d", "http://badexample.com/en/", "http://u.com?q=1"]
+    pages = spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(urls)] * 1, "page_id long, url string, host string, rule string")
+    out = {r["id"]: r for r in url_filter.judge(pages, queries.RULES).collect()}
+    got = [(out[k]["host"], out[k]["path"], out[k]["rule"]) for k in range(len(urls))]
+    assert got == [("a.example.com", "/en/1", "example.com/en/"), ("example.com", "/en/", "example.com/en/"), ("www.example.com", "/en/a", "www.example.com/en/"), ("b.net", "/es/", "net/es/"),
+                   ("net", "/fr/", "net/fr/"), ("c.org", "", None), ("c.net", "/de/1", None), ("", "", None), ("", "", None), ("", "", None), ("example.com", "", None), ("b:", "//c/d", None),
+                   ("badexample.com", "/en/", "com/"), ("u.com", "", None)]
+    assert [out[k]["verdict"] for k in (0, 2, 3, 4, 12)] == ["block", "allow", "block", "block", "allow"]
+    assert {r["verdict"] for r in url_filter.judge(pages, []).collect()} == {"allow"}
+    assert url_filter.judge(pages.limit(0), queries.RULES).count() == 0
+
+
+def test_url_trees_learn_from_the_urls_that_rules_decide(spark):
+    good, bad = [f"http://news.example.org/a/{k}" for k in range(60)], [f"http://x{k}-win-99.spam.biz/p?a={k}&b=1&c=2" for k in range(60)]
+    rules = [("allow", "news.example.org", "/a/1"), ("allow", "news.example.org", "/a/2"), *[("block", f"x{k}-win-99.spam.biz", "/") for k in range(0, 60, 2)]]
+    out = {r["id"]: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(good + bad)), "page_id long, url string"), rules).collect()}
+    assert all(out[k]["verdict"] == "allow" for k in range(60) if out[k]["rule"] is None)
+    assert all(out[k]["verdict"] == "block" for k in range(60, 120) if out[k]["rule"] is None)

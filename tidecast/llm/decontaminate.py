@@ -73,7 +73,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     a null id is an id like any other. Other columns are not looked at.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).distinct()
-    items = windows(items.withColumn("item", F.xxhash64("item_id", "text")), ["item_id", "item"])
+    items = items.withColumn("item", F.xxhash64("item_id", "text"))
+    # Items also without name marks, as texts in one case show none.
+    items = windows(items, ["item_id", "item"]).union(windows(items.withColumn("text", F.lower("text")), ["item_id", "item"])).distinct()
     literal = F.lit(WINDOW) - F.when(F.col("slots").isNull(), 0).otherwise(F.size(F.filter("slots", lambda x: x.isNotNull())))
     items = stage(items.where(literal >= MIN_LITERALS).withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"}), "benchmark")
     found = windows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"]).join(broadcast_up_to(items, MOST_WINDOWS), "key")
@@ -86,7 +88,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     changed = F.exists("pairs", lambda p: ~p["a"].eqNullSafe(p["b"]))
     covered = consistent.select("id", "item_id", "item", changed.alias("changed"), F.explode("at").alias("at"))
     covered = covered.groupBy("id", "item_id", "item").agg(F.countDistinct("at").alias("n_found"), F.max("changed").alias("reparameterised"))
-    sizes = items.groupBy("item_id", "item").agg(F.count("*").alias("n_windows"))
+    sizes = items.groupBy("item_id", "item").agg(F.countDistinct("item_pos").alias("n_windows"))
     leaked = covered.withColumn("own", F.col("item")).drop("item").join(
         broadcast_up_to(sizes.select("n_windows", F.col("item").alias("own")), MOST_WINDOWS), "own")
     return leaked.where(F.col("n_found") >= MIN_SHARE * F.col("n_windows")).select("id", "item_id", "n_windows", "n_found", "reparameterised")
