@@ -10,7 +10,6 @@ from tidecast.config import CENTER, DATE, QTY, ForecastConfig  # noqa: E402
 from tidecast.session import build_session  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
-FIXTURES = Path(__file__).resolve().parent / "fixtures"
 
 
 @pytest.fixture(scope="session")

@@ -38,9 +38,19 @@ def test_holidays_of_2024(spark):
 
 
 def test_dimension_equals_predicate(spark):
-    days = cal.calendar(spark, dt.date(1986, 1, 1), dt.date(2035, 12, 31))
+    days = cal.calendar(spark, dt.date(1890, 1, 1), dt.date(2150, 12, 31))
     by_rule = {r.date for r in days.where(cal.is_national_holiday(F.col("date")) == 1).collect()}
-    assert by_rule == {r.date for r in cal.holiday_dim(spark, 1986, 2035).collect()}
+    assert by_rule == {r.date for r in cal.holiday_dim(spark, 1890, 2150).collect()}
+    assert {dt.date(1975, 7, 4), dt.date(2105, 7, 4)} <= by_rule
+    assert not {dt.date(1980, 1, 21), dt.date(1965, 2, 15), dt.date(1930, 11, 27)} & by_rule and dt.date(1986, 1, 20) in by_rule
+
+
+def test_dimension_covers_whatever_days_there_are(spark):
+    days = spark.createDataFrame([(dt.date(1975, 7, 4),), (dt.date(2104, 12, 31),), (dt.date(2105, 7, 3),), (dt.date(2105, 7, 6),), (None,)], "date date")
+    hit = days.join(cal.holidays_on(days).select("date").distinct(), "date").select("date")
+    by_rule = days.where(cal.is_national_holiday(F.col("date")) == 1)
+    assert {r.date for r in hit.collect()} == {r.date for r in by_rule.collect()} >= {dt.date(1975, 7, 4)}
+    assert cal.holidays_on(days.limit(0)).count() == 0
 
 
 def test_state_holidays_are_a_parameter(spark):

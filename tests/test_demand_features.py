@@ -108,6 +108,14 @@ def test_row_chain_of_one_series(series):
     assert feat.base_features(demand, OPEN, targets=True, within_split=False).count() == 18
 
 
+def test_own_range_leaves_other_series_alone(series):
+    demand = series({1: [4, None, 5], 2: [None, 7]}).unionByName(series({3: [1]}, "2030-01-01"))
+    days = {}
+    for r in densify(demand, (CENTER,), own_range=True).orderBy(DATE).collect():
+        days.setdefault(r[CENTER], []).append(r[QTY])
+    assert days == {1: [4, 0, 5], 2: [7], 3: [1]}
+
+
 def test_short_series_gives_no_rows(series):
     assert feat.base_features(series({1: [1] * 10}), OPEN, targets=True).count() == 0
 

@@ -60,7 +60,7 @@ def test_all_jobs_in_a_row(spark, sources, tmp_path):
     assert run.metrics.count() == 2 and run.forecasts.count() == 2 * 2 * 14
     assert jobs.save_best(run, str(tmp_path / "best")) in (jobs.LINEAR, jobs.BOOSTED)
     test = template_features(demand, CFG).where("split = 'test'")
-    predictions, errors = jobs.batch_predict(test, run.linear, CFG, str(tmp_path / "predictions"))
+    predictions, errors = jobs.batch_predict(test, run.linear, CFG, str(tmp_path / "predictions"), only_with_targets=True)
     # Fifteen test days per center leave two whose fourteen target days are known.
     assert predictions.count() == 30 and predictions.where("`y_D+1` is not null").count() == 4
     assert errors.collect()[0].n == 4 * 14

@@ -4,7 +4,7 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import FIXTURES, day
+from conftest import day
 from pyspark.sql import functions as F
 
 from tidecast.config import CENTER, DATE, QTY, SHALLOW_BOOST, BoostParams, ForecastConfig, lag_names, quoted, target_names
@@ -102,30 +102,48 @@ def test_coefficients_survive_storage(spark, xy, tmp_path):
     assert linear.score_long(xy, again, KEYS, []).exceptAll(linear.score_long(xy, model, KEYS, [])).count() == 0
 
 
-def test_published_errors_are_reproduced(spark):
-    """Saved predictions of a linear model over 31 consecutive rows give the known error values,
-    and its coefficients can be recovered from them."""
-    rows = pd.read_csv(FIXTURES / "scored_days.csv")
-    start = day("2024-02-05")
-    rows[DATE] = [start + dt.timedelta(days=int(i)) for i in rows.pop("row")]
-    rows[CENTER] = 1
-    df = feat.with_targets(spark.createDataFrame(rows), KEYS).where(F.col(quoted("y_D+14")).isNotNull())
-    assert df.count() == 18
+def test_errors_of_a_made_table_equal_numpy(spark):
+    """Known coefficients score 32 days; pooled, per-output and naive errors are numpy's, and the coefficients come back."""
+    rng = np.random.default_rng(8)
+    qty = rng.integers(20, 90, 46)
+    weights, intercepts = rng.normal(0, 0.1, (14, 14)), rng.normal(40, 5, 14)
+    start, rows = day("2030-01-15"), []
+    for t in range(14, 46):
+        lags = qty[t - 14:t][::-1]
+        rows.append({CENTER: 1, DATE: start + dt.timedelta(days=t), QTY: int(qty[t]),
+                     **{f"qty_D-{i}": int(v) for i, v in enumerate(lags, 1)},
+                     **{met.prediction_name(h): float(v) for h, v in enumerate(intercepts + weights @ lags, 1)}})
+    df = feat.with_targets(spark.createDataFrame(pd.DataFrame(rows)), KEYS).where(F.col(quoted("y_D+14")).isNotNull())
+    y = np.array([qty[t:t + 14] for t in range(14, 33)], float)
+    yhat = np.array([intercepts + weights @ qty[t - 14:t][::-1] for t in range(14, 33)])
+    err = np.abs(y - yhat)
     m = met.error_metrics(met.long_pairs(df, [CENTER]), [CENTER]).collect()[0]
-    assert [round(v, 3) for v in (m.mae, m.rmse, m.rmse_per_output)] == [6.720, 8.291, 8.275]
-    assert round(m.mape, 4) == 0.1131 and m.mape == pytest.approx(m.mape_nonzero) and m.n == 18 * 14
-    per_day = {r.horizon: (round(r.mae, 3), round(r.rmse, 3)) for r in met.error_metrics(
-        met.long_pairs(df, [CENTER]).withColumn("h", F.col("horizon")), ["h"]).withColumnRenamed("h", "horizon").collect()}
-    assert (per_day[1], per_day[7], per_day[14]) == ((6.598, 8.058), (5.715, 7.776), (7.714, 9.056))
+    assert (m.mae, m.rmse, m.rmse_per_output) == pytest.approx((err.mean(), np.sqrt((err ** 2).mean()), np.sqrt((err ** 2).mean(axis=0)).mean()))
+    assert m.mape == pytest.approx((err / y).mean()) and m.mape == pytest.approx(m.mape_nonzero) and m.n == y.size
+    per_day = {r.h: (r.mae, r.rmse) for r in met.error_metrics(met.long_pairs(df, [CENTER]).withColumn("h", F.col("horizon")), ["h"]).collect()}
+    assert per_day[7] == pytest.approx((err[:, 6].mean(), np.sqrt((err[:, 6] ** 2).mean())))
     first = met.naive_pairs(df, [CENTER], (1,)).where("horizon = 1")
-    assert met.error_metrics(first, [CENTER]).collect()[0].mae == pytest.approx(6.5)
+    assert met.error_metrics(first, [CENTER]).collect()[0].mae == pytest.approx(np.abs(np.diff(qty)[13:32]).mean())
 
     predictions = [met.prediction_name(h) for h in range(1, 15)]
-    model = linear.fit_linear(df, KEYS, y=predictions)
-    fitted = linear.score_long(df, model, KEYS, [DATE], y=predictions)
+    fitted = linear.score_long(df, linear.fit_linear(df, KEYS, y=predictions), KEYS, [DATE], y=predictions)
     assert fitted.agg(F.max(F.abs(F.col("y") - F.col("yhat")))).first()[0] < 1e-6
 
 
+def test_series_without_a_model_stay_visible(series):
+    frame = feat.base_features(series({1: noisy(80), 2: [None] * 60 + noisy(20)}), OPEN, targets=True, within_split=False)
+    model = linear.fit_linear(frame.where(f"{CENTER} = 1"), KEYS)
+    cells = linear.score_long(frame, model, KEYS, [CENTER])
+    assert cells.count() == 14 * frame.count() and cells.where("y is null or horizon is null").count() == 0
+    left = {r[CENTER]: r.n_unscored for r in met.unscored(cells, [CENTER]).collect()}
+    assert left == {1: 0, 2: 14 * frame.where(f"{CENTER} = 2").count()}
+
+
+def test_a_model_without_an_error_does_not_win(spark):
+    rows = spark.createDataFrame([("a", None), ("b", 2.0), ("c", 1.0), ("d", float("nan"))], "model string, rmse double")
+    assert tuple(met.best_model(rows).collect()[0]) == ("c", 1.0)
+
+
 def test_error_metrics_edge_cases(spark):
     cells = spark.createDataFrame([
         ("a", 1, 0.0, 1.0), ("a", 1, 4.0, 2.0), ("a", 2, 2.0, 12.0), ("a", 2, 2.0, 2.0), ("b", 1, 0.0, 0.0),
@@ -231,7 +249,9 @@ def test_importance_ranks_the_driver_first(spark):
 
 def test_training_compares_on_the_same_days(series, cfg, spark, tmp_path):
     demand = series({1: noisy(411, 1), 2: noisy(411, 2, 60)})
-    run = jobs.train_and_select(demand, cfg, TINY)
+    run = jobs.train_and_select(demand, cfg, TINY, runs=str(tmp_path / "runs"))
+    recorded = {r.model: r for r in sinks.load_runs(spark, str(tmp_path / "runs")).collect()}
+    assert recorded["boosted_recursive"].params["n_estimators"] == str(TINY.n_estimators) and recorded["linear"].metrics["n"] == 28
     m = {r.model: r for r in run.metrics.collect()}
     assert {k: r.n for k, r in m.items()} == {"linear": 28, "boosted_recursive": 28}
     assert run.best.collect()[0].model == min(m, key=lambda k: m[k].rmse)
@@ -243,15 +263,23 @@ def test_training_compares_on_the_same_days(series, cfg, spark, tmp_path):
     swapped = replace(run, best=spark.createDataFrame([("boosted_recursive", 1.0)], "model string, rmse double"))
     jobs.save_best(swapped, str(tmp_path / "best"))
     name, model = jobs.load_best(spark, str(tmp_path / "best"))
-    assert name == "boosted_recursive" and model.getNumTrees == TINY.n_estimators
+    assert name == "boosted_recursive" and model.model.getNumTrees == TINY.n_estimators
+    assert model.features == trees.tree_features(cfg) and model.state_holidays == cfg.state_holidays
     with pytest.raises(ValueError):
         jobs.save_best(replace(swapped, boosted=None), str(tmp_path / "none"))
 
     features = feat.template_features(demand, cfg).where("split <> 'train'")
-    predictions, errors = jobs.batch_predict(features, run.linear, cfg, str(tmp_path / "predictions"))
+    # The saved trees score the day after the training history as they did in training.
+    again, errors = jobs.batch_predict(features, model, cfg)
+    first = again.where(F.col(DATE) == F.lit(cfg.valid_from)).orderBy(CENTER).collect()
+    made = run.forecasts.where("model = 'boosted_recursive'").orderBy(CENTER, "horizon").collect()
+    assert [r[f"y_D+{h}"] for r in first for h in range(1, 15)] == pytest.approx([r.yhat for r in made])
+    assert errors.collect()[0].n == 14 * (features.count() - 26)
+
+    predictions, errors = jobs.batch_predict(features, run.linear, cfg, str(tmp_path / "predictions"), only_with_targets=True)
     assert predictions.count() == features.count() and QTY not in predictions.columns
     # Rows without all fourteen known targets keep their features and carry no prediction.
     assert predictions.where("`y_D+1` is null").count() == 2 * 13 == predictions.where("`y_D+14` is null").count()
     assert errors.collect()[0].n == 14 * (features.count() - 26)
-    everything, _ = jobs.batch_predict(features, run.linear, cfg, only_with_targets=False)
+    everything, _ = jobs.batch_predict(features, run.linear, cfg)
     assert everything.where("`y_D+14` is null").count() == 0

@@ -56,6 +56,39 @@ def test_frequencies_and_profiles(spark):
     assert {tuple(r) for r in profile.histogram(df, "n", 2.0).collect()} == {(0, 0.0, 2), (1, 2.0, 1), (2, 4.0, 1)}
 
 
+def test_numbers_close_together_and_far_from_zero_keep_their_spread(spark):
+    df = spark.createDataFrame([(1e9,), (1e9 + 1,), (1e9 + 2,)], "a double")
+    assert profile.describe_numeric(df).collect()[0]["std"] == pytest.approx(1.0)
+    assert profile.column_profile(df).collect()[0]["std"] == pytest.approx(1.0)
+
+
+def test_long_ids_are_described_exactly(spark):
+    ids = [2 ** 53 + k for k in (0, 1, 3)]
+    r = profile.describe_numeric(spark.createDataFrame([(i,) for i in ids], "id bigint"), exact=True).collect()[0]
+    assert (int(r["min"]), int(r["max"])) == (ids[0], ids[-1]) and int(r["q50"]) == ids[1] and r["std"] == pytest.approx(np.std([0, 1, 3], ddof=1))
+
+
+def test_pareto_at_the_boundary(spark):
+    rows = profile.pareto(spark.createDataFrame([(k, 3) for k in range(95)], "product_id int, n bigint"), "product_id")
+    assert profile.concentration(rows).collect()[0].n_needed == 76
+
+
+def test_no_history_gives_no_products(spark, series):
+    empty = series({1: [None]})
+    items = spark.createDataFrame([], f"{CENTER} bigint, product_id bigint, created_at timestamp")
+    last = planning.history_of(empty)[1]
+    assert last is None and planning.product_mix(items, empty, last).count() == 0
+    grain = empty.withColumn("product_id", F.lit(1))
+    assert planning.mix_of_days(grain, empty, last).count() == 0
+    assert planning.recent_average(empty, KEYS, history=(None, None)).count() == 0
+
+
+def test_forecast_starts_at_the_cutoff(series):
+    demand = series({1: [5, 6] * 50})
+    cfg = ForecastConfig(cutoff=day("2023-03-20"), valid_from=day("2023-02-15"), test_from=day("2023-03-01"))
+    assert planning.two_week_demand(demand, cfg).collect()[0].first_day == day("2023-03-20")
+
+
 def test_pareto(spark):
     counts = spark.createDataFrame([(1, 50), (2, 30), (3, 10), (4, 10)], "product_id int, n bigint")
     rows = profile.pareto(counts, "product_id")

@@ -3,7 +3,7 @@ from pathlib import Path
 import __spark_entry__ as contract
 from conftest import SMALL
 
-from tidecast.staging import drop_staged, shared_folder, stage
+from tidecast.staging import drop_staged, dropping_staged, shared_folder, stage
 
 
 def test_staged_rows_come_back_until_dropped(spark):
@@ -24,3 +24,29 @@ def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
     df = contract.entry(spark)
     assert df.schema == contract.queries()["features_qty_lags"](spark, SMALL).schema and df.count() > 0
+
+
+def test_a_block_drops_only_what_it_staged(spark):
+    kept = stage(spark.range(3))
+    with dropping_staged(spark):
+        inner = stage(spark.range(4))
+        path = Path(inner.inputFiles()[0].removeprefix("file://")).parent
+        assert path.exists()
+    assert not path.exists() and kept.count() == 3
+    assert drop_staged(spark) >= 1
+
+
+def test_tables_of_a_database_keep_their_buckets(spark):
+    from tidecast.sources import sinks, tables
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS star")
+    try:
+        for name, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+            sinks.save_bucketed(tables.table(spark, SMALL, name), f"star.{name}", (key,), 4)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = tables.order_items(spark, "star", "created_at")
+        assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == tables.order_items(spark, SMALL, "created_at").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE star CASCADE")

@@ -16,6 +16,7 @@ STEP = "day_step"
 STATE_HOLIDAYS = ("07-19", "03-04", "03-29")
 
 
+# The two named sets of boosted-tree settings, this default and SHALLOW_BOOST below.
 @dataclass(frozen=True)
 class BoostParams:
     """Boosted-tree settings in the vocabulary forecasters use; see ``trees.boosted_regressor``."""

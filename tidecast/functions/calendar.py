@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.config import DATE, STATE_HOLIDAYS
+from tidecast.config import DATE, STATE_HOLIDAYS, quoted
 
 SECONDS_PER_DAY = 86_400
 
@@ -20,14 +20,14 @@ FIXED_HOLIDAYS = (
     (11, 11, "Veterans Day", 0),
     (12, 25, "Christmas Day", 0),
 )
-# Month, weekday (Monday = 0) and first possible day of those bound to a weekday.
+# Month, weekday (Monday = 0) and first possible day of those bound to a weekday, with first year.
 FLOATING_HOLIDAYS = (
-    (1, 0, 15, "Martin Luther King Jr. Day"),
-    (2, 0, 15, "Washington's Birthday"),
-    (5, 0, 25, "Memorial Day"),
-    (9, 0, 1, "Labor Day"),
-    (10, 0, 8, "Columbus Day"),
-    (11, 3, 22, "Thanksgiving"),
+    (1, 0, 15, "Martin Luther King Jr. Day", 1986),
+    (2, 0, 15, "Washington's Birthday", 1971),
+    (5, 0, 25, "Memorial Day", 1971),
+    (9, 0, 1, "Labor Day", 1894),
+    (10, 0, 8, "Columbus Day", 1971),
+    (11, 3, 22, "Thanksgiving", 1942),
 )
 # Periods of the cyclic encodings.
 CYCLES = {"day_of_week": 7, "month": 12, "day": 30, "week_of_year": 53}
@@ -81,8 +81,8 @@ def is_national_holiday(date: Column) -> Column:
     """1 on US federal holidays and on their observed weekday (Saturday → Friday, Sunday → Monday)."""
     key, weekday = F.month(date) * 100 + F.dayofmonth(date), F.weekday(date)
     hit = _on_fixed_holiday(date)
-    for m, wd, d, _ in FLOATING_HOLIDAYS:
-        hit = hit | ((weekday == wd) & key.between(m * 100 + d, m * 100 + d + 6))
+    for m, wd, d, _, since in FLOATING_HOLIDAYS:
+        hit = hit | ((weekday == wd) & key.between(m * 100 + d, m * 100 + d + 6) & (F.year(date) >= since))
     observed_friday = (weekday == 4) & _on_fixed_holiday(F.date_add(date, 1))
     observed_monday = (weekday == 0) & _on_fixed_holiday(F.date_sub(date, 1))
     return (hit | observed_friday | observed_monday).cast("int")
@@ -99,35 +99,40 @@ def calendar(spark: SparkSession, first, last) -> DataFrame:
 
 
 def holiday_dim(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
-    """Holiday dimension (date, holiday, observed): at most 16 rows a year.
+    """Holiday dimension (date, holiday, observed) of some years: at most 16 rows a year."""
+    # An observed New Year's Day may fall into the year before.
+    years = spark.range(first_year, last_year + 2).select(F.col("id").cast("int").alias("year"))
+    return holidays_of(years).where(F.year(DATE).between(first_year, last_year))
+
+
+def holidays_on(days: DataFrame, date: str = DATE) -> DataFrame:
+    """The holiday dimension of all years that ``days`` has dates in, whatever they are."""
+    year = F.year(F.col(quoted(date)))
+    return holidays_of(days.select(F.explode(F.array(year, year + 1)).alias("year")).where("year is not null").distinct())
 
-    Built forward from the rules, year by year; ``is_national_holiday`` tests a given date
-    against the same rules without a join.
+
+def holidays_of(years: DataFrame) -> DataFrame:
+    """(date, holiday, observed) for each ``year``, with days observed in the year before.
+
+    Built forward from the rules; ``is_national_holiday`` tests a given date against the same
+    rules without a join.
     """
-    # An observed New Year's Day may fall into the year before.
     year = F.col("year")
-    fixed = [
-        F.when(year >= since, F.struct(F.make_date(year, F.lit(m), F.lit(d)).alias(DATE), F.lit(name).alias("holiday")))
-        for m, d, name, since in FIXED_HOLIDAYS
-    ]
-    floating = []
-    for m, wd, d, name in FLOATING_HOLIDAYS:
+    rules = [(since, F.make_date(year, F.lit(m), F.lit(d)), name) for m, d, name, since in FIXED_HOLIDAYS]
+    for m, wd, d, name, since in FLOATING_HOLIDAYS:
         start = F.make_date(year, F.lit(m), F.lit(d))
-        shift = F.pmod(F.lit(wd) - F.weekday(start), F.lit(7)).cast("int")
-        floating.append(F.struct(F.date_add(start, shift).alias(DATE), F.lit(name).alias("holiday")))
-    years = spark.range(first_year, last_year + 2).select(F.col("id").cast("int").alias("year"))
-    actual = years.select(
-        F.explode(F.array(*fixed, *floating)).alias("h")
-    ).where("h is not null").select(F.col("h.date").alias(DATE), F.col("h.holiday").alias("holiday"))
-    moved = F.when(F.weekday(DATE) == 5, F.date_sub(F.col(DATE), 1)).when(
-        F.weekday(DATE) == 6, F.date_add(F.col(DATE), 1))
+        rules.append((since, F.date_add(start, F.pmod(F.lit(wd) - F.weekday(start), F.lit(7)).cast("int")), name))
+    known = F.array(*[F.when(year >= since, F.struct(day.alias(DATE), F.lit(name).alias("holiday"))) for since, day, name in rules])
+    actual = years.select(F.explode(known).alias("h")).where("h is not null").select("h.*")
+    # Only days bound to a date can fall on a weekend.
+    moved = F.when(F.weekday(DATE) == 5, F.date_sub(F.col(DATE), 1)).when(F.weekday(DATE) == 6, F.date_add(F.col(DATE), 1))
     return (
         actual.select("holiday", F.explode(F.array(
             F.struct(F.col(DATE).alias("d"), F.lit(False).alias("observed")),
             F.struct(moved.alias("d"), F.lit(True).alias("observed")),
         )).alias("x"))
         .select(F.col("x.d").alias(DATE), "holiday", F.col("x.observed").alias("observed"))
-        .where(F.col(DATE).isNotNull() & F.year(DATE).between(first_year, last_year))
+        .where(F.col(DATE).isNotNull())
     )
 
 

@@ -15,10 +15,12 @@ def date_bounds(df: DataFrame, date: str = DATE, by: tuple[str, ...] = ()) -> Da
 
 
 def densify(demand: DataFrame, keys: tuple[str, ...], date: str = DATE, value: str = QTY,
-            bounds_by: tuple[str, ...] = ()) -> DataFrame:
+            bounds_by: tuple[str, ...] = (), own_range: bool = False) -> DataFrame:
     """(keys, date, value) with zero on days without demand.
 
-    The range is that of the whole table, or of each ``bounds_by`` group (a subset of ``keys``).
+    The range is that of the whole table, of each ``bounds_by`` group (a subset of ``keys``), or with
+    ``own_range`` that of each series, from its own first to its own last day: the choice for
+    fine grains, where one odd date would otherwise lengthen every series.
     No grid is joined: each row spawns the days up to the next row of its series, the first row
     also those before it. That takes one shuffle by series, holds at any number of series, and
     the windows built on top reuse its partitioning. A series has at most one row per day here,
@@ -27,7 +29,9 @@ def densify(demand: DataFrame, keys: tuple[str, ...], date: str = DATE, value: s
     ``demand`` is read twice (rows and range): pass a staged or otherwise cheap frame.
     """
     rows = demand.select(*keys, date, value)
-    if bounds_by:
+    if own_range:
+        rows = rows.withColumns({"first_day": F.col(date), "last_day": F.col(date)})
+    elif bounds_by:
         bounds = date_bounds(rows, date, bounds_by)
         if set(bounds_by) == {SPLIT}:
             # Three rows. Joined by shuffle instead, all rows would meet under three keys.

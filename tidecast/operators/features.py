@@ -99,6 +99,11 @@ def encode_year(df: DataFrame, frequency: DataFrame) -> DataFrame:
     return df.join(F.broadcast(frequency), on, "left").fillna(0, ["year_freq"])
 
 
+def known_days(demand: DataFrame, cfg: ForecastConfig) -> DataFrame:
+    """Demand before the cutoff, all of it without one."""
+    return demand if cfg.cutoff is None else demand.where(F.col(DATE) < F.lit(cfg.cutoff))
+
+
 def base_features(demand: DataFrame, cfg: ForecastConfig, step_first: int = 1, step_lags: bool = True,
                   targets: bool = False, within_split: bool = True) -> DataFrame:
     """Dense days, step, lags and targets of every series, incomplete rows dropped.
@@ -108,8 +113,7 @@ def base_features(demand: DataFrame, cfg: ForecastConfig, step_first: int = 1, s
     ``within_split`` is off). With ``cfg.per_split`` each split is filled and lagged on its own.
     """
     keys = cfg.series
-    if cfg.cutoff is not None:
-        demand = demand.where(F.col(DATE) < F.lit(cfg.cutoff))
+    demand = known_days(demand, cfg)
     if cfg.per_split:
         demand = demand.withColumn(SPLIT, split_label(F.col(DATE), cfg))
         keys = (*keys, SPLIT)
@@ -190,8 +194,8 @@ def recent_quantities(demand: DataFrame, keys, n: int = 14) -> DataFrame:
     """(keys, date, n_days, recent): the last day of the table, the length of its range, and the
     quantities of the last ``n`` days of each series, newest first, silent days as zero.
 
-    A conditional sum per day: no gap fill, no window, one shuffle that combines map side. A
-    range shorter than ``n`` days gives no rows. Takes sparse or dense demand.
+    A conditional sum per day: no gap fill, no window, one shuffle that combines map side. In a
+    range shorter than ``n`` days the days before it count as silent. Takes sparse or dense demand.
     """
     bounds = date_bounds(demand, DATE)
     rows = demand.withColumns({
@@ -200,13 +204,16 @@ def recent_quantities(demand: DataFrame, keys, n: int = 14) -> DataFrame:
     sums = rows.groupBy(*keys).agg(
         F.max("__last").alias(DATE), (F.datediff(F.max("__last"), F.max("__first")) + 1).alias("n_days"),
         *[F.sum(F.when(age == i, F.col(QTY)).otherwise(0)).alias(f"__{i}") for i in range(n)])
-    return sums.where(F.col("n_days") >= n).select(
+    return sums.select(
         *keys, DATE, "n_days", F.array(*[f"__{i}" for i in range(n)]).alias("recent"))
 
 
 def future_rows(demand: DataFrame, cfg: ForecastConfig, step_first: int = 1) -> DataFrame:
-    """One row per series for the day after the end: its lags are the last known quantities."""
-    last = recent_quantities(demand, cfg.series, cfg.lags)
+    """One row per series for the day after the end: its lags are the last known quantities.
+
+    The end is that of the days before ``cfg.cutoff``, as in training.
+    """
+    last = recent_quantities(known_days(demand, cfg), cfg.series, cfg.lags)
     return last.select(
         *cfg.series, F.date_add(DATE, 1).alias(DATE), (F.col("n_days") + step_first).cast("bigint").alias(STEP),
         *[F.col("recent")[i - 1].alias(lag_name(i)) for i in range(1, cfg.lags + 1)])

@@ -103,7 +103,8 @@ def score_long(frame: DataFrame, model: DataFrame, keys, keep: list[str], x: lis
 
     A row spreads over its horizons before the dot product, so the generated code holds one dot
     product instead of one per horizon and stays small enough to be compiled. Without targets
-    (``y`` empty) there is no ``y``. Rows of series without a model drop out.
+    (``y`` empty) there is no ``y``. Cells of series without a model have a null ``yhat``; without
+    targets such a series has one row with a null horizon.
     """
     x, y = x or lag_names(), target_names() if y is None else y
     parts = ["intercepts", "weights"]
@@ -111,8 +112,12 @@ def score_long(frame: DataFrame, model: DataFrame, keys, keep: list[str], x: lis
     if y:
         joined = joined.withColumn("__y", F.array(*[F.col(quoted(c)).cast("double") for c in y]))
         parts.append("__y")
+        # Arrays of nulls keep the cells of a series without a model.
+        none = F.array_repeat(F.lit(None).cast("double"), len(y))
+        joined = joined.withColumns({"intercepts": F.coalesce("intercepts", none),
+                                     "weights": F.coalesce("weights", F.array_repeat(F.lit(None).cast("array<double>"), len(y)))})
     xs = [F.col(quoted(c)).cast("double").alias(f"__x{j}") for j, c in enumerate(x)]
-    spread = joined.select(*keep, *xs, F.posexplode(F.arrays_zip(*parts)).alias("__h", "__c"))
+    spread = joined.select(*keep, *xs, F.posexplode_outer(F.arrays_zip(*parts)).alias("__h", "__c"))
     yhat = F.col("__c.intercepts")
     for j in range(len(x)):
         yhat = yhat + F.col("__c.weights")[j] * F.col(f"__x{j}")

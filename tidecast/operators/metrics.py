@@ -28,7 +28,8 @@ def error_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
     """n, mae, mape, mape_nonzero, rmse (pooled) and rmse_per_output per ``by`` group.
 
     ``mape`` is a fraction and lets zero actuals blow it up; ``mape_nonzero`` leaves them out.
-    ``rmse_per_output`` averages the roots of the single horizons. Two levels of sums: the
+    ``rmse_per_output`` averages the roots of the single horizons. ``n`` counts the cells with a
+    value and a prediction; ``unscored`` counts those with a value alone. Two levels of sums: the
     first combines map side, the second only sees one row per group and horizon.
     """
     err = F.abs(F.col("y") - F.col("yhat"))
@@ -52,9 +53,14 @@ def error_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def unscored(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, n_unscored): cells with a known value and no prediction, such as those of series without a model."""
+    return pairs.groupBy(*by).agg(F.count_if(F.col("y").isNotNull() & F.col("yhat").isNull()).alias("n_unscored"))
+
+
 def best_model(metrics: DataFrame, metric: str = "rmse", by: tuple[str, ...] = ()) -> DataFrame:
-    """The model with the least error; equal errors go to the smaller name."""
-    return metrics.groupBy(*by).agg(
+    """The model with the least error; equal errors go to the smaller name, models without an error are out."""
+    return metrics.where(F.col(metric).isNotNull() & ~F.isnan(metric)).groupBy(*by).agg(
         F.min_by("model", F.struct(F.col(metric), F.col("model"))).alias("model"),
         F.min(metric).alias(metric),
     )

@@ -19,10 +19,12 @@ SAFETY_DAYS = 7
 PLAN_DAYS = 60
 AVERAGE_DAYS = 90
 MIX_MONTHS = 3
+# Centers whose totals may be broadcast to their products.
+MOST_CENTERS = 100_000
 
 
 def history_of(demand: DataFrame) -> tuple[dt.date, dt.date]:
-    """First and last day with demand: two values, read to prune the scans that depend on them."""
+    """First and last day with demand, None without any: two values, read to prune the scans that depend on them."""
     return tuple(date_bounds(demand).first())
 
 
@@ -38,13 +40,15 @@ def two_week_demand(demand: DataFrame, cfg: ForecastConfig) -> DataFrame:
     return cells.groupBy(*cfg.series, F.col(DATE).alias("first_day")).agg(F.sum("yhat").alias("units"))
 
 
-def product_mix(items: DataFrame, demand: DataFrame, as_of: dt.date, product: str = "product_id",
+def product_mix(items: DataFrame, demand: DataFrame, as_of: dt.date | None, product: str = "product_id",
                 months: int = MIX_MONTHS, created_at: str = "created_at") -> DataFrame:
     """(center, product, units, mix): share of a center's units over (as_of − months, as_of].
 
     Totals per center come from the daily table, so the facts are read once, for these months
-    only, and no window gathers all products of a center.
+    only, and no window gathers all products of a center. Without a day (no history) there are no rows.
     """
+    if as_of is None:
+        items, as_of = items.where(F.lit(False)), dt.date(1970, 1, 1)
     totals = demand.where((F.col(DATE) > F.lit(_months_back(as_of, months))) & (F.col(DATE) <= F.lit(as_of))).groupBy(CENTER).agg(
         F.sum(QTY).alias("center_units"))
     units = recent_items(items, as_of, months, created_at).where(
@@ -54,6 +58,19 @@ def product_mix(items: DataFrame, demand: DataFrame, as_of: dt.date, product: st
         CENTER, product, "units", (F.col("units") / F.col("center_units")).alias("mix"))
 
 
+def mix_of_days(grain: DataFrame, demand: DataFrame, as_of: dt.date | None, product: str = "product_id",
+                months: int = MIX_MONTHS) -> DataFrame:
+    """``product_mix`` from daily demand by center and product, where that table is at hand."""
+    if as_of is None:
+        grain, demand, as_of = grain.where(F.lit(False)), demand.where(F.lit(False)), dt.date(1970, 1, 1)
+    recent = (F.col(DATE) > F.lit(_months_back(as_of, months))) & (F.col(DATE) <= F.lit(as_of))
+    totals = demand.where(recent).groupBy(CENTER).agg(F.sum(QTY).alias("center_units"))
+    if totals.count() <= MOST_CENTERS:
+        totals = F.broadcast(totals)
+    units = grain.where(recent).groupBy(CENTER, product).agg(F.sum(QTY).alias("units"))
+    return units.join(totals, CENTER).select(CENTER, product, "units", (F.col("units") / F.col("center_units")).alias("mix"))
+
+
 def recent_items(items: DataFrame, as_of: dt.date, months: int, created_at: str = "created_at") -> DataFrame:
     """Items of the last months, cut by literal bounds the scan can use."""
     first = _months_back(as_of, months) + dt.timedelta(days=1)
@@ -70,7 +87,10 @@ def _months_back(day: dt.date, months: int) -> dt.date:
 
 def product_demand(mix: DataFrame, center_units: DataFrame, product: str = "product_id") -> DataFrame:
     """Expected units of each product: its mix times the units expected at its center."""
-    return mix.join(center_units.select(CENTER, F.col("units").alias("expected")), CENTER).select(
+    expected = center_units.select(CENTER, F.col("units").alias("expected"))
+    if expected.count() <= MOST_CENTERS:  # else the products of a center would meet under its key
+        expected = F.broadcast(expected)
+    return mix.join(expected, CENTER).select(
         CENTER, product, "units", "mix", (F.col("mix") * F.col("expected")).alias("expected_units"))
 
 
@@ -83,7 +103,7 @@ def recent_average(demand: DataFrame, keys, days: int = AVERAGE_DAYS,
     several rows a day, such as ``daily.units``: with ``history`` (first and last day) given it
     is read once and reduced by one shuffle, whatever the grain of ``keys``.
     """
-    if history:
+    if history and None not in history:
         first, last = F.lit(history[0]), F.lit(history[1])
     else:
         bounds = date_bounds(demand)

@@ -6,14 +6,16 @@ fills a third of a column moves as one row per task, and no task ever holds a wh
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecast.config import quoted
 from tidecast.operators.ranking import running_total
+from tidecast.staging import stage
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -71,15 +73,38 @@ def frequencies(df: DataFrame, columns: list[str], as_type: str) -> DataFrame:
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _means(counted: DataFrame, value: str) -> DataFrame:
+    """(column, low, beyond) of a frequency table, the smallest value and how far the mean lies above it:
+    one row per column, so it may be broadcast.
+
+    Values are summed as distances from the smallest, so whole numbers of any size keep their digits.
+    """
+    known = counted.where(F.col(value).isNotNull())
+    low = known.groupBy("column").agg(F.min(value).alias("low"))
+    apart = (F.col(value) - F.col("low")).cast("double")
+    return F.broadcast(known.join(F.broadcast(low), "column").groupBy("column").agg(
+        F.max("low").alias("low"), (F.sum(F.col("n") * apart) / F.sum("n")).alias("beyond")))
+
+
+def _moments(n: Column, value: Column) -> list[Column]:
+    """Mean and sum of squared deviations, both from distances to the smallest value."""
+    off = (value - F.col("low")).cast("double") - F.col("beyond")
+    return [(F.max("low").cast("double") + F.max("beyond")).alias("mean"), F.sum(n * off * off).alias("spread")]
+
+
 def describe_numeric(df: DataFrame, columns: list[str] | None = None,
-                     quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+                     quantiles: tuple[float, ...] = (0.25, 0.5, 0.75), exact: bool = False) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max) with exact, interpolated quantiles.
 
+    Deviations are taken from the mean, so numbers that lie close together far from zero keep
+    theirs. Values are doubles; ``exact`` keeps whole numbers of up to 38 digits as they are.
+
     Quantiles are read off the running totals of the frequency table, which are range-partitioned,
     so neither the column nor its distinct values need to fit anywhere.
     """
-    ranked = running_total(frequencies(df, columns or numeric_columns(df), "double"),
-                           [F.col("value")], "n", "cum", within=("column",))
+    counted = stage(frequencies(df, columns or numeric_columns(df), "decimal(38,0)" if exact else "double"), "frequencies")
+    ranked = running_total(counted, [F.col("value")], "n", "cum", within=("column",))
+    ranked = ranked.join(_means(counted, "value"), "column")
     n, v, total = F.col("n"), F.col("value"), F.col("cum_all")
     picks = []
     for p in quantiles:
@@ -88,17 +113,14 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None,
         picks += [F.min(F.when(F.col("cum") > at, v)).alias(f"{name}_lo"),
                   F.min(F.when(F.col("cum") > F.least(at + 1, total - 1), v)).alias(f"{name}_hi")]
     sums = ranked.groupBy("column").agg(
-        F.sum("n").alias("count"), F.sum(n * v).alias("s1"), F.sum(n * v * v).alias("s2"),
+        F.sum("n").alias("count"), *_moments(n, v),
         F.min("value").alias("min"), F.max("value").alias("max"), *picks)
-    mean = F.col("s1") / F.col("count")
-    spread = F.greatest(F.col("s2") - F.col("s1") * mean, F.lit(0.0))
-    result = ["column", "count", mean.alias("mean"),
-              F.sqrt(F.try_divide(spread, F.col("count") - 1)).alias("std"), "min"]
+    result = ["column", "count", "mean", F.sqrt(F.try_divide(F.col("spread"), F.col("count") - 1)).alias("std"), "min"]
     for p in quantiles:
         name = f"q{round(p * 100)}"
         at = (F.col("count") - 1) * F.lit(p)
-        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        result.append((lo + (at - F.floor(at)) * (hi - lo)).alias(name))
+        lo, hi, part = F.col(f"{name}_lo"), F.col(f"{name}_hi"), at - F.floor(at)
+        result.append((lo + (part.cast("decimal(7,6)") if exact else part) * (hi - lo)).alias(name))
     return sums.select(*result, "max")
 
 
@@ -131,18 +153,16 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         (F.col(quoted(c)).cast("double") if isinstance(kinds[c], T.NumericType)
          else F.lit(None).cast("double")).alias("x"),
     ) for c in columns])
-    counted = df.select(F.explode(cells).alias("c")).select("c.*").groupBy("column", "type", "value", "x").agg(
-        F.count(F.lit(1)).alias("n"))
+    counted = stage(df.select(F.explode(cells).alias("c")).select("c.*").groupBy("column", "type", "value", "x").agg(
+        F.count(F.lit(1)).alias("n")), "frequencies")
     known, n, x = F.col("value").isNotNull(), F.col("n"), F.col("x")
-    sums = counted.groupBy("column", "type").agg(
+    sums = counted.join(_means(counted, "x"), "column", "left").groupBy("column", "type").agg(
         F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(~known, n)), F.lit(0)).alias("n_null"),
         F.count_if(known).alias("n_distinct"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.sum(F.when(x.isNotNull(), n)).alias("m"), F.sum(n * x).alias("s1"), F.sum(n * x * x).alias("s2"),
+        F.sum(F.when(x.isNotNull(), n)).alias("m"), *_moments(n, x),
         F.min_by("value", F.when(known, F.struct(-n, F.col("value")))).alias("top"))
-    mean = F.col("s1") / F.col("m")
-    spread = F.greatest(F.col("s2") - F.col("s1") * mean, F.lit(0.0))
-    return sums.select("column", "type", "n_rows", "n_null", "n_distinct", "min", "max", mean.alias("mean"),
-                       F.sqrt(F.try_divide(spread, F.col("m") - 1)).alias("std"), "top")
+    return sums.select("column", "type", "n_rows", "n_null", "n_distinct", "min", "max", "mean",
+                       F.sqrt(F.try_divide(F.col("spread"), F.col("m") - 1)).alias("std"), "top")
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -156,14 +176,16 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def pareto(counts: DataFrame, key: str, count: str = "n") -> DataFrame:
-    """(key, n, running, share): cumulative share of units, largest first, ties by key."""
+    """(key, n, running, running_all, share): cumulative share of units, largest first, ties by key."""
     ranked = running_total(counts.select(key, count), [F.col(count).desc(), F.col(key)], count)
-    return ranked.select(key, count, "running", (F.col("running") / F.col("running_all")).alias("share"))
+    return ranked.select(key, count, "running", "running_all", (F.col("running") / F.col("running_all")).alias("share"))
 
 
 def concentration(pareto_rows: DataFrame, count: str = "n", level: float = 0.8) -> DataFrame:
-    """How many of the keys, counted from the largest, it takes to reach ``level`` of all units."""
-    needed = (F.col("running") - F.col(count)) < F.lit(level) * F.col("running") / F.col("share")
+    """How many of the keys, counted from the largest, it takes to reach ``level`` of all units; exact for whole units."""
+    part = Fraction(str(level))
+    exact = lambda c, by: c.cast("decimal(28,6)") * F.lit(by)
+    needed = exact(F.col("running") - F.col(count), part.denominator) < exact(F.col("running_all"), part.numerator)
     return pareto_rows.agg(F.count_if(needed).alias("n_needed"), F.count(F.lit(1)).alias("n_keys")).withColumn(
         "needed_share", F.col("n_needed") / F.col("n_keys"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidecast.config import DATE, STEP, ForecastConfig, lag_name, step_lag_name
 from tidecast.functions.calendar import calendar_columns, holiday_columns
-from tidecast.operators.features import recent_quantities
+from tidecast.operators.features import known_days, recent_quantities
 from tidecast.staging import stage
 
 STATE = "recent"  # the last quantities of a series, newest first
@@ -18,7 +18,7 @@ STATE = "recent"  # the last quantities of a series, newest first
 def series_state(demand: DataFrame, cfg: ForecastConfig, step_first: int = 1) -> DataFrame:
     """(series, date, day_step, recent): one row per series at the last day of the table, with its
     latest quantities in an array of fixed length."""
-    last = recent_quantities(demand, cfg.series, cfg.lags)
+    last = recent_quantities(known_days(demand, cfg), cfg.series, cfg.lags)
     return last.select(*cfg.series, DATE, (F.col("n_days") + (step_first - 1)).cast("bigint").alias(STEP),
                        F.col("recent").cast("array<double>").alias(STATE))
 

@@ -19,6 +19,8 @@ from tidecast.staging import stage
 
 CALENDAR = ["year", "month", "day", "week_of_year", "day_of_week"]
 HOLIDAYS = ["is_national_holiday", "is_state_holiday"]
+# Fixed value: trees without a depth limit stop at what Spark allows.
+MAX_DEPTH = 30
 
 
 def tree_features(cfg: ForecastConfig) -> list[str]:
@@ -90,11 +92,14 @@ def recursive_boosted(frame: DataFrame, demand: DataFrame, frequency: DataFrame,
 
 def known_frequency(frequency: DataFrame) -> Column:
     """The learned frequencies as an expression on ``year``: a handful of calendar years, read once,
-    so that no round of a forecast needs a join. A year never seen gives 0."""
-    known = F.lit(0)
-    for r in frequency.select("year", "year_freq").collect():
-        known = F.when(F.col("year") == r.year, r.year_freq).otherwise(known)
-    return known.cast("bigint")
+    so that no round of a forecast needs a join. A year never seen gives 0. The expression is one map
+    lookup; the calendar bounds its size."""
+    pairs = frequency.agg(F.map_from_entries(F.collect_list(F.struct("year", F.col("year_freq").cast("bigint")))).alias("m"))
+    known = {int(y): int(n) for y, n in (pairs.first()["m"] or {}).items()}
+    if not known:
+        return F.lit(0).cast("bigint")
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(F.element_at(table, F.col("year")), F.lit(0)).cast("bigint")
 
 
 def append_rows(history: DataFrame, rows: DataFrame) -> DataFrame:
@@ -128,8 +133,8 @@ def score_per_horizon(frame: DataFrame, features: list[str], models: dict) -> Da
     return scored.drop("features")
 
 
-def forest_pipeline(numeric: list[str], categorical: list[str], trees: int = 100, depth: int = 5,
-                    seed: int = 42) -> Pipeline:
+def forest_pipeline(numeric: list[str], categorical: list[str], trees: int = 100, depth: int = MAX_DEPTH,
+                    seed: int = 42, bootstrap: bool = True) -> Pipeline:
     """One-hot encoded categories beside untouched numbers, into a random forest.
 
     A category not seen in training falls into the indexer's extra slot, which the encoder
@@ -142,7 +147,7 @@ def forest_pipeline(numeric: list[str], categorical: list[str], trees: int = 100
                             outputCols=[f"{c}_hot" for c in categorical], dropLast=True)
     assembler = VectorAssembler(inputCols=[*numeric, *[f"{c}_hot" for c in categorical]], outputCol="features")
     forest = RandomForestRegressor(featuresCol="features", labelCol="label", predictionCol="prediction",
-                                   numTrees=trees, maxDepth=depth, seed=seed)
+                                   numTrees=trees, maxDepth=depth, seed=seed, bootstrap=bootstrap)
     return Pipeline(stages=[indexer, encoder, assembler, forest])
 
 
@@ -153,20 +158,20 @@ def plain_names(frame: DataFrame) -> DataFrame:
 
 
 def pooled_forest(train: DataFrame, score: DataFrame, categorical: list[str], numeric: list[str],
-                  trees: int = 100, depth: int = 5, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
+                  trees: int = 100, depth: int = MAX_DEPTH, seed: int = 42, bootstrap: bool = True) -> tuple[PipelineModel, DataFrame]:
     """Fits on all series together and scores another frame; both with plain names."""
     prepared = train.withColumns({"label": F.col(QTY).cast("double"),
                                   **{c: F.col(c).cast("string") for c in categorical}})
     prepared = prepared.select("label", *numeric, *categorical).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = forest_pipeline(numeric, categorical, trees, depth, seed).fit(prepared)
+        model = forest_pipeline(numeric, categorical, trees, depth, seed, bootstrap).fit(prepared)
     finally:
         prepared.unpersist()
     scored = model.transform(score.withColumns({c: F.col(c).cast("string") for c in categorical}))
     return model, scored
 
 
-def feature_importance(frame: DataFrame, features: list[str], trees: int = 250, depth: int = 5,
+def feature_importance(frame: DataFrame, features: list[str], trees: int = 250, depth: int = MAX_DEPTH,
                        seed: int = 0) -> DataFrame:
     """(feature, importance) of a forest, most important first. The vector is as long as the list."""
     data = _training(frame, features, QTY).persist(StorageLevel.MEMORY_AND_DISK)

@@ -7,29 +7,36 @@ other SQL engines (see ``oracle``).
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import replace
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.config import (
-    CENTER, CENTER_NAME, DATE, QTY, STEP, BoostParams, ForecastConfig, lag_name, lag_names, quoted, target_names,
+    CENTER, CENTER_NAME, DATE, QTY, SHALLOW_BOOST, STEP, BoostParams, ForecastConfig, lag_name, lag_names, quoted, target_names,
 )
 from tidecast.functions import calendar as cal
 from tidecast.operators import (
     daily, densify as dense_ops, features as feat, linear, metrics as met, planning, profile, splits, trees,
 )
 from tidecast.plans import jobs
-from tidecast.sources import tables
+from tidecast.sources import loader, tables
 from tidecast.sources.loader import prefixed
 from tidecast.sources.sinks import preview_view
-from tidecast.staging import stage
+from tidecast.staging import shared_folder, stage
 
 # The whole history, and the same with the odd last day cut off and split by date.
 ALL = ForecastConfig(cutoff=None, valid_from=dt.date(2001, 4, 1), test_from=dt.date(2001, 7, 1))
 CUT = replace(ALL, cutoff=dt.date(2001, 8, 1))
-# Small enough to train within a query; a real forecast passes its own settings.
-QUICK = BoostParams(n_estimators=5, eta=0.3, max_depth=3, subsample=0.8, colsample=0.8, seed=42)
+# One lag and one day ahead, where least squares have a closed form.
+ONE = replace(CUT, lags=1, horizons=1)
+# One tree without and with a single split, which predict means.
+STUMP = BoostParams(n_estimators=1, eta=1.0, max_depth=0, subsample=1.0, colsample=1.0)
+SPLIT_ONCE = replace(STUMP, max_depth=1)
+# Levels of the forests in queries; without a limit (Spark's 30) they take many times as long.
+FOREST_DEPTH = 10
 KEYS = (CENTER,)
 
 QUERIES = {}
@@ -66,6 +73,29 @@ def daily_demand(spark: SparkSession, folder: str) -> DataFrame:
     return daily.with_attributes(counted, tables.centers(spark, folder).select(CENTER, CENTER_NAME))
 
 
+@query
+def demand_from_csv(spark, folder):
+    """Daily demand of items that were written as CSV, with quotes and commas in a cell, and read back."""
+    items = tables.order_items(spark, folder, "order_id", "product_id", "status", "created_at", CENTER)
+    day = F.concat(cal.utc_date(items, "created_at").cast("string"), F.lit(" 00:00:00 UTC"))
+    text = items.withColumns({"created_at": day, "note": F.concat(F.lit('a "'), "status", F.lit('", \\ and more'))})
+    path = f"{shared_folder(spark)}/items-{uuid.uuid4().hex}"
+    text.select("order_id", "note", "product_id", "status", "created_at", CENTER).write.options(header=True, escape='"').csv(path)
+    again = loader.read_csv(spark, path, {**loader.ORDER_ITEM_TYPES, CENTER: "bigint"})
+    counted = daily.daily_demand(again.where(F.col("note") == F.concat(F.lit('a "'), "status", F.lit('", \\ and more'))), KEYS, ALL)
+    return daily.with_attributes(counted, tables.centers(spark, folder).select(CENTER, CENTER_NAME))
+
+
+@query
+def demand_by_category(spark, folder):
+    """Units and revenue by category of the product and name of the center: facts joined to both dimensions."""
+    parts = tables.products(spark, folder).select(F.col("id").alias("product_id"), "category")
+    items = daily.attach_products(tables.order_items(spark, folder, "product_id", "sale_price", CENTER), parts)
+    named = daily.attach_centers(items, tables.centers(spark, folder).select(CENTER, CENTER_NAME))
+    known = named.where(F.col("category").isNotNull() & F.col(CENTER_NAME).isNotNull())
+    return known.groupBy("category", CENTER_NAME).agg(F.count("*").alias("units"), F.round(F.sum("sale_price"), 2).alias("revenue"))
+
+
 @query
 def daily_demand_one_dc(spark, folder):
     return daily.daily_demand(tables.order_items(spark, folder), KEYS, replace(CUT, centers=(1,)))
@@ -195,8 +225,8 @@ def year_week_key(spark, folder):
 def holiday_flags(spark, folder):
     """Membership of each day of demand in the holiday dimension, by join."""
     rows = demand(spark, folder)
-    # 16 rows a year at most, so the whole Gregorian range stays far below any broadcast limit.
-    days = cal.holiday_dim(spark, 1986, 2100).select(DATE).distinct().withColumn("hit", F.lit(1))
+    # 16 rows a year at most, and no more years than the calendar has.
+    days = cal.holidays_on(rows).select(DATE).distinct().withColumn("hit", F.lit(1))
     state = cal.is_state_holiday(F.col(DATE))
     national = F.coalesce(F.col("hit"), F.lit(0))
     return rows.join(F.broadcast(days), DATE, "left").select(
@@ -208,8 +238,7 @@ def holiday_flags(spark, folder):
 def demand_on_holidays(spark, folder):
     """Holiday names and the demand on them, actual and observed days apart."""
     rows = demand(spark, folder)
-    named = cal.holiday_dim(spark, 1986, 2100)
-    return rows.join(F.broadcast(named), DATE).groupBy("holiday", "observed").agg(
+    return rows.join(F.broadcast(cal.holidays_on(rows)), DATE).groupBy("holiday", "observed").agg(
         F.sum(QTY).alias(QTY), F.count_distinct(DATE).alias("n_days"))
 
 
@@ -293,7 +322,7 @@ def items_per_dc(spark, folder):
 @query
 def pareto_products(spark, folder):
     counts = profile.value_counts(tables.order_items(spark, folder, "product_id"), "product_id")
-    return rounded(profile.pareto(counts, "product_id"), 9)
+    return rounded(profile.pareto(counts, "product_id").drop("running_all"), 9)
 
 
 @query
@@ -305,7 +334,7 @@ def pareto_concentration(spark, folder):
 @query
 def distinct_counts(spark, folder):
     return profile.distinct_counts(
-        tables.order_items(spark, folder, "order_id", "product_id", "status", "created_at", CENTER))
+        tables.order_items(spark, folder))
 
 
 @query
@@ -326,7 +355,7 @@ def null_lags(spark, folder):
 
 @query
 def duplicate_rows(spark, folder):
-    return profile.duplicate_rows(tables.order_items(spark, folder, "order_id", "product_id", CENTER))
+    return profile.duplicate_rows(tables.order_items(spark, folder))
 
 
 @query
@@ -354,7 +383,7 @@ def qty_histogram(spark, folder):
 
 @query
 def column_profile(spark, folder):
-    return rounded(profile.column_profile(tables.products(spark, folder), ["id", "name", "brand", "category"]))
+    return rounded(profile.column_profile(tables.products(spark, folder)))
 
 
 @query
@@ -453,7 +482,7 @@ def best_model(spark, folder):
 @query
 def forecast_vs_actual(spark, folder):
     """A forecast repeating the last train week, against the actual validation days, by date."""
-    days = stage(dense(spark, folder, CUT), "dense")
+    days = dense(spark, folder, CUT)
     week = days.where((F.col(DATE) < F.lit(CUT.valid_from)) & (F.col(DATE) >= F.date_sub(F.lit(CUT.valid_from), 7)))
     forecast = week.select(CENTER, F.explode(F.array(F.lit(7), F.lit(14))).alias("shift"), DATE, QTY).select(
         CENTER, F.date_add(DATE, F.col("shift")).alias(DATE), F.col(QTY).cast("double").alias("yhat")
@@ -477,7 +506,7 @@ def lr_sufficient_stats(spark, folder):
 @query
 def lr_one_lag(spark, folder):
     """A fit on one lag and one horizon, where other engines have closed-form aggregates."""
-    model = linear.fit_linear(xy(spark, folder), KEYS, [lag_name(1)], ["y_D+1"])
+    model = linear.fit_linear(xy(spark, folder).where("split = 'train'"), KEYS, [lag_name(1)], ["y_D+1"])
     return rounded(model.select(CENTER, "n_rows", F.col("intercepts")[0].alias("intercept"),
                                 F.col("weights")[0][0].alias("slope")))
 
@@ -485,7 +514,7 @@ def lr_one_lag(spark, folder):
 @query
 def lr_normal_equations(spark, folder):
     """What defines a least-squares fit: residuals sum to zero, alone and against every lag."""
-    frame = xy(spark, folder)
+    frame = stage(xy(spark, folder).where("split = 'train'"), "xy")
     model = stage(linear.fit_linear(frame, KEYS), "model")
     lags = lag_names()
     cells = linear.score_long(frame, model, KEYS, [CENTER, *[F.col(quoted(c)) for c in lags]])
@@ -521,11 +550,65 @@ def lr_metrics_fixed_coefficients(spark, folder):
 @query
 def lr_fit_predict(spark, folder):
     """Fit on train, errors on every split."""
-    frame = xy(spark, folder)
+    frame = stage(xy(spark, folder), "xy")
     model = stage(linear.fit_linear(frame.where("split = 'train'"), KEYS), "model")
     return rounded(jobs.split_errors(frame, model, CUT))
 
 
+@query
+def lr_fit_predict_one_lag(spark, folder):
+    """The same fit and errors with one lag and one day ahead."""
+    frame = stage(feat.base_features(demand(spark, folder, CUT), ONE, step_lags=False, targets=True), "xy")
+    model = stage(linear.fit_linear(frame.where("split = 'train'"), KEYS, *jobs.columns_of(ONE)), "model")
+    return rounded(jobs.split_errors(frame, model, ONE).drop("mape"))
+
+
+@query
+def lr_pooled_one_lag(spark, folder):
+    frame = feat.base_features(demand(spark, folder, CUT), ONE, step_lags=False, targets=True).where("split = 'train'")
+    x, y = jobs.columns_of(ONE)
+    return rounded(linear.coefficient_rows(linear.fit_linear(frame, (), x, y), (), x))
+
+
+@query
+def lr_single_step_one_lag(spark, folder):
+    rows = feat.complete_rows(feat.with_qty_lags(dense(spark, folder), KEYS, 1), replace(ALL, lags=1))
+    parts = stage(splits.ordered_holdout(rows, KEYS, 60), "parts")
+    model = stage(linear.fit_linear(parts.where("part = 'train'"), KEYS, [lag_name(1)], [QTY]), "model")
+    cells = linear.score_long(parts, model, KEYS, ["part"], [lag_name(1)], [QTY])
+    return rounded(met.error_metrics(cells, ["part"]).drop("mape"))
+
+
+@query
+def true_vs_predicted_one_lag(spark, folder):
+    frame = stage(feat.base_features(demand(spark, folder, CUT), ONE, step_lags=False, targets=True), "xy")
+    x, y = jobs.columns_of(ONE)
+    model = stage(linear.fit_linear(frame.where("split = 'train'"), KEYS, x, y), "model")
+    return rounded(linear.score_long(frame.where("split <> 'train'"), model, KEYS, [CENTER, DATE], x, y))
+
+
+@query
+def batch_predict_one_lag(spark, folder):
+    """Test days with their predictions beside features and targets."""
+    frame = stage(feat.base_features(demand(spark, folder, CUT), ONE, step_lags=False, targets=True), "xy")
+    model = stage(linear.fit_linear(frame.where("split = 'train'"), KEYS, *jobs.columns_of(ONE)), "model")
+    return rounded(plain(jobs.batch_predict(frame.where("split = 'test'"), model, ONE)[0]))
+
+
+@query
+def next_day_demand_dc(spark, folder):
+    """The planning forecast with one lag and one day ahead."""
+    return rounded(planning.two_week_demand(demand(spark, folder, CUT), ONE))
+
+
+@query
+def product_demand_next_day(spark, folder):
+    """Mix of the last three months times the forecast of the next day."""
+    items, rows = tables.order_items(spark, folder), demand(spark, folder)
+    mix = planning.product_mix(items, rows, planning.history_of(rows)[1])
+    return rounded(planning.product_demand(mix, planning.two_week_demand(rows, replace(ONE, cutoff=None))))
+
+
 @query
 def lr_coefficients(spark, folder):
     frame = xy(spark, folder).where("split = 'train'")
@@ -550,17 +633,17 @@ def lr_single_step(spark, folder):
 
 @query
 def batch_predict(spark, folder):
-    """Test days of the feature table with their predictions; incomplete targets stay unscored."""
+    """Test days of the feature table with their predictions, rows without all targets left null."""
     rows = demand(spark, folder, CUT)
     train = feat.base_features(rows, CUT, step_lags=False, targets=True).where("split = 'train'")
     model = stage(linear.fit_linear(train, KEYS), "model")
     test = feat.with_targets(feat.template_features(rows, CUT).where("split = 'test'"), KEYS)
-    return rounded(plain(jobs.batch_predict(test, model, CUT)[0]))
+    return rounded(plain(jobs.batch_predict(test, model, CUT, only_with_targets=True)[0]))
 
 
 @query
 def true_vs_predicted(spark, folder):
-    frame = xy(spark, folder)
+    frame = stage(xy(spark, folder), "xy")
     model = stage(linear.fit_linear(frame.where("split = 'train'"), KEYS), "model")
     return rounded(linear.score_long(frame.where("split <> 'train'"), model, KEYS, [CENTER, DATE]))
 
@@ -573,7 +656,54 @@ def gbt_recursive(spark, folder):
     rows = demand(spark, folder, CUT)
     train = rows.where(F.col(DATE) < F.lit(CUT.valid_from))
     frame = stage(feat.template_features(train, CUT), "train")
-    return trees.recursive_boosted(frame, train, feat.year_frequency(frame), CUT, QUICK)
+    return trees.recursive_boosted(frame, train, feat.year_frequency(frame), CUT, SHALLOW_BOOST)
+
+
+@query
+def gbt_recursive_means(spark, folder):
+    """A tree without a split predicts the mean; trained again each round on its own forecasts, it still does."""
+    cfg = replace(CUT, horizons=3)
+    rows = demand(spark, folder, CUT)
+    train = rows.where(F.col(DATE) < F.lit(CUT.valid_from))
+    frame = stage(feat.template_features(train, cfg), "train")
+    both = [trees.recursive_boosted(frame, train, feat.year_frequency(frame), cfg, STUMP, refit=refit).withColumn("refit", F.lit(refit)) for refit in (False, True)]
+    return rounded(both[0].unionByName(both[1]))
+
+
+@query
+def gbt_per_horizon_means(spark, folder):
+    """A tree with one split on one flag predicts the means of its two sides, for each horizon."""
+    frame = stage(xy(spark, folder).where("split = 'train'").withColumn("weekend", (F.weekday(DATE) > 4).cast("int")), "xy")
+    models = trees.fit_per_horizon(frame, ["weekend"], SPLIT_ONCE)
+    sides = spark.range(2).select(F.col("id").cast("int").alias("weekend"))
+    scored = trees.score_per_horizon(sides, ["weekend"], models)
+    cells = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(quoted(met.prediction_name(h))).alias("yhat")) for h in range(1, 15)]))
+    return rounded(scored.select("weekend", cells.alias("c")).select("weekend", "c.*"))
+
+
+@query
+def rf_means(spark, folder):
+    """A forest of one whole-sample tree with one split on a one-hot flag predicts the means of its sides."""
+    frame = stage(demand(spark, folder, CUT).withColumn("weekend", (F.weekday(DATE) > 4).cast("int")), "frame")
+    sides = spark.range(2).select(F.col("id").cast("int").alias("weekend"))
+    _, scored = trees.pooled_forest(frame, sides, ["weekend"], [], trees=1, depth=1, bootstrap=False)
+    return rounded(scored.select(F.col("weekend").cast("int").alias("weekend"), F.col("prediction").alias("yhat")))
+
+
+@query
+def one_hot_centers(spark, folder):
+    """One-hot vectors of all centers, learned where the number is below 20: the others are all zeros."""
+    rows = demand(spark, folder, CUT).groupBy(CENTER).agg(F.count("*").alias(QTY)).withColumn("one", F.lit(1.0))
+    _, scored = trees.pooled_forest(rows.where(F.col(CENTER) < 20), rows, [CENTER], ["one"], trees=1, depth=1)
+    bits = F.transform(vector_to_array(f"{CENTER}_hot"), lambda x: x.cast("int").cast("string"))
+    return scored.select(F.col(CENTER).cast("bigint").alias(CENTER), F.array_join(bits, "").alias("hot"))
+
+
+@query
+def importance_of_one_split(spark, folder):
+    """All importance goes to the only feature that varies."""
+    frame = demand(spark, folder, CUT).withColumns({"weekend": (F.weekday(DATE) > 4).cast("int"), "one": F.lit(1)})
+    return rounded(trees.feature_importance(frame, ["one", "weekend"], trees=1, depth=1))
 
 
 @query
@@ -581,7 +711,7 @@ def gbt_per_horizon(spark, folder):
     """An independent boosted model per horizon, errors on validation days."""
     columns = lag_names()
     frame = stage(xy(spark, folder), "xy")
-    models = trees.fit_per_horizon(frame.where("split = 'train'"), columns, replace(QUICK, n_estimators=2))
+    models = trees.fit_per_horizon(frame.where("split = 'train'"), columns, SHALLOW_BOOST)
     scored = trees.score_per_horizon(frame.where("split = 'valid'"), columns, models)
     return rounded(met.error_metrics(met.long_pairs(scored, [splits.SPLIT]), [splits.SPLIT]))
 
@@ -594,7 +724,7 @@ def rf_pooled(spark, folder):
     categorical = ["is_national_holiday", "is_state_holiday", CENTER]
     numeric = [c for c in profile.numeric_columns(frame) if c not in (*categorical, QTY)]
     _, scored = trees.pooled_forest(frame.where("split = 'train'"), frame.where("split = 'valid'"),
-                                    categorical, numeric, trees=20)
+                                    categorical, numeric, depth=FOREST_DEPTH)
     pairs = scored.select(splits.SPLIT, F.lit(1).alias("horizon"), F.col(QTY).cast("double").alias("y"),
                           F.col("prediction").alias("yhat"))
     return rounded(met.error_metrics(pairs, [splits.SPLIT]))
@@ -604,13 +734,13 @@ def rf_pooled(spark, folder):
 def feature_importance(spark, folder):
     rows = demand(spark, folder, CUT)
     frame = feat.template_features(rows, CUT).where("split = 'train'")
-    return rounded(trees.feature_importance(frame, trees.tree_features(CUT), trees=20))
+    return rounded(trees.feature_importance(frame, trees.tree_features(CUT), depth=FOREST_DEPTH))
 
 
 @query
 def model_selection(spark, folder):
     """Both model families trained, forecast and compared on the same validation days."""
-    return rounded(jobs.train_and_select(demand(spark, folder, CUT), CUT, QUICK).metrics)
+    return rounded(jobs.train_and_select(demand(spark, folder, CUT), CUT, SHALLOW_BOOST).metrics)
 
 
 # --- planning -----------------------------------------------------------------------------------------------
@@ -623,10 +753,12 @@ def two_week_demand_dc(spark, folder):
 @query
 def product_demand_from_mix(spark, folder):
     """Mix of the last three months times the units of each center's last fourteen days."""
-    items, rows = tables.order_items(spark, folder), demand(spark, folder)
+    # One pass over the facts: everything below reads the daily table at product grain.
+    grain = stage(daily.daily_demand(tables.order_items(spark, folder, "created_at", "product_id", CENTER), (CENTER, "product_id"), ALL), "demand")
+    rows = stage(grain.groupBy(CENTER, DATE).agg(F.sum(QTY).alias(QTY)), "demand")
     as_of = planning.history_of(rows)[1]
     fortnight = rows.where(F.col(DATE) > F.date_sub(F.lit(as_of), 14)).groupBy(CENTER).agg(F.sum(QTY).alias("units"))
-    return rounded(planning.product_demand(planning.product_mix(items, rows, as_of), fortnight))
+    return rounded(planning.product_demand(planning.mix_of_days(grain, rows, as_of), fortnight))
 
 
 @query
@@ -649,7 +781,7 @@ def order_quantity(spark, folder):
 
 @query
 def order_quantity_per_product(spark, folder):
-    """At product grain straight from the units; the small center table supplies the date range."""
+    """At product grain: the facts are read once, the daily table gives the date range and the averages."""
     items, grain = tables.order_items(spark, folder, "created_at", "product_id", CENTER), (CENTER, "product_id")
-    history = planning.history_of(demand(spark, folder))
-    return rounded(planning.order_quantity(daily.units(items, grain, ALL), grain, history))
+    rows = stage(daily.daily_demand(items, grain, ALL), "demand")
+    return rounded(planning.order_quantity(rows, grain, planning.history_of(rows)))

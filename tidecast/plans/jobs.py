@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import datetime as dt
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.config import CENTER, DATE, BoostParams, ForecastConfig, lag_names, quoted, target_name, target_names
+from tidecast.config import CENTER, DATE, STEP, BoostParams, ForecastConfig, lag_names, quoted, target_name, target_names
 from tidecast.operators.daily import attach_products, daily_demand, with_attributes
 from tidecast.operators.densify import densify
 from tidecast.operators.features import base_features, future_rows, template_features, with_targets, year_frequency
 from tidecast.operators.linear import fit_linear, score_linear, score_long
-from tidecast.operators.metrics import best_model, error_metrics, forecast_vs_actual, prediction_name
+from tidecast.operators.metrics import best_model, error_metrics, forecast_vs_actual, long_pairs, prediction_name
+from tidecast.operators.recursion import STATE, recursive_forecast
 from tidecast.operators.splits import SPLIT, with_split
-from tidecast.operators.trees import fit_boosted, recursive_boosted, tree_features
-from tidecast.sources.sinks import load_linear, save_linear, save_splits, save_table
+from tidecast.operators.trees import fit_boosted, known_frequency, recursive_boosted, tree_features, vector_of
+from tidecast.sources.sinks import load_linear, record_run, save_linear, save_splits, save_table
 from tidecast.staging import stage
 
 LINEAR, BOOSTED = "linear", "boosted_recursive"
@@ -68,14 +71,43 @@ class Training:
     forecasts: DataFrame  # (model, series, horizon, date, yhat) for the first days of validation
     metrics: DataFrame    # (model, n, mae, …) on exactly those days
     best: DataFrame       # (model, rmse)
-    boosted: GBTRegressionModel | None  # None when it was trained anew each round
+    boosted: BoostedModel | None  # None when it was trained anew each round
+
+
+@dataclass
+class BoostedModel:
+    """Boosted trees with all it takes to score: feature order, year frequencies, state holidays."""
+
+    model: GBTRegressionModel
+    features: list[str]
+    frequency: DataFrame
+    state_holidays: tuple[str, ...]
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/trees")
+        spark = self.frequency.sparkSession
+        settings = [("feature", k, c) for k, c in enumerate(self.features)] + [("state_holiday", k, d) for k, d in enumerate(self.state_holidays)]
+        save_table(spark.createDataFrame(settings, "kind string, position int, value string"), f"{path}/settings")
+        save_table(self.frequency.select("year", "year_freq"), f"{path}/year_freq")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> BoostedModel:
+        rows = spark.read.parquet(f"{path}/settings").orderBy("position").collect()  # one row per feature and holiday
+        pick = lambda kind: [r["value"] for r in rows if r["kind"] == kind]
+        return BoostedModel(GBTRegressionModel.load(f"{path}/trees"), pick("feature"), spark.read.parquet(f"{path}/year_freq"), tuple(pick("state_holiday")))
+
+    def predictor(self) -> Callable[[DataFrame, int], DataFrame]:
+        year_freq, vector = known_frequency(self.frequency), vector_of(self.features)
+        return lambda rows, step: self.model.transform(rows.withColumn("year_freq", year_freq).withColumn("features", vector)).drop("features")
 
 
 def train_and_select(demand: DataFrame, cfg: ForecastConfig, boost: BoostParams | None = None,
-                     refit: bool = False) -> Training:
+                     refit: bool = False, runs: str | None = None) -> Training:
     """Fits both models on the train split and compares them on the same validation days.
 
-    Actual days come from the filled history, so days without demand count as zero.
+    Actual days come from the filled history, so days without demand count as zero. With ``runs``
+    (a path) each model's settings and errors are appended to the table of runs. Models that
+    left different numbers of days unscored are not comparable, which is an error.
     """
     train = demand.where(F.col(DATE) < F.lit(cfg.valid_from))
     linear = stage(fit_linear(
@@ -91,7 +123,14 @@ def train_and_select(demand: DataFrame, cfg: ForecastConfig, boost: BoostParams
         boosted.select(F.lit(BOOSTED).alias("model"), *columns))
     pairs = forecast_vs_actual(forecasts, densify(demand, cfg.series), cfg.series)
     metrics = stage(error_metrics(pairs, ["model"]), "metrics")
-    return Training(linear, forecasts, metrics, best_model(metrics), trees)
+    errors = {r["model"]: r.asDict() for r in metrics.collect()}  # a row per model
+    if len({r["n"] for r in errors.values()}) > 1:
+        raise ValueError(f"the models were scored on different cells: { {k: r['n'] for k, r in errors.items()} }")
+    kept = BoostedModel(trees, tree_features(cfg), year_frequency(frame), cfg.state_holidays) if trees else None
+    for name, params in ((LINEAR, {"lags": cfg.lags, "horizons": cfg.horizons}), (BOOSTED, asdict(boost or cfg.boost))) if runs else ():
+        found = {k: float(v) for k, v in errors.get(name, {}).items() if k != "model" and v is not None}
+        record_run(demand.sparkSession, runs, f"{name}-{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S}", name, params, found, {"refit": str(refit), "valid_from": str(cfg.valid_from)})
+    return Training(linear, forecasts, metrics, best_model(metrics), kept)
 
 
 def save_best(run: Training, path: str) -> str:
@@ -103,31 +142,46 @@ def save_best(run: Training, path: str) -> str:
     if name == LINEAR:
         save_linear(run.linear, f"{path}/model")
     else:
-        run.boosted.write().overwrite().save(f"{path}/model")
+        run.boosted.save(f"{path}/model")
     return name
 
 
-def load_best(spark: SparkSession, path: str) -> tuple[str, DataFrame | GBTRegressionModel]:
+def load_best(spark: SparkSession, path: str) -> tuple[str, DataFrame | BoostedModel]:
     name = spark.read.parquet(f"{path}/choice").first()["model"]
-    model = load_linear(spark, f"{path}/model") if name == LINEAR else GBTRegressionModel.load(f"{path}/model")
+    model = load_linear(spark, f"{path}/model") if name == LINEAR else BoostedModel.load(spark, f"{path}/model")
     return name, model
 
 
-def batch_predict(frame: DataFrame, model: DataFrame, cfg: ForecastConfig, path: str | None = None,
-                  only_with_targets: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(predictions, metrics) of a saved linear model on a feature table.
+def score_boosted(rows: DataFrame, best: BoostedModel, cfg: ForecastConfig) -> DataFrame:
+    """Adds yhat_D+1 …: each row is forecast day by day from its own lags, as after the end of a history."""
+    apart = replace(cfg, series=(*cfg.series, "__start"), state_holidays=best.state_holidays)
+    state = rows.select(*cfg.series, F.col(DATE).alias("__start"), F.date_sub(DATE, 1).alias(DATE), (F.col(STEP) - 1).alias(STEP),
+                        F.array(*[F.col(quoted(c)) for c in lag_names(cfg.lags)]).cast("array<double>").alias(STATE))
+    cells = recursive_forecast(state, best.predictor(), apart)
+    wide = cells.groupBy(*apart.series).agg(*[
+        F.max(F.when(F.col("horizon") == h, F.col("yhat"))).alias(prediction_name(h)) for h in range(1, cfg.horizons + 1)])
+    return rows.join(wide.withColumnRenamed("__start", DATE), [*cfg.series, DATE], "left")
+
 
-    Predictions keep every feature row under the columns y_D+1 …; rows without a full set of
-    known targets carry nulls unless ``only_with_targets`` is off. Targets and features share
+def batch_predict(frame: DataFrame, model: DataFrame | BoostedModel, cfg: ForecastConfig, path: str | None = None,
+                  only_with_targets: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(predictions, metrics) of a saved model of either kind on a feature table.
+
+    Predictions keep every feature row under the columns y_D+1 …; with ``only_with_targets`` rows
+    without a full set of known targets carry nulls. Targets and features share
     a row, so aligning them takes no join.
     """
     keys = (*cfg.series, SPLIT) if cfg.per_split else cfg.series
     names = [quoted(t) for t in target_names(cfg.horizons)]
     rows = frame if target_name(1) in frame.columns else with_targets(frame, keys, cfg.horizons)
     complete = F.col(quoted(target_name(cfg.horizons))).isNotNull()
-    cells = score_long(rows.where(complete), model, cfg.series, [], *columns_of(cfg))
-    metrics = error_metrics(cells.withColumn("model", F.lit(LINEAR)), ["model"])
-    scored = score_linear(rows, model, cfg.series, lag_names(cfg.lags), cfg.horizons)
+    if isinstance(model, BoostedModel):
+        name, scored = BOOSTED, stage(score_boosted(rows, model, cfg), "scored")
+        cells = long_pairs(scored.where(complete), [], cfg.horizons)
+    else:
+        name, scored = LINEAR, score_linear(rows, model, cfg.series, lag_names(cfg.lags), cfg.horizons)
+        cells = score_long(rows.where(complete), model, cfg.series, [], *columns_of(cfg))
+    metrics = error_metrics(cells.withColumn("model", F.lit(name)), ["model"])
     shown = {t: F.col(quoted(prediction_name(h))) for h, t in enumerate(target_names(cfg.horizons), 1)}
     if only_with_targets:
         shown = {t: F.when(complete, c) for t, c in shown.items()}

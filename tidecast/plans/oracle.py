@@ -91,6 +91,10 @@ xy AS (SELECT * FROM wide WHERE qty_d14 IS NOT NULL AND y_d14 IS NOT NULL
   AND split = {SPLIT.replace('date', 'last_date')})"""
 
 
+ONE = f"""{dense(CUT)}, one AS (SELECT * FROM (SELECT {DC}, date, CAST(qty AS DOUBLE) AS y, lag(qty) OVER {W} AS x,
+  row_number() OVER {W} AS n, {SPLIT} AS split FROM dense) WHERE x IS NOT NULL),
+fit AS (SELECT {DC}, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM one WHERE split = 'train' GROUP BY {DC})"""
+
 def _naive(lag: int) -> str:
     return " UNION ALL ".join(
         f"SELECT 'naive_lag{lag}' AS model, split, {h} AS horizon, CAST(y_d{h} AS DOUBLE) AS y, "
@@ -249,7 +253,7 @@ ORACLE = {
         round(count(*) FILTER (running - n < 0.8 * total) / count(*), 9) AS needed_share FROM r""",
     "distinct_counts": f"WITH {ITEMS} " + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM items"
-        for c in ("order_id", "product_id", "status", "created_at", DC)),
+        for c in ("order_id", "product_id", "status", "created_at", "sale_price", DC)),
     "distinct_dcs": f"WITH {ITEMS} SELECT DISTINCT {DC} FROM items",
     "null_counts": f"WITH {ITEMS} " + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS n_null FROM items"
@@ -257,7 +261,8 @@ ORACLE = {
     "null_lags": f"WITH {dense()}, l AS (SELECT *, {lags()} FROM dense) " + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS n_null FROM l"
         for c in (DC, "date", "qty", *[f"qty_d{i}" for i in LAGS])),
-    "duplicate_rows": f"""WITH {ITEMS}, g AS (SELECT count(*) AS n FROM items GROUP BY order_id, product_id, {DC})
+    "duplicate_rows": f"""WITH {ITEMS}, g AS (SELECT count(*) AS n FROM items
+        GROUP BY order_id, product_id, status, created_at, sale_price, {DC})
         SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicates FROM g""",
     "describe_numeric": f"""WITH {dense()}, l AS (SELECT *, {lags()} FROM dense), r AS (SELECT *, row_number() OVER {W}
         AS day_step FROM l WHERE qty_d14 IS NOT NULL) """ + _describe(
@@ -268,15 +273,14 @@ ORACLE = {
         first(value ORDER BY n DESC, value) AS top, max(n) AS freq FROM f GROUP BY "column" """,
     "qty_histogram": f"""WITH {dense()} SELECT CAST(floor(qty / 2.0) AS BIGINT) AS bin,
         CAST(floor(qty / 2.0) * 2 AS DOUBLE) AS bin_from, count(*) AS n FROM dense GROUP BY 1, 2""",
-    "column_profile": f"WITH {PRODUCTS}, f AS ({_freq('products', ['id', 'name', 'brand', 'category'])}), " + """
+    "column_profile": f"WITH {PRODUCTS}, f AS ({_freq('products', ['id', 'name', 'brand', 'category', 'retail_price'])}), " + """
         t AS (SELECT "column", first(value ORDER BY n DESC, value) AS top, count(*) AS n_distinct, sum(n) AS known
               FROM f GROUP BY "column"),
-        x AS (SELECT CAST(min(id) AS DOUBLE) AS lo, CAST(max(id) AS DOUBLE) AS hi, avg(id) AS m, stddev_samp(id) AS s,
-              count(*) AS n FROM products)
-        SELECT "column", CASE "column" WHEN 'id' THEN 'bigint' ELSE 'string' END AS type, n AS n_rows,
-        CAST(n - known AS BIGINT) AS n_null, n_distinct, CASE "column" WHEN 'id' THEN lo END AS min,
-        CASE "column" WHEN 'id' THEN hi END AS max, CASE "column" WHEN 'id' THEN round(m, 6) END AS mean,
-        CASE "column" WHEN 'id' THEN round(s, 6) END AS std, top FROM t, x""",
+        x AS (SELECT 'id' AS "column", 'bigint' AS kind, CAST(min(id) AS DOUBLE) AS lo, CAST(max(id) AS DOUBLE) AS hi, avg(id) AS m, stddev_samp(id) AS s FROM products
+              UNION ALL SELECT 'retail_price', 'double', min(retail_price), max(retail_price), avg(retail_price), stddev_samp(retail_price) FROM products)
+        SELECT "column", coalesce(kind, 'string') AS type, (SELECT count(*) FROM products) AS n_rows,
+        CAST((SELECT count(*) FROM products) - known AS BIGINT) AS n_null, n_distinct, round(lo, 6) AS min,
+        round(hi, 6) AS max, round(m, 6) AS mean, round(s, 6) AS std, top FROM t LEFT JOIN x USING ("column")""",
     "correlation_matrix": f"""WITH {dense()}, l AS (SELECT *, {lags()} FROM dense),
         r AS (SELECT * FROM l WHERE qty_d14 IS NOT NULL) """ + " UNION ALL ".join(
             f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM r"
@@ -310,7 +314,38 @@ ORACLE = {
         FROM f JOIN dense d ON d.{DC} = f.{DC} AND d.date = f.date""",
     "lr_sufficient_stats": f"WITH {XY}, train AS (SELECT * FROM xy WHERE split = 'train') {STATS}",
     "lr_one_lag": f"""WITH {XY} SELECT {DC}, count(*) AS n_rows, round(regr_intercept(y_d1, qty_d1), 6) AS intercept,
-        round(regr_slope(y_d1, qty_d1), 6) AS slope FROM xy GROUP BY {DC}""",
+        round(regr_slope(y_d1, qty_d1), 6) AS slope FROM xy WHERE split = 'train' GROUP BY {DC}""",
+    "lr_fit_predict_one_lag": f"""WITH {ONE}, p AS (SELECT split, y, a + b * x AS yhat FROM one JOIN fit USING ({DC}))
+        SELECT 'linear' AS model, split, {METRICS}, round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse_per_output FROM p GROUP BY split""",
+    "lr_pooled_one_lag": f"""WITH {ONE}, f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM one WHERE split = 'train')
+        SELECT 1 AS horizon, 'intercept' AS feature, round(a, 6) AS coefficient FROM f UNION ALL SELECT 1, 'qty_D-1', round(b, 6) FROM f""",
+    "lr_single_step_one_lag": f"""WITH {dense()}, o AS (SELECT *, lag(qty) OVER {W} AS x FROM dense),
+        r AS (SELECT *, CAST(qty AS DOUBLE) AS y, CASE WHEN row_number() OVER (PARTITION BY {DC} ORDER BY date DESC) <= 60 THEN 'test' ELSE 'train' END AS part FROM o WHERE x IS NOT NULL),
+        f AS (SELECT {DC}, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM r WHERE part = 'train' GROUP BY {DC}),
+        p AS (SELECT part, y, a + b * x AS yhat FROM r JOIN f USING ({DC}))
+        SELECT part, {METRICS}, round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse_per_output FROM p GROUP BY part""",
+    "true_vs_predicted_one_lag": f"""WITH {ONE} SELECT {DC}, date, 1 AS horizon, y, round(a + b * x, 6) AS yhat
+        FROM one JOIN fit USING ({DC}) WHERE split <> 'train'""",
+    "batch_predict_one_lag": f"""WITH {ONE} SELECT {DC}, date, n AS day_step, x AS qty_d1, split, round(a + b * x, 6) AS y_d1
+        FROM one JOIN fit USING ({DC}) WHERE split = 'test'""",
+    "next_day_demand_dc": f"""WITH {ONE}, f AS (SELECT {DC}, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM one GROUP BY {DC})
+        SELECT {DC}, date + 1 AS first_day, round(a + b * y, 6) AS units FROM one JOIN f USING ({DC}) WHERE date = (SELECT max(date) FROM dense)""",
+    "product_demand_next_day": f"""WITH {dense()}, o AS (SELECT *, lag(qty) OVER {W} AS x FROM dense),
+        f AS (SELECT {DC}, regr_slope(qty, x) AS b, regr_intercept(qty, x) AS a FROM o WHERE x IS NOT NULL GROUP BY {DC}),
+        {MIX}, e AS (SELECT {DC}, a + b * qty AS expected FROM dense JOIN f USING ({DC}) WHERE date = (SELECT max(date) FROM dense))
+        SELECT m.{DC}, product_id, units, round(mix, 6) AS mix, round(mix * expected, 6) AS expected_units FROM mix m JOIN e ON e.{DC} = m.{DC}""",
+    "gbt_recursive_means": f"""WITH {dense(f"date < {VALID}")}, r AS (SELECT *, row_number() OVER {W} AS n FROM dense),
+        m AS (SELECT avg(qty) AS yhat FROM r WHERE n > 14), l AS (SELECT max(date) AS last FROM dense)
+        SELECT {DC}, CAST(h AS INTEGER) AS horizon, CAST(last + CAST(h AS INTEGER) AS DATE) AS date, round(yhat, 6) AS yhat, refit
+        FROM (SELECT DISTINCT {DC} FROM dense), range(1, 4) a(h), (VALUES (TRUE), (FALSE)) b(refit), m, l""",
+    "gbt_per_horizon_means": f"""WITH {XY}, t AS (SELECT *, CASE WHEN isodow(date) > 5 THEN 1 ELSE 0 END AS weekend FROM xy WHERE split = 'train') """ + " UNION ALL ".join(
+        f"SELECT weekend, {h} AS horizon, round(avg(y_d{h}), 6) AS yhat FROM t GROUP BY weekend" for h in HORIZONS),
+    "rf_means": f"""WITH {daily(CUT)} SELECT CASE WHEN isodow(date) > 5 THEN 1 ELSE 0 END AS weekend, round(avg(qty), 6) AS yhat FROM daily GROUP BY 1""",
+    "one_hot_centers": f"""WITH {daily(CUT)}, c AS (SELECT DISTINCT {DC} FROM daily), k AS (SELECT CAST({DC} AS VARCHAR) AS name FROM c WHERE {DC} < 20)
+        SELECT {DC}, (SELECT string_agg(CASE WHEN name = CAST(c.{DC} AS VARCHAR) THEN '1' ELSE '0' END, '' ORDER BY name) FROM k) AS hot FROM c""",
+    "importance_of_one_split": "SELECT 'weekend' AS feature, 1.0::DOUBLE AS importance UNION ALL SELECT 'one', 0.0::DOUBLE",
+    "demand_by_category": f"""WITH {ITEMS} SELECT p_type AS category, n_name AS distribution_center_name, count(*) AS units, round(sum(sale_price), 2) AS revenue
+        FROM items JOIN part ON p_partkey = product_id JOIN nation ON n_nationkey = {DC} GROUP BY 1, 2""",
     "lr_normal_equations": f"""WITH {daily(CUT)} SELECT {DC}, CAST(h AS INTEGER) AS horizon, CAST(t AS INTEGER) AS term,
         CAST(0 AS DOUBLE) AS gradient FROM (SELECT DISTINCT {DC} FROM daily), range(1, 15) a(h), range(15) b(t)""",
     "lr_score_fixed_coefficients": f"""WITH {dense()}, l AS (SELECT *, {lags()} FROM dense)
@@ -330,3 +365,5 @@ ORACLE = {
         GROUP BY ALL), {RECENT.format(keys=f'{DC}, product_id')} SELECT {DC}, product_id, round(avg_qty, 6) AS avg_qty,
         round(avg_qty * 7, 6) AS safety_stock, {ORDER} FROM recent""",
 }
+# Written as CSV and read back, demand is what it was.
+ORACLE["demand_from_csv"] = ORACLE["daily_demand"]

@@ -14,6 +14,9 @@ from tidecast.config import CENTER, CENTER_NAME
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder, or of a database where ``folder`` is the name of one (bucketed tables keep their buckets)."""
+    if "/" not in folder and spark.catalog.databaseExists(folder):
+        return spark.table(f"{folder}.{name}")
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,19 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def dropping_staged(spark: SparkSession) -> Iterator[None]:
+    """Deletes what the application stages inside the block when it ends, however it ends."""
+    app = spark.sparkContext.applicationId
+    before = _staged.pop(app, [])
+    try:
+        yield
+    finally:
+        drop_staged(spark)
+        if before:
+            _staged[app] = before
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Deletes the tables this application staged, at the end of a job; frames on them stop working."""
     paths = _staged.pop(spark.sparkContext.applicationId, [])
