@@ -103,8 +103,8 @@ def test_toxicity_depends_on_the_text_alone(spark):
 
 def test_hidden_insults_and_shouting_show_in_the_features(spark):
     rows = spark.createDataFrame([("an 1d10t and a m.o.r.o.n",), ("YOU IDIOT!!",), ("of the du die and",)], "text string")
-    f = rows.select(*[c.alias(k) for k, c in toxicity.features(F.col("text")).items()]).collect()
-    assert f[0]["hidden_insults"] == pytest.approx(2 / 5) and f[1]["aimed"] == 0.5 and f[1]["shouted"] == 1 and f[2]["insults"] == 0
+    f = toxicity.with_features(rows, "text").collect()
+    assert f[0]["hidden_log"] == pytest.approx(math.log(3)) and f[1]["aimed"] > 0 and f[1]["shouted"] > 0.5 and f[2]["insults"] == 0 and f[2]["second"] > 0
 
 
 def test_url_parts_rules_and_verdicts(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm.boosted import Boosted, calibrated, fit_boosted, fit_isotonic
-from tidecast.llm.common import WORD, broadcast_up_to
+from tidecast.llm.common import broadcast_up_to
 from tidecast.staging import stage
 
 # Insults and threats in the languages of the corpus, and how one is addressed in them.
@@ -25,37 +25,51 @@ MOST_LABELS = 1_000_000
 FEATURES = ("insults", "insults_log", "hidden_insults", "hidden_log", "threats", "second", "aimed", "capitals", "shouted", "marks", "marks_run", "masked")
 
 
-def _any_of(words: list[str]) -> str:
-    return r"(?<![\p{L}\p{N}])(?:" + "|".join(words) + r")(?![\p{L}\p{N}])"
+_STANDS_IN = r"[0-9@$*_]\p{L}|\p{L}[0-9@$*_]|\p{L}[.!\-]\p{L}"
 
 
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def features(text: Column) -> dict[str, Column]:
-    """Dense features of a whole text, rates by word or character; all zero for a null or empty text."""
-    text = F.coalesce(text, F.lit(""))
-    low = F.lower(text)
-    words, chars = F.greatest(F.lit(1.0), _count(text, WORD)), F.greatest(F.lit(1.0), F.char_length(text).cast("double"))
-    insult, second = _any_of(INSULTS), _any_of(SECOND)
-    insults, hidden = _count(low, insult), _count(F.translate(low, STAND_INS, LETTERS), insult)
-    near = r"(?:[^\p{L}\p{N}]+[\p{L}\p{N}]+){0,3}?[^\p{L}\p{N}]+"
-    return {
-        "insults": insults / words, "insults_log": F.log1p(insults),
-        "hidden_insults": F.greatest(F.lit(0.0), hidden - insults) / words, "hidden_log": F.log1p(F.greatest(hidden, insults)),
-        "threats": _count(low, _any_of(THREATS)) / words, "second": _count(low, second) / words,
-        "aimed": (_count(low, second + near + insult) + _count(low, insult + near + second)) / words,
-        "capitals": _count(text, r"\p{Lu}") / chars, "shouted": _count(text, r"(?<!\p{L})\p{Lu}{2,}(?!\p{L})") / words,
-        "marks": _count(text, r"[!?]") / chars, "marks_run": _count(text, r"[!?]{2,}|[*#%$&]{3,}") / words,
-        "masked": _count(text, r"\p{L}[0-9@$*!]+\p{L}") / words,
-    }
+def _listed(words: Column, lexicon: list[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(lexicon))).cast("double")
+
+
+def _words(text: Column) -> Column:
+    return F.split(text, r"[^\p{L}\p{N}]+")
+
+
+def with_features(texts: DataFrame, text_col: str) -> DataFrame:
+    """Adds FEATURES of the whole text, rates by word or character; all zero for a null or empty text.
+
+    Words are looked up in all lists at once; what only few texts can have (words behind stand-ins,
+    insults near the second person) is looked for in those only.
+    """
+    low = F.lower("_text")
+    one = texts.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_words", _words(low))
+    one = one.withColumn("_hits", F.filter("_words", lambda w: w.isin([*INSULTS, *THREATS, *SECOND]))).withColumns({
+        "_n": F.greatest(F.lit(1), F.size("_words")).cast("double"), "_chars": F.greatest(F.lit(1), F.char_length("_text")).cast("double"),
+        "_insults": _listed(F.col("_hits"), INSULTS), "_second": _listed(F.col("_hits"), SECOND)})
+    hidden = F.when(F.col("_text").rlike(_STANDS_IN), _listed(_words(F.translate(low, STAND_INS, LETTERS)), INSULTS)).otherwise(F.col("_insults"))
+    # An insult at most three words before or after the second person.
+    spots = F.filter(F.transform("_words", lambda w, k: F.struct(w.isin(SECOND).alias("second"), w.isin(INSULTS).alias("insult"), k.alias("k"))), lambda s: s["second"] | s["insult"])
+    aimed = F.size(F.filter(spots, lambda s: s["insult"] & F.exists(spots, lambda o: o["second"] & (F.abs(o["k"] - s["k"]) <= 4)))).cast("double")
+    n, chars, text = F.col("_n"), F.col("_chars"), F.col("_text")
+    return one.withColumn("_hidden", F.greatest(hidden, F.col("_insults"))).withColumns({
+        "insults": F.col("_insults") / n, "insults_log": F.log1p("_insults"),
+        "hidden_insults": (F.col("_hidden") - F.col("_insults")) / n, "hidden_log": F.log1p("_hidden"),
+        "threats": _listed(F.col("_hits"), THREATS) / n, "second": F.col("_second") / n,
+        "aimed": F.when((F.col("_insults") > 0) & (F.col("_second") > 0), aimed).otherwise(0.0) / n,
+        "capitals": _count(text, r"\p{Lu}") / chars, "shouted": _count(text, r"\p{Lu}\p{Lu}+(?!\p{L})") / n,
+        "marks": _count(text, "[!?]") / chars, "marks_run": _count(text, "[!?][!?]+|[*#%$&]{3,}") / n,
+        "masked": F.when(text.rlike(_STANDS_IN), _count(text, r"\p{L}[0-9@$*!]+\p{L}")).otherwise(0.0) / n,
+    })
 
 
 def _with_features(docs: DataFrame, text_col: str) -> DataFrame:
     """(_doc, FEATURES): the row itself in one column, so that no name of it can clash."""
-    kept = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_text"))
-    return kept.select("_doc", *[c.alias(k) for k, c in features(F.col("_text")).items()])
+    return with_features(docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_raw_text")), "_raw_text").select("_doc", *FEATURES)
 
 
 def fold(id_col: str) -> Column:
