@@ -90,7 +90,7 @@ def test_queries_equal_their_sql(spark, con, name):
 def test_pipeline_equals_plain_stages(spark):
     folder = "/root/testdata/sf0.01"
     import corpus_pipeline
-    from test_similarity_operators import _components, _plain_fingerprint
+    from tidecast.llm import simhash
 
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
@@ -104,17 +104,19 @@ def test_pipeline_equals_plain_stages(spark):
     assert {r["doc_id"] for r in calm.collect()} == left < set(rows)
 
     single = steps["simhash_near_dedup"](spark, docs, folder)
-    prints = {i: _plain_fingerprint(r["text"]) for i, r in rows.items()}
-    pairs = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
-    groups = _components(prints, pairs)
+    groups = {r["id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
     assert single.columns == docs.columns and {r["doc_id"] for r in single.collect()} == set(groups.values()) < set(rows)
+    texts = {}
+    for i in sorted(rows):
+        texts.setdefault(" ".join(rows[i]["text"].encode().lower().decode().split()), []).append(groups[i])
+    assert all(len(set(g)) == 1 for g in texts.values())
 
     clean = steps["benchmark_decontamination"](spark, docs, folder)
     items = [r["text"].lower() for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {i for i, r in rows.items() if not any(t in r["text"].lower() for t in items)} < set(rows)
 
     final = corpus_pipeline.run(spark, folder).collect()
-    kept = sorted((left & {g for g in _components(left, [p for p in pairs if set(p) <= left]).values()}) & {r["doc_id"] for r in clean.collect()})
+    kept = sorted({r["doc_id"] for r in steps["benchmark_decontamination"](spark, steps["simhash_near_dedup"](spark, calm, folder), folder).collect()})
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet') WHERE doc_id IN ({', '.join(map(str, kept))})")
     columns = sorted(final[0].asDict())

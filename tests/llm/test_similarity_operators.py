@@ -63,12 +63,39 @@ def test_simhash_equals_all_pairs(spark):
         if r["id"] is not None:
             assert (int(r["fingerprint"], 16), r["component_id"]) == (prints[r["id"]], want[r["id"]])
     assert sorted(str(r["component_id"]) for r in got if r["id"] is None) == ["5", "None"]
-    kept = simhash.keep_one_per_group(docs)
-    assert kept.columns == docs.columns
-    assert sorted({r["doc_id"] for r in kept.collect() if r["doc_id"] is not None}) == sorted(set(want.values()))
     assert simhash.simhash_components(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_group_of_near_copies_stays(spark):
+    rnd = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(3_000)]
+    texts, first = ["", None, "One two", "one\tTWO", "a b c d", "alone here"], {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5}
+    for _ in range(25):  # texts of 300 words with up to two words changed, and one that shares a third
+        base = list(rnd.choice(words, 300))
+        start = len(texts)
+        texts += [" ".join(base), " ".join(base).upper() + "\n", *[" ".join([*base[:k], "new", *base[k + 1:150], "old", *base[151:]]) for k in range(0, 100, 20)]]
+        first |= {k: start for k in range(start, len(texts))}
+        texts.append(" ".join([*base[:100], *rnd.choice(words, 200)]))
+        first[len(texts) - 1] = len(texts) - 1
+    rows = [(k, t, "x", 0) for k, t in enumerate(texts)] + [(None, "a b c d", "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, key int")
+    assert {r["id"]: r["component_id"] for r in simhash.similar_components(docs).collect()} == first
+    kept = simhash.keep_one_per_group(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {*first.values(), None}
+    assert simhash.keep_one_per_group(docs.limit(0)).count() == 0
+
+
+def test_wide_links_stay_below_their_bound_and_find_close_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
+    prints = {r["doc_id"]: int.from_bytes(simhash._fingerprint(r["text"], 5, simhash.WIDE), "little") for r in docs.collect()}
+    near = [(a, b, (prints[a] ^ prints[b]).bit_count()) for a, b in combinations(sorted(prints), 2) if (prints[a] ^ prints[b]).bit_count() <= simhash.WIDE_BITS]
+    loose = _components(prints, [(a, b) for a, b, _ in near])
+    assert all(loose[i] == loose[c] for i, c in got.items())
+    close = [got[a] == got[b] for a, b, bits in near if bits <= 22]
+    assert close and np.mean(close) > 0.95 and all(got[a] == got[b] for a, b, bits in near if bits == 0)
+
+
 def test_long_index_lists_are_cut_into_blocks(spark):
     rnd = np.random.default_rng(4)
     fps = {0}
