@@ -21,6 +21,7 @@ HEADLINE = (
     "features_transformed", "aligned_xy", "pareto_products", "describe_prices", "column_profile",
     "metrics_by_model_split", "lr_sufficient_stats", "lr_fit_predict", "two_week_demand_dc",
     "product_demand_from_mix", "order_quantity_per_product",
+    "gbt_recursive", "gbt_per_horizon", "rf_pooled", "feature_importance",
 )
 
 
