@@ -35,8 +35,9 @@ ONE = replace(CUT, lags=1, horizons=1)
 # One tree without and with a single split, which predict means.
 STUMP = BoostParams(n_estimators=1, eta=1.0, max_depth=0, subsample=1.0, colsample=1.0)
 SPLIT_ONCE = replace(STUMP, max_depth=1)
-# Levels of the forests in queries; without a limit (Spark's 30) they take many times as long.
-FOREST_DEPTH = 10
+# Sizes of models in queries where the full ones take minutes (README): levels of forests, trees per horizon and
+# of the importance forest.
+FOREST_DEPTH, PER_HORIZON_TREES, IMPORTANCE_TREES = 5, 10, 100
 KEYS = (CENTER,)
 
 QUERIES = {}
@@ -711,7 +712,7 @@ def gbt_per_horizon(spark, folder):
     """An independent boosted model per horizon, errors on validation days."""
     columns = lag_names()
     frame = stage(xy(spark, folder), "xy")
-    models = trees.fit_per_horizon(frame.where("split = 'train'"), columns, SHALLOW_BOOST)
+    models = trees.fit_per_horizon(frame.where("split = 'train'"), columns, replace(SHALLOW_BOOST, n_estimators=PER_HORIZON_TREES))
     scored = trees.score_per_horizon(frame.where("split = 'valid'"), columns, models)
     return rounded(met.error_metrics(met.long_pairs(scored, [splits.SPLIT]), [splits.SPLIT]))
 
@@ -734,7 +735,7 @@ def rf_pooled(spark, folder):
 def feature_importance(spark, folder):
     rows = demand(spark, folder, CUT)
     frame = feat.template_features(rows, CUT).where("split = 'train'")
-    return rounded(trees.feature_importance(frame, trees.tree_features(CUT), depth=FOREST_DEPTH))
+    return rounded(trees.feature_importance(frame, trees.tree_features(CUT), trees=IMPORTANCE_TREES, depth=FOREST_DEPTH))
 
 
 @query
