@@ -14,7 +14,7 @@ import pandas as pd
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem")
+TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem", "documents", "embeddings", "conversations")
 
 
 def connect(folder: str):
