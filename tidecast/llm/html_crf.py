@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Bounds of the training sample, which is read on the driver.
-TRAIN_PAGES = 240
+TRAIN_PAGES, LOOKED_AT = 240, 960
 TRAIN_CHARS = 50_000
 VARIANTS = 3
 ROUNDS = 60
@@ -273,9 +273,15 @@ def _climb(x: np.ndarray, kind: np.ndarray, y: np.ndarray, there: np.ndarray, we
 
 
 def train_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Field:
-    """Learns from at most TRAIN_PAGES pages of at most TRAIN_CHARS characters that have an article or main element."""
-    labelled = pages.where(F.col(html_col).rlike("(?i)<(article|main)[ >]") & (F.char_length(html_col) <= TRAIN_CHARS))
-    sample = labelled.select(F.col(html_col).alias("html")).orderBy(F.xxhash64(F.col(id_col), F.lit(7)), "html").limit(TRAIN_PAGES).collect()
+    """Learns from at most TRAIN_PAGES pages of at most TRAIN_CHARS characters that have an article or main element.
+
+    They are taken from a share of all pages, by hash of the id, that holds LOOKED_AT of them on average, so that
+    no more than that many pages reach the driver, however many tasks read the table.
+    """
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 40))
+    some = pages.where(place <= F.lit((1 << 40) * LOOKED_AT // max(LOOKED_AT, pages.count())))
+    labelled = some.where(F.col(html_col).rlike("(?i)<(article|main)[ >]") & (F.char_length(html_col) <= TRAIN_CHARS))
+    sample = labelled.select(F.col(html_col).alias("html"), place.alias("place")).orderBy("place", "html").limit(TRAIN_PAGES).collect()
     return train([r["html"] for r in sample])
 
 
