@@ -55,6 +55,14 @@ def test_leaks_see_through_numbers_names_and_units(spark):
     assert decontaminate.leaks(docs.limit(0), items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_one_torn_slot_takes_only_the_windows_that_change_it(spark):
+    item = "the shop has 2 red apples on a shelf near the door and nobody who walks by in the early morning hours ever asks for 2 green pears from the cellar"
+    docs = [(1, item.replace("2 green", "7 green")), (2, item.replace("2 red", "3 red").replace("2 green", "5 green")), (3, item.replace("2", "9"))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r["id"]: (r["n_windows"], r["n_found"], r["reparameterised"]) for r in decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert out == {1: (24, 18, False), 2: (24, 14, False), 3: (24, 24, True)}
+
+
 def test_leaks_equal_plain_windows_on_given_tables(spark):
     folder = "/root/testdata/sf0.001"
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))

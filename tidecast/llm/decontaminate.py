@@ -3,9 +3,9 @@
 Texts become sequences of words in lower case in which numbers, names and units are typed
 placeholders. Windows of eight words are joined by hash to the benchmark's windows, so that a question
 with other numbers and names still meets its original. What stands in the placeholders is kept as
-slots: along one alignment each value of the question must always turn into the same value of
-the document, else the alignment is chance. A document leaks an item if consistent alignments
-cover at least half of the item's windows.
+slots: where along one alignment a value of the question turns into several values of the document,
+the windows that change it do not count, while windows that match word for word always do. A document
+leaks an item if the windows that count cover at least half of the item's.
 """
 
 from __future__ import annotations
@@ -83,10 +83,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     pairs = F.filter(F.coalesce(pair, F.array().cast("array<struct<a:string,b:string>>")), lambda p: p["a"].isNotNull())
     # One alignment has at most as many windows as the item.
     lines = found.groupBy("id", "item_id", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.collect_set("item_pos").alias("at"))
-    consistent = lines.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))))
-    changed = F.exists("pairs", lambda p: ~p["a"].eqNullSafe(p["b"]))
-    covered = consistent.select("id", "item_id", "item", changed.alias("changed"), F.explode("at").alias("at"))
+        F.collect_set(F.struct("item_pos", pairs.alias("pairs"))).alias("seen")).withColumn("pairs", F.array_distinct(F.flatten("seen.pairs")))
+    differs = lambda p: ~p["a"].eqNullSafe(p["b"])
+    torn = lambda p: F.exists("pairs", lambda q: (q["a"] == p["a"]) & ~q["b"].eqNullSafe(p["b"]))
+    counted = F.filter("seen", lambda w: ~F.exists(w["pairs"], lambda p: differs(p) & torn(p)))
+    covered = lines.select("id", "item_id", "item", F.explode(counted).alias("w")).select(
+        "id", "item_id", "item", F.exists("w.pairs", differs).alias("changed"), F.col("w.item_pos").alias("at"))
     covered = covered.groupBy("id", "item_id", "item").agg(F.countDistinct("at").alias("n_found"), F.max("changed").alias("reparameterised"))
     sizes = items.groupBy("item_id", "item").agg(F.countDistinct("item_pos").alias("n_windows"))
     leaked = covered.withColumn("own", F.col("item")).drop("item").join(
