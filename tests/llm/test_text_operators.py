@@ -63,6 +63,14 @@ def test_one_torn_slot_takes_only_the_windows_that_change_it(spark):
     assert out == {1: (24, 18, False), 2: (24, 14, False), 3: (24, 24, True)}
 
 
+def test_short_and_number_heavy_items_are_found(spark):
+    items = [(1, "What is the capital of France?"), (2, "5 + 6 = 11, 7 + 8 = 15, 9 + 1 = 10"), (3, "Photosynthesis"), (4, "3 4 5"), (5, " ?! ")]
+    docs = [(1, "Quiz: What is the capital of France? Paris."), (2, "so 5 + 6 = 11, 7 + 8 = 15, 9 + 1 = 10 it is"), (3, "photosynthesis"), (4, "6 4 5 and 3 4 6"),
+            (5, "5 + 6 = 11, 7 + 8 = 15, 9 + 2 = 11"), (6, "2 3 4 5"), (7, ""), (8, "The capital of France is Paris")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()} == {(1, 1), (2, 2), (3, 3), (6, 4)}
+
+
 def test_leaks_equal_plain_windows_on_given_tables(spark):
     folder = "/root/testdata/sf0.001"
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))

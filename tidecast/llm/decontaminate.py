@@ -5,11 +5,15 @@ placeholders. Windows of eight words are joined by hash to the benchmark's windo
 with other numbers and names still meets its original. What stands in the placeholders is kept as
 slots: where along one alignment a value of the question turns into several values of the document,
 the windows that change it do not count, while windows that match word for word always do. A document
-leaks an item if the windows that count cover at least half of the item's.
+leaks an item if the windows that count cover at least half of the item's. Windows with few literal
+words meet only with the same words in the placeholders, and shorter items are one window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ from tidecast.llm.common import broadcast_up_to
 from tidecast.staging import stage
 
 WINDOW = 8
-# A benchmark window says something only if so many of its words are no placeholders.
+# Windows of fewer words that are no placeholders are compared with their placeholders' words.
 MIN_LITERALS = 4
 MIN_SHARE = 0.5
 # Benchmark windows that may be broadcast; larger benchmarks are joined by a shuffle.
@@ -42,43 +46,50 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.regexp_replace(text, _NAME_AFTER, rf"$1{_NAME}$2")), _BETWEEN), "")
 
 
-def windows(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, key, pos, slots, literals, total): every window of the texts (keys, text).
+def windows(texts: DataFrame, keys: list[str], lengths: Iterable[int] = (WINDOW,), own: bool = False) -> DataFrame:
+    """(keys, key, pos, length, slots): the windows of so many words of the texts (keys, text).
 
     slots has the window's words where placeholders are and null elsewhere; it is null itself where
-    the window has no placeholder. Texts of fewer than eight words have no window.
+    the window has no placeholder. With ``own`` a window shorter than WINDOW must be the whole text.
     """
     is_number = lambda x: (x >= "0") & (x < ":")
     is_unit = lambda x, i: (i > 0) & is_number(F.get("words", i - 1)) & x.isin(UNITS)
     template = F.transform("words", lambda x, i: F.when(x < "0", F.lit(1)).when(x < ":", F.lit(2)).when(is_unit(x, i), F.lit(3)).otherwise(F.xxhash64(x)))
     slots = F.transform("words", lambda x, i: F.when((x < ":") | is_unit(x, i), x))
     seen = texts.select(*keys, words(F.col("text")).alias("words"))
-    seen = seen.where(F.size("words") >= WINDOW).select(*keys, template.alias("h"), F.when(F.exists("words", lambda x: x < ":"), slots).alias("slots"))
+    seen = seen.where(F.size("words") >= min(lengths)).select(*keys, template.alias("h"), F.when(F.exists("words", lambda x: x < ":"), slots).alias("slots"))
 
-    def window(i: Column) -> Column:
-        inside = F.slice("slots", i + 1, F.lit(WINDOW))
-        return F.struct(F.xxhash64(*[F.get("h", i + k) for k in range(WINDOW)]).alias("key"), i.alias("pos"),
-                        F.when(F.col("slots").isNotNull() & F.exists(inside, lambda x: x.isNotNull()), inside).alias("slots"))
+    def of(length: int) -> Column:
+        n = F.size("h")
+        fits = n == length if own and length < WINDOW else n >= length
+        starts = F.when(fits, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
+        inside = lambda i: F.slice("slots", i + 1, F.lit(length))
+        return F.transform(starts, lambda i: F.struct(
+            F.xxhash64(*[F.get("h", i + k) for k in range(length)]).alias("key"), i.alias("pos"), F.lit(length).alias("length"),
+            F.when(F.col("slots").isNotNull() & F.exists(inside(i), lambda x: x.isNotNull()), inside(i)).alias("slots")))
 
-    return seen.select(*keys, F.inline(F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), window)))
+    found = seen.select(*keys, F.inline(F.concat(*[of(n) for n in lengths])))
+    few = F.col("slots").isNotNull() & (F.size(F.filter("slots", lambda x: x.isNotNull())) > F.col("length") - MIN_LITERALS)
+    return found.withColumn("key", F.when(few, F.xxhash64("key", F.array_join("slots", " "))).otherwise(F.col("key")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, n_windows, n_found, reparameterised): one row per document and item it leaks.
 
-    n_windows counts the item's windows with enough literal words, n_found those found in the
-    document; reparameterised tells whether a slot differs. Whole texts are looked at. Items and
-    documents of fewer than eight words, null and empty ones match nothing; empty tables give no
-    rows. Rows that repeat an item count once, rows that share a document id are one document, and
+    n_windows counts the item's windows, n_found those found in the document; reparameterised tells
+    whether a slot differs. Whole texts are looked at. Items of fewer than eight words are one window.
+    Texts without words match nothing; empty tables give no rows. Rows that repeat an item count once, rows that share a document id are one document, and
     a null id is an id like any other. Other columns are not looked at.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).distinct()
     items = items.withColumn("item", F.xxhash64("item_id", "text"))
     # Items also without name marks, as texts in one case show none.
-    items = windows(items, ["item_id", "item"]).union(windows(items.withColumn("text", F.lower("text")), ["item_id", "item"])).distinct()
-    literal = F.lit(WINDOW) - F.when(F.col("slots").isNull(), 0).otherwise(F.size(F.filter("slots", lambda x: x.isNotNull())))
-    items = stage(items.where(literal >= MIN_LITERALS).withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"}), "benchmark")
-    found = windows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"]).join(broadcast_up_to(items, MOST_WINDOWS), "key")
+    forms = [items, items.withColumn("text", F.lower("text"))]
+    items = reduce(DataFrame.union, [windows(x, ["item_id", "item"], range(1, WINDOW + 1), True) for x in forms]).distinct()
+    items = stage(items.withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"}), "benchmark")
+    lengths = sorted(r[0] for r in items.select("length").distinct().collect()) or [WINDOW]
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = windows(texts, ["id"], lengths).drop("length").join(broadcast_up_to(items.drop("length"), MOST_WINDOWS), "key")
     pair = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     pairs = F.filter(F.coalesce(pair, F.array().cast("array<struct<a:string,b:string>>")), lambda p: p["a"].isNotNull())
     # One alignment has at most as many windows as the item.
