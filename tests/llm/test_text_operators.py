@@ -71,6 +71,16 @@ def test_short_and_number_heavy_items_are_found(spark):
     assert {(r["id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()} == {(1, 1), (2, 2), (3, 3), (6, 4)}
 
 
+def test_names_in_runs_and_at_the_start_of_sentences_are_placeholders(spark):
+    marked = lambda t: [w for w in spark.range(1).select(decontaminate.words(F.lit(t))).first()[0] if w < "0"]
+    assert marked('Tom met John Mary Smith. "Anna" left') == ["\x01tom", "\x01john", "\x01mary", "\x01smith", "\x01anna"]
+    items = [(1, "Last week in spring John Smith gave his old red bicycle to the kind John Smith"), (2, "Tom has 3 apples in the box. Anna has 5 pears in the bag. Who has more?")]
+    docs = [(1, items[0][1].replace("John Smith", "Mary Jones")), (2, "Now: " + items[1][1].replace("Tom", "Zoe").replace("Anna", "Ben")),
+            (3, items[1][1].title()), (4, items[1][1].upper()), (5, "he said tom" + items[1][1][3:]), (6, "Tom has no pears and Anna went to the box office in the rain")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()} == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 2)}
+
+
 def test_leaks_equal_plain_windows_on_given_tables(spark):
     folder = "/root/testdata/sf0.001"
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))

@@ -34,19 +34,22 @@ UNITS = (
 
 # Marks put before names, and between the digits of one number; no pattern looks around, so SQL can state them.
 _NAME, _POINT = "\x01", "\x02"
-_NAME_AFTER = r"([\p{Ll}\p{N},;:)] )(\p{Lu}\p{Ll}+)"
+_NAME_AFTER, _CAPITAL = r"([\p{Ll}\p{N},;:)] )(\p{Lu}\p{Ll}+)", r"(^|[^\p{L}\p{N}])(\p{Lu}\p{Ll}+)"
 _BETWEEN = rf"[^\p{{L}}\p{{N}}{_NAME}{_POINT}]+"
 
 
-def words(text: Column) -> Column:
-    """Words in lower case; a capitalised word inside a sentence has the name mark before it."""
+def words(text: Column, inside: bool = False) -> Column:
+    """Words in lower case; a capitalised word has the name mark before it, with ``inside`` only inside a sentence."""
     text = F.coalesce(text, F.lit(""))
     numbers = F.regexp_replace(F.regexp_replace(text, r"([0-9])[.,]([0-9])", rf"$1{_POINT}$2"), r"([0-9])(\p{L})", "$1 $2")
     text = F.when(text.rlike("[0-9]"), numbers).otherwise(text)
-    return F.array_remove(F.split(F.lower(F.regexp_replace(text, _NAME_AFTER, rf"$1{_NAME}$2")), _BETWEEN), "")
+    # A match takes the letter before it, so the second pass marks every other name of a run.
+    for pattern in [_NAME_AFTER, _NAME_AFTER] if inside else [_CAPITAL]:
+        text = F.regexp_replace(text, pattern, rf"$1{_NAME}$2")
+    return F.array_remove(F.split(F.lower(text), _BETWEEN), "")
 
 
-def windows(texts: DataFrame, keys: list[str], lengths: Iterable[int] = (WINDOW,), own: bool = False) -> DataFrame:
+def windows(texts: DataFrame, keys: list[str], lengths: Iterable[int] = (WINDOW,), own: bool = False, inside: bool = False) -> DataFrame:
     """(keys, key, pos, length, slots): the windows of so many words of the texts (keys, text).
 
     slots has the window's words where placeholders are and null elsewhere; it is null itself where
@@ -56,17 +59,17 @@ def windows(texts: DataFrame, keys: list[str], lengths: Iterable[int] = (WINDOW,
     is_unit = lambda x, i: (i > 0) & is_number(F.get("words", i - 1)) & x.isin(UNITS)
     template = F.transform("words", lambda x, i: F.when(x < "0", F.lit(1)).when(x < ":", F.lit(2)).when(is_unit(x, i), F.lit(3)).otherwise(F.xxhash64(x)))
     slots = F.transform("words", lambda x, i: F.when((x < ":") | is_unit(x, i), x))
-    seen = texts.select(*keys, words(F.col("text")).alias("words"))
+    seen = texts.select(*keys, words(F.col("text"), inside).alias("words"))
     seen = seen.where(F.size("words") >= min(lengths)).select(*keys, template.alias("h"), F.when(F.exists("words", lambda x: x < ":"), slots).alias("slots"))
 
     def of(length: int) -> Column:
         n = F.size("h")
         fits = n == length if own and length < WINDOW else n >= length
         starts = F.when(fits, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
-        inside = lambda i: F.slice("slots", i + 1, F.lit(length))
+        part = lambda i: F.slice("slots", i + 1, F.lit(length))
         return F.transform(starts, lambda i: F.struct(
             F.xxhash64(*[F.get("h", i + k) for k in range(length)]).alias("key"), i.alias("pos"), F.lit(length).alias("length"),
-            F.when(F.col("slots").isNotNull() & F.exists(inside(i), lambda x: x.isNotNull()), inside(i)).alias("slots")))
+            F.when(F.col("slots").isNotNull() & F.exists(part(i), lambda x: x.isNotNull()), part(i)).alias("slots")))
 
     found = seen.select(*keys, F.inline(F.concat(*[of(n) for n in lengths])))
     few = F.col("slots").isNotNull() & (F.size(F.filter("slots", lambda x: x.isNotNull())) > F.col("length") - MIN_LITERALS)
@@ -83,9 +86,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).distinct()
     items = items.withColumn("item", F.xxhash64("item_id", "text"))
-    # Items also without name marks, as texts in one case show none.
-    forms = [items, items.withColumn("text", F.lower("text"))]
-    items = reduce(DataFrame.union, [windows(x, ["item_id", "item"], range(1, WINDOW + 1), True) for x in forms]).distinct()
+    # Items also as documents write them whose sentences go on from others, in lower case and with a capital on every word.
+    forms = [(items, False), (items, True), *((items.withColumn("text", f("text")), False) for f in (F.lower, F.initcap))]
+    items = reduce(DataFrame.union, [windows(x, ["item_id", "item"], range(1, WINDOW + 1), True, inside) for x, inside in forms]).distinct()
     items = stage(items.withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"}), "benchmark")
     lengths = sorted(r[0] for r in items.select("length").distinct().collect()) or [WINDOW]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
