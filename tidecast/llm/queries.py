@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, chat, decontaminate, hpylm, html_crf, mixing, pq_dedup, simhash, toxicity, url_filter
+from tidecast.llm import bpe, chat, decontaminate, hpylm, html_crf, mixing, pq_dedup, simhash, toxicity, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -175,6 +175,48 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, _ = vector_codes.compress(_table(spark, folder, "embeddings"))
+    return coded.withColumnRenamed("id", "vec_id")
+
+
+def _lloyd_round(k: int) -> str:
+    """Parts with their nearest entry under the codebooks before round k, and the codebooks after it."""
+    return f"""
+a{k} AS MATERIALIZED (
+  SELECT row, pos, p, arg_min(entry, (gap, entry)) AS entry, CAST(min(gap) AS BIGINT) AS gap FROM (
+    SELECT x.row, x.pos, x.p, b.entry, x.norm - 2 * list_dot_product(x.p, b.p) + b.norm AS gap FROM parts x JOIN b{k} b ON b.pos = x.pos
+  ) GROUP BY row, pos, p
+), m{k} AS (
+  SELECT pos, entry, list(CAST(v AS DOUBLE) ORDER BY j) AS p FROM (
+    SELECT pos, entry, j, CAST(sum(CAST(p[j] AS BIGINT)) AS BIGINT) AS total, count(*) AS n,
+      (total - ((total % n) + n) % n) // n AS v
+    FROM a{k}, (SELECT unnest(generate_series(1, (SELECT width FROM size))) AS j) GROUP BY pos, entry, j
+  ) GROUP BY pos, entry
+), b{k + 1} AS MATERIALIZED (
+  SELECT b.pos, b.entry, coalesce(m.p, b.p) AS p, list_dot_product(coalesce(m.p, b.p), coalesce(m.p, b.p)) AS norm
+  FROM b{k} b LEFT JOIN m{k} m ON m.pos = b.pos AND m.entry = b.entry
+)"""
+
+
+OP11_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, [CAST(floor(CAST(x AS DOUBLE) * 1024) AS DOUBLE) FOR x IN embedding] AS q, row_number() OVER (ORDER BY vec_id, embedding) AS row
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), size AS (SELECT max(len(q)) // 4 AS width FROM kept),
+parts AS MATERIALIZED (
+  SELECT row, pos, q[pos * width + 1:(pos + 1) * width] AS p, list_dot_product(p, p) AS norm FROM kept, size, (SELECT unnest([0, 1, 2, 3]) AS pos)
+), b0 AS MATERIALIZED (SELECT pos, row - 1 AS entry, p, norm FROM parts WHERE row <= 256),{",".join(_lloyd_round(k) for k in range(5))},
+coded AS (
+  SELECT row, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY pos) AS code, CAST(sum(gap) AS BIGINT) AS error FROM a4 GROUP BY row
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(CAST(p[j] AS BIGINT) AS VARCHAR), ',' ORDER BY pos, entry, j))
+   FROM b4, (SELECT unnest(generate_series(1, (SELECT width FROM size))) AS j)) AS codebooks_sha256
+FROM kept JOIN coded USING (row)
+"""
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
@@ -186,5 +228,6 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_token_counts": op9_token_counts,
     "op10_html_text": op10_html_text,
+    "op11_vector_codes": op11_vector_codes,
 }
-ORACLE = {"op2_chat_format": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op8_mix_sources": mix_sql()}
+ORACLE = {"op2_chat_format": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op8_mix_sources": mix_sql(), "op11_vector_codes": OP11_SQL}
