@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, chat, decontaminate, hpylm, html_crf, mixing, pq_dedup, simhash, toxicity, url_filter, vector_codes
+from tidecast.llm import bpe, chat, decontaminate, hpylm, html_crf, mixing, pq_dedup, simhash, toxicity, url_filter, variants, vector_codes
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -217,6 +217,43 @@ FROM kept JOIN coded USING (row)
 """
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, folder, "documents"))
+
+
+# crc32 from its polynomial; words one edit apart by masked letters and by deletions, without any reduced alphabet.
+OP13_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL
+), bytes AS (
+  SELECT run, n, list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)) AS b FROM (SELECT *, hex(id || ':' || run) AS h FROM runs)
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) % 256 AS INTEGER) + 1])), 4294967295) AS h FROM bytes, crc
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM hashed
+  ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i) AS head, substr(word, i + 2) AS tail FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), shorter AS (SELECT DISTINCT c.word AS a, c.n AS na, w.word AS b, w.n AS nb FROM cut c JOIN words w ON w.word = c.head || c.tail),
+near AS (
+  SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM cut x JOIN cut y ON x.i = y.i AND x.head = y.head AND x.tail = y.tail AND x.word <> y.word
+  UNION ALL SELECT a, na, b, nb FROM shorter UNION ALL SELECT b, nb, a, na FROM shorter
+), best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word
+), forms AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS place, 0 AS step FROM forms UNION ALL SELECT walk.word, f.form, step + 1 FROM walk JOIN forms f ON f.word = walk.place WHERE f.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, last(place ORDER BY step) AS root FROM walk GROUP BY word) USING (word)
+"""
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
@@ -229,5 +266,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_html_text": op10_html_text,
     "op11_vector_codes": op11_vector_codes,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLE = {"op2_chat_format": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op8_mix_sources": mix_sql(), "op11_vector_codes": OP11_SQL}
+ORACLE = {"op2_chat_format": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op8_mix_sources": mix_sql(), "op11_vector_codes": OP11_SQL, "op13_spelling_variants": OP13_SQL}
