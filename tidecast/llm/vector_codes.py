@@ -105,13 +105,22 @@ def _merged(blocks: Iterable[tuple[Owner, Block]]) -> Iterator[tuple[Owner, Bloc
         yield owner, mine[0] if len(mine) == 1 else (np.concatenate([r for r, _ in mine]), np.concatenate([p for _, p in mine]))
 
 
+def _by_position(blocks: Iterable[tuple[Owner, Block]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(position, rows, parts, entries they live with) of a partition, so that small owners are compared together."""
+    found: dict[int, list[tuple[int, Block]]] = {}
+    for (position, entry, _), block in blocks:
+        found.setdefault(position, []).append((entry, block))
+    for position, mine in found.items():
+        yield position, np.concatenate([b[0] for _, b in mine]), np.concatenate([b[1] for _, b in mine]), np.repeat([e for e, _ in mine], [len(b[0]) for _, b in mine])
+
+
 @dataclass
 class Codes:
     """What the rounds end with."""
 
     codebook: np.ndarray  # parts x entries x components, whole numbers
     codes: DataFrame  # row, position, entry, gap: one row per part
-    moved: list[int] = field(default_factory=list)  # parts that migrated, by round; at first all
+    moved: list[int] = field(default_factory=list)  # parts that migrated, by round, at first all; repeated tasks count again
 
     def sha256(self) -> str:
         return hashlib.sha256(",".join(map(str, self.codebook.ravel().tolist())).encode()).hexdigest()
@@ -170,7 +179,7 @@ def lloyd(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: i
     final = sc.broadcast(book)
 
     def coded(blocks: Iterable[tuple[Owner, Block]]) -> Iterator[tuple[int, bytes]]:
-        for (position, _, _), (ids, mine) in blocks:
+        for position, ids, mine, _ in _by_position(blocks):
             yield position, pickle.dumps((ids, *nearest(mine, final.value[position])))
 
     def spread(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,22 +199,15 @@ def _migrated(state: RDD, book, salts: int, partitions: int):
     count = state.context.accumulator(0)
 
     def staying(blocks: Iterable[tuple[Owner, Block]]) -> Iterator[tuple[Owner, Block]]:
-        for owner, (ids, mine) in blocks:
-            stays = nearest(mine, book.value[owner[0]])[0] == owner[1]
-            if stays.any():
-                yield owner, (ids[stays], mine[stays])
+        for position, ids, mine, home in _by_position(blocks):
+            at = nearest(mine, book.value[position])[0]
+            yield from _blocks(ids[at == home], mine[at == home], position, at[at == home], salts)
 
     def leaving(blocks: Iterable[tuple[Owner, Block]]) -> Iterator[tuple[Owner, Block]]:
-        gone: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for owner, (ids, mine) in blocks:
-            at = nearest(mine, book.value[owner[0]])[0]
-            goes = at != owner[1]
-            if goes.any():
-                gone.setdefault(owner[0], []).append((ids[goes], mine[goes], at[goes]))
-        for position, found in gone.items():
-            ids, mine, at = (np.concatenate(x) for x in zip(*found))
-            count.add(len(ids))
-            yield from _blocks(ids, mine, position, at, salts)
+        for position, ids, mine, home in _by_position(blocks):
+            at = nearest(mine, book.value[position])[0]
+            count.add(int((at != home).sum()))
+            yield from _blocks(ids[at != home], mine[at != home], position, at[at != home], salts)
 
     moving = state.mapPartitions(leaving).partitionBy(partitions, _owner_hash)
     # Both sides have the same partitioner, so their union puts the arrivals beside the residents without a shuffle.
