@@ -46,9 +46,11 @@ def compare(spark_rows: pd.DataFrame, sql_rows: pd.DataFrame) -> str | None:
     if len(a) != len(b):
         return f"rows {len(a)} vs {len(b)}"
     for c in a.columns:
+        if {str(a[c].dtype), str(b[c].dtype)} == {"float64", "Int64"} and (a[c].isna().any() or b[c].isna().any()):
+            a[c], b[c] = a[c].astype("Float64"), b[c].astype("Float64")  # whole numbers with nulls
         if str(a[c].dtype) != str(b[c].dtype) and len(a):
             return f"type of {c}: {a[c].dtype} vs {b[c].dtype}"
-        same = (a[c] == b[c]) | (a[c].isna() & b[c].isna())
+        same = (a[c] == b[c]).fillna(False).astype(bool) | (a[c].isna() & b[c].isna())
         if a[c].dtype.kind == "f":
             same |= (a[c] - b[c]).abs() <= 1e-9
         if not same.all():
