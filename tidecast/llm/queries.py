@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, chat, decontaminate, hpylm, html_crf, mixing, pq_dedup, simhash, toxicity, url_filter, variants, vector_codes
+from tidecast.llm import bpe, chat, decontaminate, hpylm, html_crf, mixing, pq_dedup, sanitise, simhash, toxicity, url_filter, variants, vector_codes
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -217,6 +217,73 @@ FROM kept JOIN coded USING (row)
 """
 
 
+def _count_kind(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op12_pii_sanitise(spark: SparkSession, folder: str) -> DataFrame:
+    found = sanitise.sanitise(_table(spark, folder, "documents"))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"] != sanitise.TERM)
+    return found.select(F.col("id").alias("doc_id"), *map(_count_kind, sanitise.KINDS), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+_OP12_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def _sql_matches(source: str, place: int, kind: str, pattern: str) -> str:
+    """Matches with the texts before and after them; a match begins where all pieces and matches before it end."""
+    return rf"""
+  SELECT key, {place} AS place, '{kind}' AS kind, v, before, after,
+    CAST(sum(length(before) + length(v)) OVER (PARTITION BY key ORDER BY i) AS BIGINT) - length(v) AS start FROM (
+    SELECT key, i, v[i] AS v, p[i] AS before, p[i + 1] AS after FROM (
+      SELECT key, v, p, unnest(range(1, len(v) + 1)) AS i FROM (
+        SELECT key, regexp_extract_all(text, '{pattern}') AS v, string_split_regex(text, '{pattern}') AS p FROM {source})))"""
+
+
+OP12_SQL = rf"""
+WITH docs AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS key FROM documents),
+texts AS MATERIALIZED (SELECT key, first(text) AS text FROM docs GROUP BY key),
+found AS MATERIALIZED ({" UNION ALL ".join(_sql_matches("texts", k, kind, pattern) for k, (kind, pattern) in enumerate(_OP12_PATTERNS.items()))}
+), figures AS (
+  SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS digits, list_transform(string_split(v, '.'), lambda x: try_cast(x AS HUGEINT)) AS bytes FROM found
+), base AS MATERIALIZED (
+  SELECT key, place, kind, v, before, after, start, start + length(v) AS stop,
+    kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN digits ELSE lower(v) END AS entity
+  FROM figures WHERE kind = 'email' OR kind = 'ip' AND len([x FOR x IN bytes IF x IS NOT NULL AND x <= 255]) = 4
+    OR kind = 'phone' AND length(digits) BETWEEN 10 AND 15
+    OR kind = 'card' AND length(digits) BETWEEN 14 AND 19 AND list_sum([CASE WHEN i % 2 = 1 THEN CAST(reverse(digits)[i] AS INTEGER)
+      ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(reverse(digits)[i] AS INTEGER) + 1] END FOR i IN range(1, length(digits) + 1)]) % 10 = 0
+), beside AS (
+  SELECT key, kind, entity, CASE WHEN length(before) > 64 THEN regexp_replace(right(before, 64), '^\p{{L}}+', '') ELSE before END
+    || chr(10) || CASE WHEN length(after) > 64 THEN regexp_replace(left(after, 64), '\p{{L}}+$', '') ELSE after END AS near FROM base
+), pairs AS MATERIALIZED (
+  SELECT kind, entity, term, count(DISTINCT key) AS n_both FROM (SELECT key, kind, entity, unnest(regexp_extract_all(lower(near), '\p{{L}}+')) AS term FROM beside)
+  WHERE length(term) >= 3 GROUP BY ALL HAVING count(DISTINCT key) >= 3
+), held AS MATERIALIZED (
+  SELECT DISTINCT key, term FROM (SELECT key, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS term FROM texts) WHERE term IN (SELECT term FROM pairs)
+), judged AS (
+  SELECT term, kind, round(1 + log2(least(n_both, n_term) / n_term) / nullif(log2((SELECT count(*) FROM texts WHERE text <> '') / n_entity), 0), 9) AS disclosed
+  FROM pairs JOIN (SELECT entity, count(DISTINCT key) AS n_entity FROM base GROUP BY entity) USING (entity) JOIN (SELECT term, count(*) AS n_term FROM held GROUP BY term) USING (term)
+), disclosing AS (SELECT DISTINCT term FROM judged WHERE disclosed >= 0.95),
+words AS (
+  SELECT m.key, place, kind, start, start + length(v) AS stop FROM ({_sql_matches("(SELECT * FROM texts WHERE key IN (SELECT key FROM held WHERE term IN (SELECT term FROM disclosing)))", 4, "term", chr(92) + "p{L}+")}) m
+  WHERE lower(v) IN (SELECT term FROM disclosing) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.key = m.key AND b.start < m.start + length(m.v) AND m.start < b.stop)
+), spans AS (
+  SELECT key, place, kind, start, kind || ':' || start || ':' || stop AS said FROM (SELECT key, place, kind, start, stop FROM base UNION ALL SELECT * FROM words)
+), joined AS (
+  SELECT key, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+    sha256(coalesce(string_agg(said, ',' ORDER BY start, place) FILTER (kind <> 'term'), '')) AS base_sha256, string_agg(said, ',' ORDER BY start, place) AS spans
+  FROM spans GROUP BY key
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN joined USING (key)
+"""
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.spelling_variants(_table(spark, folder, "documents"))
 
@@ -266,6 +333,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_html_text": op10_html_text,
     "op11_vector_codes": op11_vector_codes,
+    "op12_pii_sanitise": op12_pii_sanitise,
     "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLE = {"op2_chat_format": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op8_mix_sources": mix_sql(), "op11_vector_codes": OP11_SQL, "op13_spelling_variants": OP13_SQL}
+ORACLE = {"op2_chat_format": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op8_mix_sources": mix_sql(), "op11_vector_codes": OP11_SQL, "op12_pii_sanitise": OP12_SQL, "op13_spelling_variants": OP13_SQL}
