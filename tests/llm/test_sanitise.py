@@ -32,6 +32,8 @@ def _base(text):
             left, right = text[max(low, start - 64):start], text[end:min(high, end + 64)]
             left = re.sub(r"^[^\W\d_]+", "", left) if start - low > 64 else left
             right = re.sub(r"[^\W\d_]+$", "", right) if high - end > 64 else right
+            left = re.sub(r"[^\W\d_]+$", "", left) if text[start].isalpha() else left
+            right = re.sub(r"^[^\W\d_]+", "", right) if text[end - 1].isalpha() else right
             value = re.sub("[^0-9]", "", text[start:end]) if kind in ("card", "phone") else text[start:end].lower()
             out.append((start, place, kind, end, f"{kind}:{value}", {w for w in re.findall(r"[^\W\d_]+", f"{left}\n{right}".lower()) if len(w) >= 3}))
     return sorted(out, key=lambda s: s[:2])
@@ -52,8 +54,8 @@ def _plain(texts, generalise=0.95, remove=0.99, least=3):
                 both[entity, w].add(text)
     share = {}
     for (entity, w), found in both.items():
-        if len(found) >= least and len(with_entity[entity]) < n and with_term[w]:
-            told = 1 + math.log2(min(len(found), len(with_term[w])) / len(with_term[w])) / math.log2(n / len(with_entity[entity]))
+        if len(found) >= least and len(with_entity[entity]) < n:
+            told = 1 + math.log2(len(found) / len(with_term[w])) / math.log2(n / len(with_entity[entity]))
             if round(told, 9) >= generalise:
                 share[w] = max(share.get(w, 0), round(told, 9))
     out = []
@@ -100,7 +102,7 @@ def test_runs_of_any_length_are_read_once(spark):
 def test_terms_that_reveal_an_entity_are_removed_or_generalised(spark):
     filler = [f"plain words number {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]} about Corvin and others" for k in range(60)]
     known = [f"Report {c}: contact Zebulon Quirke at z.quirke@corp.example or later, seldom" for c in "abcdefghijkl"] + ["Zebulon Quirke was seen", "Corvin calls +1 555 123 4567"]
-    texts = [*filler, *known, known[0], known[0], known[12]]
+    texts = [*filler, *known, known[0], known[0], known[12], *[f"éq{c}@y.z and {c}" for c in ("x", "x", "x")], "éqx@y.z too"]
     got = _rows(spark, texts)
     want = _plain(texts)
     assert {k: _spans(r) for k, r in got.items()} == dict(enumerate(want))

@@ -257,15 +257,17 @@ found AS MATERIALIZED ({" UNION ALL ".join(_sql_matches("texts", k, kind, patter
     OR kind = 'card' AND length(digits) BETWEEN 14 AND 19 AND list_sum([CASE WHEN i % 2 = 1 THEN CAST(reverse(digits)[i] AS INTEGER)
       ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(reverse(digits)[i] AS INTEGER) + 1] END FOR i IN range(1, length(digits) + 1)]) % 10 = 0
 ), beside AS (
-  SELECT key, kind, entity, CASE WHEN length(before) > 64 THEN regexp_replace(right(before, 64), '^\p{{L}}+', '') ELSE before END
-    || chr(10) || CASE WHEN length(after) > 64 THEN regexp_replace(left(after, 64), '\p{{L}}+$', '') ELSE after END AS near FROM base
+  SELECT key, kind, entity, CASE WHEN regexp_matches(v, '^\p{{L}}') THEN regexp_replace(l, '\p{{L}}+$', '') ELSE l END
+    || chr(10) || CASE WHEN regexp_matches(v, '\p{{L}}$') THEN regexp_replace(r, '^\p{{L}}+', '') ELSE r END AS near
+  FROM (SELECT *, CASE WHEN length(before) > 64 THEN regexp_replace(right(before, 64), '^\p{{L}}+', '') ELSE before END AS l,
+    CASE WHEN length(after) > 64 THEN regexp_replace(left(after, 64), '\p{{L}}+$', '') ELSE after END AS r FROM base)
 ), pairs AS MATERIALIZED (
   SELECT kind, entity, term, count(DISTINCT key) AS n_both FROM (SELECT key, kind, entity, unnest(regexp_extract_all(lower(near), '\p{{L}}+')) AS term FROM beside)
   WHERE length(term) >= 3 GROUP BY ALL HAVING count(DISTINCT key) >= 3
 ), held AS MATERIALIZED (
   SELECT DISTINCT key, term FROM (SELECT key, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS term FROM texts) WHERE term IN (SELECT term FROM pairs)
 ), judged AS (
-  SELECT term, kind, round(1 + log2(least(n_both, n_term) / n_term) / nullif(log2((SELECT count(*) FROM texts WHERE text <> '') / n_entity), 0), 9) AS disclosed
+  SELECT term, kind, round(1 + log2(n_both / n_term) / nullif(log2((SELECT count(*) FROM texts WHERE text <> '') / n_entity), 0), 9) AS disclosed
   FROM pairs JOIN (SELECT entity, count(DISTINCT key) AS n_entity FROM base GROUP BY entity) USING (entity) JOIN (SELECT term, count(*) AS n_term FROM held GROUP BY term) USING (term)
 ), disclosing AS (SELECT DISTINCT term FROM judged WHERE disclosed >= 0.95),
 words AS (

@@ -118,7 +118,7 @@ def entity_spans(texts: DataFrame, context: int) -> DataFrame:
     """(text_key, start, place, kind, end, value, left, right): the entities of ``texts`` (text_key, text).
 
     place is that of the kind in KINDS; left and right are the ``context`` code points beside the
-    entity, up to the next match of its pattern, without words that their ends cut.
+    entity, up to the next match of its pattern, without words that their ends or the entity cut.
     """
     def of(place: int, kind: str) -> DataFrame:
         tried = F.contains("text", F.lit("@")) if kind == "email" else F.col("text").rlike(HINTS[kind])
@@ -126,6 +126,8 @@ def entity_spans(texts: DataFrame, context: int) -> DataFrame:
         left, right = F.right("before", F.lit(context)), F.left("after", F.lit(context))
         left = F.when(F.char_length("before") > context, F.regexp_replace(left, rf"^{WORD}", "")).otherwise(left)
         right = F.when(F.char_length("after") > context, F.regexp_replace(right, rf"{WORD}$", "")).otherwise(right)
+        left = F.when(F.col("value").rlike(r"^\p{L}"), F.regexp_replace(left, rf"{WORD}$", "")).otherwise(left)
+        right = F.when(F.col("value").rlike(r"\p{L}$"), F.regexp_replace(right, rf"^{WORD}", "")).otherwise(right)
         return found.select("text_key", "start", F.lit(place).alias("place"), F.lit(kind).alias("kind"), "end", "value", left.alias("left"), right.alias("right"))
     return reduce(DataFrame.union, [of(k, kind) for k, kind in enumerate(KINDS)])
 
@@ -152,20 +154,20 @@ def disclosures(texts: DataFrame, spans: DataFrame, limits: Limits = Limits()) -
     Ties between kinds go to the first in KINDS.
     """
     beside = spans.select("text_key", "kind", _entity(F.col("kind"), F.col("value")).alias("entity"), F.concat_ws("\n", "left", "right").alias("near"))
+    n_texts = texts.where("text <> ''").select("text_key").distinct().count()
+    information = F.nullif(F.log2(F.lit(float(n_texts)) / F.col("n_entity")), F.lit(0.0))
+    disclosed = lambda of: F.round(1 + F.log2(F.col("n_both") / F.col(of)) / information, 9)
     entities = beside.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = beside.select("text_key", "kind", "entity", F.explode(terms(F.col("near"))).alias("term")).distinct()
-    pairs = pairs.groupBy("kind", "entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= limits.min_texts)
-    pairs = stage(pairs.join(entities, "entity"), "pairs")
-    candidates = pairs.select("term").distinct()
+    near = stage(beside.select("text_key", "kind", "entity", F.explode(terms(F.col("near"))).alias("term")).distinct(), "near")
+    pairs = near.groupBy("kind", "entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= limits.min_texts)
+    # Texts that have the term beside any entity are some of those that have it: words that are common there need no count in all texts.
+    beside_any = near.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = pairs.join(entities, "entity").join(beside_any, "term").where(disclosed("n_near") >= limits.generalise)
+    pairs = stage(pairs, "pairs")
     held = texts.select("text_key", F.explode(terms(F.col("text"))).alias("term"))
-    held = stage(held.join(broadcast_up_to(candidates, MOST_TERMS), "term").distinct(), "held")
-    n_texts = texts.where("text <> ''").select("text_key").distinct().count()
+    held = stage(held.join(broadcast_up_to(pairs.select("term").distinct(), MOST_TERMS), "term").distinct(), "held")
     counts = held.groupBy("term").agg(F.count("*").alias("n_term"))
-    information = F.nullif(F.log2(F.lit(float(n_texts)) / F.col("n_entity")), F.lit(0.0))
-    # A word that an entity cuts in two is beside it, but not in the text.
-    share = F.least(F.col("n_both"), F.col("n_term")) / F.col("n_term")
-    disclosed = F.round(1 + F.log2(share) / information, 9)
-    judged = pairs.join(counts, "term").withColumn("disclosed", disclosed).where(F.col("disclosed") >= limits.generalise)
+    judged = pairs.join(counts, "term").withColumn("disclosed", disclosed("n_term")).where(F.col("disclosed") >= limits.generalise)
     place = reduce(lambda out, k: F.when(F.col("kind") == KINDS[k], k).otherwise(out), range(len(KINDS)), F.lit(len(KINDS)))
     found = judged.groupBy("term").agg(F.min(F.struct((-F.col("disclosed")).alias("minus"), place.alias("place"), "kind")).alias("best"))
     found = stage(found.select("term", "best.kind", (-F.col("best.minus")).alias("disclosed")), "disclosing")
