@@ -82,6 +82,55 @@ def test_toxicity_of_rows_held_out(spark):
     assert np.mean([o["score"] for o, y in held if y]) > np.mean([o["score"] for o, y in held if not y]) + 0.3
 
 
+def test_toxic_rows_held_out_are_found_in_every_language(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where((toxicity.fold("doc_id") == 0) & F.col("toxic").isNotNull()).join(docs, "doc_id")
+    scorer = toxicity.learn(docs, labels)
+    rows = [(r["_doc"]["lang"], r["_doc"]["toxic"], r["score"]) for r in scorer.score(held).collect()]
+    for lang in ("en", "fr", "de", "es"):
+        clean, toxic = (np.array([x for g, y, x in rows if g == lang and y == c]) for c in (0, 1))
+        least = np.quantile(clean, 0.95, method="higher")
+        assert len(toxic) > 4 and np.mean((toxic >= 0.5) & (toxic > least)) >= 0.8 and np.mean(clean < 0.5) >= 0.95, lang
+        assert np.mean(toxic > least) >= 0.9, lang
+    assert np.mean([x >= 0.5 for _, y, x in rows if y]) >= 0.85
+
+
+def _pieces(word):
+    return {word[:k] for k in (3, 4, 5, 6) if len(word) >= k} | ({"=" + word} if 3 <= len(word) <= 6 else set())
+
+
+def test_learned_pieces_are_counted_as_they_stand(spark):
+    rnd = np.random.default_rng(6)
+    rows = []
+    for k in range(120):
+        toxic = int(k % 4 == 0)
+        said = [str(w) for w in rnd.choice(["water", "stone", "Baum", "élan", "ab", "strasse", "Wolke7"], 20)]
+        rows.append((" ".join([*said, *(["Grimmig-Grimmiger", "zork"] * (1 + k % 3) if toxic else ["zorkling"] * (k % 2))]), 2 + k % 3, toxic))
+    rows += [("", 2, 1), ("grimmig " * 50, 0, 1)]
+    frame = spark.createDataFrame(rows, "text string, fold int, toxic int")
+    words, docs, total = Counter(), Counter(), Counter()
+    for text, fold, toxic in rows[:-1]:
+        split = "".join(c if c.isalnum() else " " for c in text.lower()).split(" ")
+        total[toxic, fold] += len(split)
+        for w in split:
+            words.update((p, toxic, fold) for p in _pieces(w))
+        docs.update((p, toxic, fold) for p in {p for w in split for p in _pieces(w)})
+    got = toxicity.piece_counts(frame.where("fold > 1")).collect()
+    assert {(r["piece"], r["class"]) for r in got} == {(p, c) for p, c, _ in words}
+    assert all(r[f"n_{f}"] == words[r["piece"], r["class"], f] and r[f"docs_{f}"] == docs[r["piece"], r["class"], f] for r in got for f in (2, 3, 4))
+    for left_out, lexicon in toxicity.learn_lexicons(frame).items():
+        folds = [f for f in (2, 3, 4) if f != left_out]
+        want = {}
+        for p in {p for p, _, _ in words}:
+            c0, c1 = (sum(words[p, c, f] for f in folds) + 1 for c in (0, 1))
+            n0, n1 = (sum(total[c, f] for f in folds) + 2 for c in (0, 1))
+            odds = math.log(c1 / n1) - math.log(c0 / n0)
+            if sum(docs[p, 1, f] for f in folds) >= 5 and odds >= 1.5 and odds / math.sqrt(1 / c0 + 1 / c1) >= 4:
+                want[p] = odds
+        assert lexicon.odds == pytest.approx(want, abs=1e-8) and {"gri", "grimmi", "=zork"} <= set(want)
+
+
 def test_toxicity_depends_on_the_text_alone(spark):
     insult = "you are a pathetic idiot and a worthless moron"
     calm = "the weather is fine and we walk along the river"

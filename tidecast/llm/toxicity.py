@@ -1,7 +1,15 @@
-"""Toxicity: gradient-boosted trees over dense text features, calibrated by isotonic regression."""
+"""Toxicity: gradient-boosted trees over dense text features, calibrated by isotonic regression.
+
+Beside a fixed list of insults there is a learned one: words and beginnings of words that far more
+toxic than other training texts have, whatever their language. A training row's densities are those
+of a list learned from the other training folds, so that trees do not trust what a list knows by heart.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +30,19 @@ STAND_INS, LETTERS = "013457@$!.-_*", "oieastasi"
 # Labelled ids that may be broadcast to the texts; more of them are joined by a shuffle.
 MOST_LABELS = 1_000_000
 
-FEATURES = ("insults", "insults_log", "hidden_insults", "hidden_log", "threats", "second", "aimed", "capitals", "shouted", "marks", "marks_run", "masked")
+# Letters of the beginnings that are learned; a shorter word is also learned as a whole, with the mark before it.
+BEGINNINGS = (3, 4, 5, 6)
+WHOLE = "="
+# Least log odds of the three grades of learned pieces, how many standard errors they are above 0, the toxic texts that
+# must have them, and the most pieces of a list.
+GRADES = (1.5, 2.5, 4.0)
+LEAST_ERRORS = 4.0
+LEAST_DOCS = 5
+MOST_PIECES = 4_000
+TRAINING_FOLDS = (2, 3, 4)
+
+LEARNED = ("slight_log", "fair", "fair_log", "strong", "strong_log")
+FEATURES = ("insults", "insults_log", "hidden_insults", "hidden_log", "threats", "second", "aimed", "capitals", "shouted", "marks", "marks_run", "masked", *LEARNED)
 
 
 _STANDS_IN = r"[0-9@$*_]\p{L}|\p{L}[0-9@$*_]|\p{L}[.!\-]\p{L}"
@@ -40,12 +60,83 @@ def _words(text: Column) -> Column:
     return F.split(text, r"[^\p{L}\p{N}]+")
 
 
-def with_features(texts: DataFrame, text_col: str) -> DataFrame:
+def pieces(words: Column) -> Column:
+    """The distinct beginnings of all words, and whole words that are no longer than those."""
+    starts = [_beginnings(words, k) for k in BEGINNINGS]
+    short = F.filter(words, lambda w: F.char_length(w).between(BEGINNINGS[0], BEGINNINGS[-1]))
+    return F.array_distinct(F.concat(*starts, F.transform(short, lambda w: F.concat(F.lit(WHOLE), w))))
+
+
+def _beginnings(words: Column, letters: int) -> Column:
+    return F.transform(F.filter(words, lambda w: F.char_length(w) >= letters), lambda w: F.substring(w, 1, letters))
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Learned pieces with their log odds."""
+
+    odds: dict[str, float]
+
+    def at_least(self, grade: float) -> list[str]:
+        return sorted(p for p, x in self.odds.items() if x >= grade)
+
+
+def _any_piece(word: Column, listed: list[str]) -> Column:
+    found = F.concat(F.lit(WHOLE), word).isin([p for p in listed if p[:1] == WHOLE])
+    for k in BEGINNINGS:
+        found = found | F.substring(word, 1, k).isin([p for p in listed if p[:1] != WHOLE and len(p) == k])
+    return found
+
+
+def piece_counts(texts: DataFrame) -> DataFrame:
+    """(piece, class, n_2 … n_4, docs_2 … docs_4): words that have a piece and texts with such a word, by training fold and class.
+
+    ``texts`` has text, fold and toxic. Words are counted first and cut into pieces then.
+    """
+    words = texts.select("fold", F.col("toxic").alias("class"), _words(F.lower("text")).alias("words"))
+    by_fold = lambda name: [F.count_if(F.col("fold") == f).alias(f"{name}_{f}") for f in TRAINING_FOLDS]
+    added = lambda name: [F.sum(f"{name}_{f}").alias(f"{name}_{f}") for f in TRAINING_FOLDS]
+    said = words.select("fold", "class", F.explode("words").alias("word")).groupBy("word", "class").agg(*by_fold("n"))
+    said = said.select("*", F.explode(pieces(F.array("word"))).alias("piece")).groupBy("piece", "class").agg(*added("n"))
+    held = words.select("fold", "class", F.explode(pieces(F.array_distinct("words"))).alias("piece")).groupBy("piece", "class").agg(*by_fold("docs"))
+    return said.join(held, ["piece", "class"])
+
+
+def learn_lexicons(texts: DataFrame) -> dict[int | None, Lexicon]:
+    """The lexicon of all training folds (key None), and for each fold that of the others, from ``texts`` (text, fold, toxic).
+
+    Log odds are those of the shares of words with a piece among all words of toxic and of other
+    texts, each count raised by one. Pieces of fewer than LEAST_DOCS toxic texts, below the least grade, or by
+    fewer than LEAST_ERRORS standard errors above 0 are left out; of more than MOST_PIECES those by
+    most standard errors stay, of equal ones the first.
+    """
+    texts = texts.where(F.col("fold").isin(*TRAINING_FOLDS))
+    sizes = texts.groupBy("toxic", "fold").agg(F.sum(F.size(_words(F.lower("text")))).alias("n"))
+    sizes = {(r["toxic"], r["fold"]): r["n"] for r in sizes.collect()}  # six rows
+    both = [f"{name}_{f}" for name in ("n", "docs") for f in TRAINING_FOLDS]
+    counts = stage(piece_counts(texts).groupBy("piece").agg(*[
+        F.coalesce(F.sum(F.when(F.col("class") == c, F.col(n))), F.lit(0)).alias(f"{n}_{c}") for c in (0, 1) for n in both]), "pieces")
+    out = {}
+    for left_out in (None, *TRAINING_FOLDS):
+        folds = [f for f in TRAINING_FOLDS if f != left_out]
+        n0, n1 = (sum(sizes.get((c, f), 0) for f in folds) for c in (0, 1))
+        c0, c1 = (sum((F.col(f"n_{f}_{c}") for f in folds), F.lit(0)) for c in (0, 1))
+        docs = sum((F.col(f"docs_{f}_1") for f in folds), F.lit(0))
+        odds = F.log((c1 + 1) / (n1 + 2)) - F.log((c0 + 1) / (n0 + 2))
+        judged = counts.where(docs >= LEAST_DOCS).select("piece", F.round(odds, 9).alias("odds"), F.round(odds / F.sqrt(1 / (c1 + 1) + 1 / (c0 + 1)), 9).alias("errors"))
+        kept = judged.where((F.col("odds") >= GRADES[0]) & (F.col("errors") >= LEAST_ERRORS)).orderBy(F.desc("errors"), "piece").limit(MOST_PIECES)
+        out[left_out] = Lexicon({r["piece"]: r["odds"] for r in kept.collect()})
+    return out
+
+
+def with_features(texts: DataFrame, text_col: str, lexicons: dict[int | None, Lexicon] | None = None, fold_col: str | None = None) -> DataFrame:
     """Adds FEATURES of the whole text, rates by word or character; all zero for a null or empty text.
 
     Words are looked up in all lists at once; what only few texts can have (words behind stand-ins,
-    insults near the second person) is looked for in those only.
+    insults near the second person) is looked for in those only. Rows of a training fold named by
+    ``fold_col`` are compared with the lexicon of the other folds, all others with that of all folds.
     """
+    lexicons = lexicons or {None: Lexicon({})}
     low = F.lower("_text")
     one = texts.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_words", _words(low))
     one = one.withColumn("_hits", F.filter("_words", lambda w: w.isin([*INSULTS, *THREATS, *SECOND]))).withColumns({
@@ -56,7 +147,10 @@ def with_features(texts: DataFrame, text_col: str) -> DataFrame:
     spots = F.filter(F.transform("_words", lambda w, k: F.struct(w.isin(SECOND).alias("second"), w.isin(INSULTS).alias("insult"), k.alias("k"))), lambda s: s["second"] | s["insult"])
     aimed = F.size(F.filter(spots, lambda s: s["insult"] & F.exists(spots, lambda o: o["second"] & (F.abs(o["k"] - s["k"]) <= 4)))).cast("double")
     n, chars, text = F.col("_n"), F.col("_chars"), F.col("_text")
-    return one.withColumn("_hidden", F.greatest(hidden, F.col("_insults"))).withColumns({
+    grades = _by_fold(lambda lexicon: _grades(F.col("_words"), lexicon), lexicons, fold_col)
+    one = one.withColumn("_hidden", F.greatest(hidden, F.col("_insults"))).withColumn("_grades", grades)
+    slight, fair, strong = (F.size(F.filter("_grades", lambda g: g >= k)).cast("double") for k in (1, 2, 3))
+    return one.withColumns({
         "insults": F.col("_insults") / n, "insults_log": F.log1p("_insults"),
         "hidden_insults": (F.col("_hidden") - F.col("_insults")) / n, "hidden_log": F.log1p("_hidden"),
         "threats": _listed(F.col("_hits"), THREATS) / n, "second": F.col("_second") / n,
@@ -64,12 +158,28 @@ def with_features(texts: DataFrame, text_col: str) -> DataFrame:
         "capitals": _count(text, r"\p{Lu}") / chars, "shouted": _count(text, r"\p{Lu}\p{Lu}+(?!\p{L})") / n,
         "marks": _count(text, "[!?]") / chars, "marks_run": _count(text, "[!?][!?]+|[*#%$&]{3,}") / n,
         "masked": F.when(text.rlike(_STANDS_IN), _count(text, r"\p{L}[0-9@$*!]+\p{L}")).otherwise(0.0) / n,
+        "slight_log": F.log1p(slight), "fair": fair / n, "fair_log": F.log1p(fair), "strong": strong / n, "strong_log": F.log1p(strong),
     })
 
 
-def _with_features(docs: DataFrame, text_col: str) -> DataFrame:
+def _by_fold(value: Callable[[Lexicon], Column], lexicons: dict[int | None, Lexicon], fold_col: str | None) -> Column:
+    out = value(lexicons[None])
+    for f in TRAINING_FOLDS if fold_col else ():
+        out = F.when(F.col(fold_col) == f, value(lexicons[f])).otherwise(out)
+    return out
+
+
+def _grades(words: Column, lexicon: Lexicon) -> Column:
+    """1, 2 or 3 for each word with a learned piece: the highest grade of its pieces."""
+    listed = [lexicon.at_least(g) for g in GRADES]
+    hits = F.filter(words, lambda w: (F.char_length(w) >= BEGINNINGS[0]) & _any_piece(w, listed[0]))
+    return F.transform(hits, lambda w: F.when(_any_piece(w, listed[2]), 3).when(_any_piece(w, listed[1]), 2).otherwise(1))
+
+
+def _with_features(docs: DataFrame, text_col: str, lexicons: dict[int | None, Lexicon], fold_col: Column | None = None) -> DataFrame:
     """(_doc, FEATURES): the row itself in one column, so that no name of it can clash."""
-    return with_features(docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_raw_text")), "_raw_text").select("_doc", *FEATURES)
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_raw_text"), (F.lit(None).cast("int") if fold_col is None else fold_col).alias("_fold"))
+    return with_features(rows, "_raw_text", lexicons, None if fold_col is None else "_fold").select("_doc", *FEATURES)
 
 
 def fold(id_col: str) -> Column:
@@ -78,19 +188,19 @@ def fold(id_col: str) -> Column:
 
 
 class Scorer:
-    """Trees and the curve that calibrates them."""
+    """The learned lexicons, trees and the curve that calibrates them."""
 
-    def __init__(self, trees: Boosted, corners: list[tuple[float, float]]):
-        self.trees, self.corners = trees, corners
+    def __init__(self, lexicons: dict[int | None, Lexicon], trees: Boosted, corners: list[tuple[float, float]]):
+        self.lexicons, self.trees, self.corners = lexicons, trees, corners
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """(_doc, score, predicted): every row of ``docs`` with its score, in one pass without a shuffle."""
-        scored = self.trees.score(_with_features(docs, text_col), "_raw").withColumn("score", calibrated(F.col("_raw"), self.corners))
+        scored = self.trees.score(_with_features(docs, text_col, self.lexicons), "_raw").withColumn("score", calibrated(F.col("_raw"), self.corners))
         return scored.select("_doc", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
-    """Trees from folds 2 to 4 of the labelled rows, the calibration curve from fold 1; fold 0 is never read.
+    """Lexicon and trees from folds 2 to 4 of the labelled rows, the calibration curve from fold 1; fold 0 is never read.
 
     Labels other than 0 and 1, null ones and ids without text are passed over; of repeated labels
     of an id the largest counts. With one class or no labels the score is that class, or 0.
@@ -98,10 +208,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col) != 0))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_toxic"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(broadcast_up_to(known, MOST_LABELS), "_id")
-    rows = _with_features(texts, "_text").select(F.col("_doc._toxic").alias("toxic"), fold("_doc._id").alias("_fold"), *FEATURES)
+    lexicons = learn_lexicons(texts.select(F.coalesce("_text", F.lit("")).alias("text"), fold("_id").cast("int").alias("fold"), F.col("_toxic").alias("toxic")))
+    rows = _with_features(texts, "_text", lexicons, fold("_id").cast("int")).select(F.col("_doc._toxic").alias("toxic"), fold("_doc._id").alias("_fold"), *FEATURES)
     rows = stage(rows, "labelled")
     trees = fit_boosted(rows.where("_fold > 1"), FEATURES, "toxic")
-    return Scorer(trees, fit_isotonic(trees.score(rows.where("_fold = 1"), "_raw"), "_raw", "toxic"))
+    return Scorer(lexicons, trees, fit_isotonic(trees.score(rows.where("_fold = 1"), "_raw"), "_raw", "toxic"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
