@@ -81,6 +81,21 @@ def test_names_in_runs_and_at_the_start_of_sentences_are_placeholders(spark):
     assert {(r["id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()} == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 2)}
 
 
+def test_values_that_become_one_and_clashing_columns(spark):
+    item = "a farmer has 2 red hens in the old barn and also keeps 5 green ducks near the long river bank"
+    texts = [item.replace("2", "9").replace("5", "9"), item.replace("2", "7").replace("5", "9"), item]
+    docs = spark.createDataFrame([(k, t, 1, "g", 0) for k, t in enumerate(texts)] + [(8, "Yes it does", 1, "g", 0), (None, item, 1, "g", 0)],
+                                 "doc_id long, text string, _id int, _gone string, near int")
+    items = spark.createDataFrame([(1, item), (2, "Yes")], "item_id long, text string")
+    out = {(r["id"], r["item_id"]): r for r in decontaminate.leaks(docs, items).collect()}
+    # Both windows beside one of the two values, and those over both, tell of another text.
+    assert set(out) == {(1, 1), (2, 1), (8, 2), (None, 1)} and out[1, 1]["n_found"] == out[2, 1]["n_found"] == out[1, 1]["n_windows"]
+    assert out[8, 2]["item_words"] == 1 and out[1, 1]["item_words"] == 21
+    kept = decontaminate.drop_leaks(docs, items)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, -1, 8]
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, items, least_words=1).collect()} == {0, None}
+
+
 def test_leaks_equal_plain_windows_on_given_tables(spark):
     folder = "/root/testdata/sf0.001"
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
