@@ -104,7 +104,7 @@ def test_pipeline_equals_plain_stages(spark):
     assert {r["doc_id"] for r in calm.collect()} == left < set(rows)
 
     single = steps["simhash_near_dedup"](spark, docs, folder)
-    groups = {r["id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
+    groups = {r["id"]: r["component_id"] for r in simhash.simhash_components(docs).collect()}
     assert single.columns == docs.columns and {r["doc_id"] for r in single.collect()} == set(groups.values()) < set(rows)
     texts = {}
     for i in sorted(rows):

@@ -69,67 +69,20 @@ def test_simhash_equals_all_pairs(spark):
 def test_one_of_each_group_of_near_copies_stays(spark):
     rnd = np.random.default_rng(6)
     words = [f"w{k}" for k in range(3_000)]
-    texts, first = ["", None, "One two", "one\tTWO", "a b c d", "alone here"], {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5}
+    texts = ["", None, "One two", "one\tTWO", "a b c d", "alone here"]
     for _ in range(25):  # texts of 300 words with up to two words changed, and one that shares a third
         base = list(rnd.choice(words, 300))
-        start = len(texts)
         texts += [" ".join(base), " ".join(base).upper() + "\n", *[" ".join([*base[:k], "new", *base[k + 1:150], "old", *base[151:]]) for k in range(0, 100, 20)]]
-        first |= {k: start for k in range(start, len(texts))}
         texts.append(" ".join([*base[:100], *rnd.choice(words, 200)]))
-        first[len(texts) - 1] = len(texts) - 1
-    rows = [(k, t, "x", 0) for k, t in enumerate(texts)] + [(None, "a b c d", "x", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, key int")
-    assert {r["id"]: r["component_id"] for r in simhash.similar_components(docs).collect()} == first
+    prints = {k: _plain_fingerprint(t) for k, t in enumerate(texts)}
+    first = _components(prints, [(a, b) for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    rows = [(k, t, "x", 0, 1, 2) for k, t in enumerate(texts)] + [(None, "a b c d", "x", 0, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, key int, _id int, _gone int")
     kept = simhash.keep_one_per_group(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {*first.values(), None}
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {*first.values(), None} and len(set(first.values())) <= len(texts) - 25
     assert simhash.keep_one_per_group(docs.limit(0)).count() == 0
 
 
-def test_wide_links_stay_below_their_bound_and_find_close_pairs(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = {r["id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
-    prints = {r["doc_id"]: int.from_bytes(simhash._fingerprint(r["text"], 5, simhash.WIDE), "little") for r in docs.collect()}
-    near = [(a, b, (prints[a] ^ prints[b]).bit_count()) for a, b in combinations(sorted(prints), 2) if (prints[a] ^ prints[b]).bit_count() <= simhash.WIDE_BITS]
-    loose = _components(prints, [(a, b) for a, b, _ in near])
-    assert all(loose[i] == loose[c] for i, c in got.items())
-    close = [got[a] == got[b] for a, b, bits in near if bits <= 22]
-    assert close and np.mean(close) > 0.95 and all(got[a] == got[b] for a, b, bits in near if bits == 0)
-
-
-def test_groups_are_those_of_brute_force_jaccard(spark):
-    rnd = np.random.default_rng(8)
-    words = [f"w{k}" for k in range(5_000)]
-    texts = []
-    for k in range(150):  # a text of 300 words and one with as many words changed as give 0.6 to 0.95
-        base = list(rnd.choice(words, 300))
-        other = list(base)
-        for at in rnd.choice(300, 2 + k % 14, replace=False):
-            other[at] = "new"
-        texts += [" ".join(base), " ".join(other)]
-    line = list(rnd.choice(words, 12))
-    texts += [" ".join(line * 60 + list(rnd.choice(words, 40))) for _ in range(2)]  # one line over and over, the rest differs
-    texts += [" ".join(line * n + list(base)) for n in (1, 60)]
-    sets = {k: {tuple(w[i:i + 5]) for i in range(len(w) - 4)} for k, t in enumerate(texts) for w in [t.split()]}
-    jaccard = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sets, 2)}
-    want = _components(sets, [p for p, s in jaccard.items() if s >= 0.8])
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
-    at_least = [got[a] == got[b] for (a, b), s in jaccard.items() if s >= 0.8]
-    assert all(want[k] == want[c] for k, c in got.items()) and np.mean(at_least) > 0.98
-    assert 30 < len(at_least) < 140 and sum(0.6 <= s < 0.8 for s in jaccard.values()) > 20
-
-
-def test_large_groups_are_cut_into_blocks(spark):
-    sets = [np.arange(k, k + 20, dtype=np.uint64) for k in range(0, 120, 2)] + [np.arange(k, k + 20, dtype=np.uint64) for k in range(900, 990, 3)]
-    rows = [(7, k, bytearray(x.tobytes())) for k, x in enumerate(sets)]
-    frame = spark.createDataFrame(rows, "component long, node long, shingles binary")
-    want = _components(range(len(sets)), [(a, b) for a, b in combinations(range(len(sets)), 2) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))])
-    assert len(set(want.values())) == 31
-    for block in (9, 500):
-        got = {r["node"]: r["component"] for r in connected_components(simhash.similar_links(frame, block)).collect()}
-        assert {k: got.get(k, k) for k in want} == want
-
-
 def test_long_index_lists_are_cut_into_blocks(spark):
     rnd = np.random.default_rng(4)
     fps = {0}

@@ -6,10 +6,6 @@ square of the corpus, so a list is keyed by three positional bytes at once: with
 split into three groups, the triples inside a group or with two in one group and one in the next
 hit every choice of four positions (20 triples). The shared positional bytes of the pairs in a
 list are tallied, pairs below the guaranteed minimum leave, the rest is verified bit by bit.
-
-The wide form groups texts by the Jaccard similarity of their sets of shingles. Texts that share a
-band of minimum hashes and whose 256-bit fingerprints are not far apart are candidates; inside each
-component of candidates the sets themselves are compared.
 """
 
 from __future__ import annotations
@@ -30,13 +26,6 @@ from tidecast.staging import stage
 BYTES = 8
 MAX_BITS = 4
 SEED = 42
-# The wide form: words of 64 bits, links of at least this similarity, and the differing bits of a candidate:
-# 0.8 has 38.8 of 256 on average with a deviation of 5.7.
-WIDE, SIMILAR, WIDE_BITS = 4, 0.8, 64
-# Bands of minimum hashes and hashes of a band: 1 - (1 - 0.8^5)^16 = 0.998 of pairs at 0.8 share one.
-BANDS, ROWS = 16, 5
-# Texts of a group of candidates that are compared in one task; larger groups are cut into pairs of blocks.
-SETS = 500
 # Members of one index list that are compared in one task; longer lists are cut into pairs of blocks.
 BLOCK = 2_000
 # Keys of long lists that may be broadcast (16 bytes each); beyond it the join shuffles.
@@ -45,8 +34,6 @@ HOT_KEYS = 100_000
 MOST_COPIES = 1_000_000
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-# An odd constant whose products spread over all bits.
-_SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
 _OFFSETS = (256 * np.arange(BYTES)).astype(np.int64)
 
 
@@ -60,13 +47,7 @@ def position_triples() -> list[tuple[int, int, int]]:
 
 def fingerprint(text: str | None, width: int = 4) -> int:
     """Unsigned 64-bit fingerprint of one text; zero without words."""
-    return int.from_bytes(_fingerprint(text, width, 1), "little")
-
-
-def _fingerprint(text: str | None, width: int, size: int) -> bytes:
-    """``size`` words of 64 bits, lowest first, the first from the hashes themselves, others from their
-    scrambles. One word counts every shingle, more words count repeated ones once."""
-    return _majority(_hashes(text, width) if size == 1 else [_shingles(text, width)], size)
+    return int.from_bytes(_majority(_hashes(text, width)), "little")
 
 
 def _hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
@@ -80,21 +61,12 @@ def _hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
         yield h
 
 
-def _shingles(text: str | None, width: int) -> np.ndarray:
-    """Hashes of the distinct shingles in order."""
-    pieces = list(_hashes(text, width))
-    return np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, np.uint64)
-
-
-def _majority(pieces: Iterable[np.ndarray], size: int) -> bytes:
-    counts, total = np.zeros((size, BYTES * 256), np.int64), 0
+def _majority(pieces: Iterable[np.ndarray]) -> bytes:
+    counts, total = np.zeros(BYTES * 256, np.int64), 0
     for h in pieces:
         total += len(h)
-        for k in range(size):
-            counts[k] += np.bincount((h.view(np.uint8).reshape(-1, BYTES) + _OFFSETS).ravel(), minlength=BYTES * 256)
-            h = (h ^ (h >> np.uint64(31))) * _SCRAMBLE
-            h ^= h >> np.uint64(29)
-    ones = counts.reshape(size, BYTES, 256) @ _BITS
+        counts += np.bincount((h.view(np.uint8).reshape(-1, BYTES) + _OFFSETS).ravel(), minlength=BYTES * 256)
+    ones = counts.reshape(BYTES, 256) @ _BITS
     return np.packbits((2 * ones > total).astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
@@ -109,46 +81,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(each, "id long, fp long")
 
 
-_MIX = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _bands(shingles: np.ndarray) -> np.ndarray:
-    """One hash a band of ROWS minima; sets of a Jaccard similarity s share a band with probability s^ROWS."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for k in range(0, len(shingles), 4_096):
-        h = shingles[k:k + 4_096, None] * _MIX
-        h ^= h >> np.uint64(32)
-        least = np.minimum(least, (h * _SCRAMBLE).min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(m.tobytes(), k) for k, m in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
-
-
-def _set_node(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
-
-
-def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, node, fp, bands): node is a hash of the set of shingles, fp has WIDE words of 64 bits, bands BANDS hashes."""
-
-    def each(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            sets = [_shingles(t, width) for t in f["text"]]
-            yield pd.DataFrame({"id": f["id"], "node": [_set_node(x) for x in sets], "fp": [_majority([x], WIDE) for x in sets], "bands": [_bands(x) for x in sets]})
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        each, "id long, node long, fp binary, bands array<long>")
-
-
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, node, shingles): the hashes of the distinct shingles as binary."""
-
-    def each(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            sets = [_shingles(t, width) for t in f["text"]]
-            yield pd.DataFrame({"id": f["id"], "node": [_set_node(x) for x in sets], "shingles": [x.tobytes() for x in sets]})
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(each, "id long, node long, shingles binary")
-
-
 def _links_in_lists(frames: Iterable[pd.DataFrame], link: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Lists arrive sorted by (key, i, j); emits (a, b): each linked member with the smallest one it reaches."""
     rest = None
@@ -185,45 +117,6 @@ def _link(f: pd.DataFrame, max_bits: int, min_bytes: int) -> pd.DataFrame:
     return pd.DataFrame({"a": rep[linked], "b": label[linked]})
 
 
-def _similar(f: pd.DataFrame) -> pd.DataFrame:
-    """Links (a, b) that connect the members (node, shingles) of each list whose sets have a Jaccard similarity of SIMILAR."""
-    unit = f[["key", "i", "j"]].to_numpy()
-    cuts = np.nonzero((unit[1:] != unit[:-1]).any(axis=1))[0] + 1
-    found = [_similar_in_list(f["node"].to_numpy()[k], [np.frombuffer(x, np.uint64) for x in f["shingles"].iloc[k]])
-             for k in np.split(np.arange(len(f)), cuts) if len(k) > 1]
-    a, b = (np.concatenate([x[n] for x in found] or [np.zeros(0, np.int64)]) for n in (0, 1))
-    return pd.DataFrame({"a": a, "b": b})
-
-
-def _similar_in_list(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Each member is compared with all that no link has reached yet, which connects what all pairs would."""
-    sizes = np.array([len(x) for x in sets])
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    member = np.repeat(np.arange(len(sets)), sizes)
-    left, right, waiting, reached = [], [], np.ones(len(sets), bool), []
-    marked = np.zeros(len(values), bool)
-    while waiting.any():
-        k = reached.pop() if reached else int(np.argmax(waiting))
-        waiting[k] = False
-        own = place[ends[k] - sizes[k]:ends[k]]
-        marked[own] = True
-        shared = np.bincount(member[marked[place]], minlength=len(sets))
-        marked[own] = False
-        near = np.nonzero(waiting & (shared >= SIMILAR * (sizes + sizes[k] - shared) - 1e-9))[0]
-        waiting[near] = False
-        reached.extend(near.tolist())
-        left.append(np.full(len(near), nodes[k]))
-        right.append(nodes[near])
-        if 2 * waiting[member].sum() < len(member):  # what is reached and compared leaves the arrays
-            stay = waiting.copy()
-            stay[reached] = True
-            keep = stay[member]
-            place, member = place[keep], member[keep]
-            ends = np.cumsum(np.bincount(member, minlength=len(sets)))
-    return np.concatenate(left), np.concatenate(right)
-
-
 def fingerprint_links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect distinct fingerprints (fp, rep) differing in at most four bits.
 
@@ -236,20 +129,6 @@ def fingerprint_links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     return _linked(classes, keys, MAX_BITS, BYTES - MAX_BITS, block)
 
 
-def wide_links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect the candidates among sets (rep, fp, bands): a band in common, at most WIDE_BITS differing bits.
-
-    A pair at a similarity of 0.8 shares a band with probability 0.998, at 0.85 with 0.9999; the bits leave out
-    none of either but four in a million.
-    """
-    return _linked(classes, [F.get("bands", F.lit(n)) for n in range(BANDS)], WIDE_BITS, 0, block)
-
-
-def similar_links(groups: DataFrame, block: int = SETS) -> DataFrame:
-    """Links (a, b) that connect the sets (component, node, shingles) of a component at a Jaccard similarity of SIMILAR."""
-    return _in_blocks(groups.withColumnRenamed("component", "key"), "node", ["shingles"], _similar, block)
-
-
 def _linked(classes: DataFrame, keys: list[Column], max_bits: int, min_bytes: int, block: int) -> DataFrame:
     index = classes.select("rep", "fp", F.explode(F.array(*keys)).alias("key"))
     return _in_blocks(index, "rep", ["fp"], lambda f: _link(f, max_bits, min_bytes), block)
@@ -282,32 +161,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(classes, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(id, component_id) for every row with an id: groups of texts linked by a Jaccard similarity of 0.8 or more.
-
-    The similarity is that of the sets of shingles of ``width`` words, compared exactly; see ``wide_links``
-    for how candidates are found. Texts with equal sets are carried as one member. Null and empty
-    texts are copies of each other.
-    """
-    prints = stage(wide_fingerprints(docs, id_col, text_col, width).where("id is not null"), "prints")
-    classes = stage(prints.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
-    candidates = connected_components(wide_links(classes.withColumnRenamed("node", "rep")))
-    members = stage(classes.select("node", "id").join(candidates, "node"), "members")
-    # One text of each set is read again; an id that repeats with another text is another node.
-    texts = docs.join(broadcast_up_to(members.select(F.col("id").alias("_id")).distinct(), MOST_COPIES), F.col(id_col).cast("long") == F.col("_id"), "left_semi")
-    sets = stage(shingle_sets(texts, id_col, text_col, width).join(broadcast_up_to(members, MOST_COPIES), ["node", "id"]).dropDuplicates(["node"]), "sets")
-    joined = connected_components(similar_links(sets.select("component", "node", "shingles")))
-    linked = classes.join(joined, "node", "left").select("node", "id", F.coalesce("component", "node").alias("group"))
-    least = stage(linked.groupBy("group").agg(F.min("id").alias("component_id")), "least")
-    linked = stage(linked.join(least, "group").select("node", "component_id"), "classes")
-    return prints.select("id", "node").join(linked, "node").select("id", "component_id")
-
-
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of their group of similar texts.
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """Rows of ``docs`` whose id is the smallest of their component.
 
     Rows without id stay, as nothing tells which row they repeat; rows that repeat a kept id stay too.
     """
-    groups = similar_components(docs, id_col, text_col, width)
+    groups = simhash_components(docs, id_col, text_col, width)
     gone = stage(groups.where("id <> component_id").select(F.col("id").alias("_gone")).distinct(), "copies")
-    return docs.join(broadcast_up_to(gone, MOST_COPIES), F.col(id_col) == F.col("_gone"), "left_anti")
+    # The row itself in one column, so that no name of it can clash.
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).cast("long").alias("_id"))
+    return rows.join(broadcast_up_to(gone, MOST_COPIES), F.col("_id") == F.col("_gone"), "left_anti").select("_doc.*")
