@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with similar shingles of five words, the one with the smallest id."""
+    """One document of each group of texts whose fingerprints are linked, the one with the smallest id."""
     return simhash.keep_one_per_group(docs)
 
 
