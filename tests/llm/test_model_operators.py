@@ -116,9 +116,12 @@ def test_learned_pieces_are_counted_as_they_stand(spark):
         for w in split:
             words.update((p, toxic, fold) for p in _pieces(w))
         docs.update((p, toxic, fold) for p in {p for w in split for p in _pieces(w)})
-    got = toxicity.piece_counts(frame.where("fold > 1")).collect()
-    assert {(r["piece"], r["class"]) for r in got} == {(p, c) for p, c, _ in words}
-    assert all(r[f"n_{f}"] == words[r["piece"], r["class"], f] and r[f"docs_{f}"] == docs[r["piece"], r["class"], f] for r in got for f in (2, 3, 4))
+    got = toxicity.piece_counts(toxicity.word_counts(frame.where("fold > 1"))).collect()
+    assert {r["piece"] for r in got} == {p for p, _, _ in words}
+    assert all(r[f"n_{f}_{c}"] == words[r["piece"], c, f] for r in got for f in (2, 3, 4) for c in (0, 1))
+    listed = ["gri", "=zork", "zorkli", "=stone", "sto"]
+    got = {r["piece"]: r for r in toxicity.texts_with_pieces(frame.where("fold > 1"), listed).collect()}
+    assert set(got) == {"gri", "=zork", "=stone", "sto"} and all(got[p][f"docs_{f}"] == docs[p, 1, f] for p in got for f in (2, 3, 4))
     for left_out, lexicon in toxicity.learn_lexicons(frame).items():
         folds = [f for f in (2, 3, 4) if f != left_out]
         want = {}

@@ -88,45 +88,57 @@ def _any_piece(word: Column, listed: list[str]) -> Column:
     return found
 
 
-def piece_counts(texts: DataFrame) -> DataFrame:
-    """(piece, class, n_2 … n_4, docs_2 … docs_4): words that have a piece and texts with such a word, by training fold and class.
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, class, n_2 … n_4): how often a word occurs in each training fold, by class. ``texts`` has text, fold and toxic."""
+    words = texts.select("fold", F.col("toxic").alias("class"), F.explode(_words(F.lower("text"))).alias("word"))
+    return words.groupBy("word", "class").agg(*[F.count_if(F.col("fold") == f).alias(f"n_{f}") for f in TRAINING_FOLDS])
 
-    ``texts`` has text, fold and toxic. Words are counted first and cut into pieces then.
-    """
-    words = texts.select("fold", F.col("toxic").alias("class"), _words(F.lower("text")).alias("words"))
-    by_fold = lambda name: [F.count_if(F.col("fold") == f).alias(f"{name}_{f}") for f in TRAINING_FOLDS]
-    added = lambda name: [F.sum(f"{name}_{f}").alias(f"{name}_{f}") for f in TRAINING_FOLDS]
-    said = words.select("fold", "class", F.explode("words").alias("word")).groupBy("word", "class").agg(*by_fold("n"))
-    said = said.select("*", F.explode(pieces(F.array("word"))).alias("piece")).groupBy("piece", "class").agg(*added("n"))
-    held = words.select("fold", "class", F.explode(pieces(F.array_distinct("words"))).alias("piece")).groupBy("piece", "class").agg(*by_fold("docs"))
-    return said.join(held, ["piece", "class"])
+
+def piece_counts(counted: DataFrame) -> DataFrame:
+    """(piece, n_2_0, n_2_1, …): how many words with a piece each training fold and class has, from word_counts."""
+    cut = counted.select("*", F.explode(pieces(F.array("word"))).alias("piece"))
+    return cut.groupBy("piece").agg(*[
+        F.coalesce(F.sum(F.when(F.col("class") == c, F.col(f"n_{f}"))), F.lit(0)).alias(f"n_{f}_{c}") for f in TRAINING_FOLDS for c in (0, 1)])
+
+
+def texts_with_pieces(texts: DataFrame, listed: list[str]) -> DataFrame:
+    """(piece, docs_2 … docs_4): how many toxic texts of each training fold have a word with a listed piece."""
+    hits = F.filter(F.array_distinct(_words(F.lower("text"))), lambda w: _may_have(w, listed))
+    held = texts.where("toxic = 1").select("fold", F.explode(pieces(hits)).alias("piece")).where(F.col("piece").isin(listed))
+    return held.groupBy("piece").agg(*[F.count_if(F.col("fold") == f).alias(f"docs_{f}") for f in TRAINING_FOLDS])
 
 
 def learn_lexicons(texts: DataFrame) -> dict[int | None, Lexicon]:
     """The lexicon of all training folds (key None), and for each fold that of the others, from ``texts`` (text, fold, toxic).
 
     Log odds are those of the shares of words with a piece among all words of toxic and of other
-    texts, each count raised by one. Pieces of fewer than LEAST_DOCS toxic texts, below the least grade, or by
-    fewer than LEAST_ERRORS standard errors above 0 are left out; of more than MOST_PIECES those by
-    most standard errors stay, of equal ones the first.
+    texts, each count raised by one. Pieces below the least grade, or by fewer than LEAST_ERRORS
+    standard errors above 0 are left out; of more than MOST_PIECES those by most standard errors
+    stay, of equal ones the first. Of these, pieces in fewer than LEAST_DOCS toxic texts are left out.
     """
     texts = texts.where(F.col("fold").isin(*TRAINING_FOLDS))
-    sizes = texts.groupBy("toxic", "fold").agg(F.sum(F.size(_words(F.lower("text")))).alias("n"))
-    sizes = {(r["toxic"], r["fold"]): r["n"] for r in sizes.collect()}  # six rows
-    both = [f"{name}_{f}" for name in ("n", "docs") for f in TRAINING_FOLDS]
-    counts = stage(piece_counts(texts).groupBy("piece").agg(*[
-        F.coalesce(F.sum(F.when(F.col("class") == c, F.col(n))), F.lit(0)).alias(f"{n}_{c}") for c in (0, 1) for n in both]), "pieces")
-    out = {}
+    counted = stage(word_counts(texts), "words")
+    by_fold = [F.sum(f"n_{f}").alias(f"n_{f}") for f in TRAINING_FOLDS]
+    sizes = {r["class"]: r for r in counted.groupBy("class").agg(*by_fold).collect()}  # two rows
+    counts = stage(piece_counts(counted), "pieces")
+    found = {}
     for left_out in (None, *TRAINING_FOLDS):
         folds = [f for f in TRAINING_FOLDS if f != left_out]
-        n0, n1 = (sum(sizes.get((c, f), 0) for f in folds) for c in (0, 1))
+        n0, n1 = (sum(sizes[c][f"n_{f}"] for f in folds) if c in sizes else 0 for c in (0, 1))
         c0, c1 = (sum((F.col(f"n_{f}_{c}") for f in folds), F.lit(0)) for c in (0, 1))
-        docs = sum((F.col(f"docs_{f}_1") for f in folds), F.lit(0))
         odds = F.log((c1 + 1) / (n1 + 2)) - F.log((c0 + 1) / (n0 + 2))
-        judged = counts.where(docs >= LEAST_DOCS).select("piece", F.round(odds, 9).alias("odds"), F.round(odds / F.sqrt(1 / (c1 + 1) + 1 / (c0 + 1)), 9).alias("errors"))
+        judged = counts.select("piece", F.round(odds, 9).alias("odds"), F.round(odds / F.sqrt(1 / (c1 + 1) + 1 / (c0 + 1)), 9).alias("errors"))
         kept = judged.where((F.col("odds") >= GRADES[0]) & (F.col("errors") >= LEAST_ERRORS)).orderBy(F.desc("errors"), "piece").limit(MOST_PIECES)
-        out[left_out] = Lexicon({r["piece"]: r["odds"] for r in kept.collect()})
-    return out
+        found[left_out] = {r["piece"]: r["odds"] for r in kept.collect()}
+    every = sorted(set().union(*found.values()))
+    docs = {r["piece"]: r for r in texts_with_pieces(texts, every).collect()} if every else {}  # a row for each listed piece at most
+    enough = lambda p, left_out: p in docs and sum(docs[p][f"docs_{f}"] for f in TRAINING_FOLDS if f != left_out) >= LEAST_DOCS
+    return {left_out: Lexicon({p: x for p, x in odds.items() if enough(p, left_out)}) for left_out, odds in found.items()}
+
+
+def _may_have(word: Column, listed: list[str]) -> Column:
+    """Whether a word begins as some listed piece does: one look-up that most words fail."""
+    return F.substring(word, 1, BEGINNINGS[0]).isin(sorted({p.removeprefix(WHOLE)[:BEGINNINGS[0]] for p in listed}))
 
 
 def with_features(texts: DataFrame, text_col: str, lexicons: dict[int | None, Lexicon] | None = None, fold_col: str | None = None) -> DataFrame:
@@ -172,7 +184,7 @@ def _by_fold(value: Callable[[Lexicon], Column], lexicons: dict[int | None, Lexi
 def _grades(words: Column, lexicon: Lexicon) -> Column:
     """1, 2 or 3 for each word with a learned piece: the highest grade of its pieces."""
     listed = [lexicon.at_least(g) for g in GRADES]
-    hits = F.filter(words, lambda w: (F.char_length(w) >= BEGINNINGS[0]) & _any_piece(w, listed[0]))
+    hits = F.filter(words, lambda w: _may_have(w, listed[0]) & _any_piece(w, listed[0]))
     return F.transform(hits, lambda w: F.when(_any_piece(w, listed[2]), 3).when(_any_piece(w, listed[1]), 2).otherwise(1))
 
 
