@@ -84,6 +84,30 @@ def test_constant_fractions_leave_only_the_intercept(spark):
     assert r.weights == [[0.0, 0.0]] and r.intercepts == [pytest.approx(48)]
 
 
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e8, -1e10])
+def test_slopes_keep_far_from_zero(spark, offset):
+    """y = 3x + 2z, with x and z close together far from zero, in many tasks and with a row that is not complete."""
+    rng = np.random.default_rng(3)
+    x, z = rng.integers(0, 50, 400).tolist(), rng.integers(0, 9, 400).tolist()
+    rows = [(k % 2, offset + a, b - offset, float(3 * (offset + a) + 2 * (b - offset))) for k, (a, b) in enumerate(zip(x, z))]
+    df = spark.createDataFrame(rows + [(1, 5.0, None, 7.0)], f"{CENTER} int, x double, z double, y double").repartition(9)
+    for r in linear.fit_linear(df, KEYS, ["x", "z"], ["y"]).collect():
+        assert r.weights[0] == pytest.approx([3, 2], abs=1e-6) and r.n_rows == 200
+    assert linear.fit_linear(df, (), ["x", "z"], ["y"]).collect()[0].weights[0] == pytest.approx([3, 2], abs=1e-6)
+
+
+def test_moments_merge_in_any_order_to_those_of_all_rows():
+    rng = np.random.default_rng(5)
+    rows = rng.normal(1e7, 3, (300, 4))
+    parts = [linear.Moments.of(p, 2) for p in np.split(rows, [1, 2, 50, 51, 200])]
+    for order in (parts, parts[::-1]):
+        total = order[0]
+        for p in order[1:]:
+            total = linear.Moments.unpacked(np.array(total.merged(p).packed()), 2)
+        off = rows - rows.mean(axis=0)
+        assert total.n == 300 and total.products == pytest.approx(off.T @ off[:, :2], rel=1e-9, abs=1e-6) and total.mean == pytest.approx(rows.mean(axis=0))
+
+
 def test_short_series_has_no_model_but_keeps_its_rows(series):
     demand = series({1: noisy(80), 2: [None] * 60 + noisy(20)})
     frame = feat.base_features(demand, OPEN, targets=True, within_split=False)

@@ -1,14 +1,15 @@
-"""Direct multi-step linear regression from distributed sufficient statistics.
+"""Direct multi-step linear regression from distributed, mergeable moments.
 
-A fit needs only the sums of products of its columns. They are summed by Spark per series (or
-over all series), and a small system is solved per series; rows of the feature table never
-gather anywhere.
+A fit needs only the number, the means and the centered products of its columns. Tasks take them of
+the rows they read, per series (or over all), they are merged pairwise, and a small system is solved
+per series; rows of the feature table never gather anywhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +20,16 @@ from tidecast.operators.metrics import prediction_name
 
 # Eigenvalues below this share of the largest count as zero in the solve.
 RCOND = 1e-10
+# Deviations below this share of a mean are rounding, not variation.
+NOISE = 64 * 2.220446049250313e-16
+# Series whose moments a task holds, or solves, at once.
+HELD_SERIES = 2_000
 
 
 def sufficient_statistics(frame: DataFrame, keys, x: list[str], y: list[str]) -> DataFrame:
-    """(keys, term, s): s[0] = Σ w and s[j] = Σ w·x_j for w = 1 (term 0), every x, then every y.
+    """The raw sums of a fit, as other engines state them; fits themselves use moments, which lose no digits far from zero.
+
+    (keys, term, s): s[0] = Σ w and s[j] = Σ w·x_j for w = 1 (term 0), every x, then every y.
 
     Each row is spread over its terms and summed at once; the partial aggregate keeps one row
     per (series, term) and task, so a hot series costs no more shuffle than a cold one.
@@ -37,53 +44,121 @@ def sufficient_statistics(frame: DataFrame, keys, x: list[str], y: list[str]) ->
     return sums.select(*keys, "term", F.array("__s0", *[f"__s{j}" for j in range(1, len(x) + 1)]).alias("s"))
 
 
-def solve(statistics: DataFrame, keys, n_x: int, n_y: int, rcond: float = RCOND) -> DataFrame:
-    """(keys, n_rows, intercepts[n_y], weights[n_y][n_x]), one row per series.
+class Moments:
+    """Number, means and centered products of the columns x and y of some rows; two of them merge into one.
 
-    Columns are centered through the sums; the pseudo-inverse picks the least-norm solution, so
-    a constant or too short series still gets one. Batches hold many series, solved together.
+    Products are those of deviations from the rows' own means, so numbers that lie close together far
+    from zero keep their variation, and merging adds only what the means differ by.
     """
-    packed = statistics.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("term", "s"))), lambda e: e["s"]).alias("sums"))
-    schema = T.StructType([statistics.schema[k] for k in keys] + [
+
+    def __init__(self, n: int, mean: np.ndarray, products: np.ndarray):
+        self.n, self.mean, self.products = n, mean, products
+
+    @staticmethod
+    def of(rows: np.ndarray, n_x: int) -> Moments:
+        mean = rows.mean(axis=0)
+        off = rows - mean
+        # What rounding left in the mean is taken out of the products.
+        rest = off.sum(axis=0)
+        return Moments(len(rows), mean + rest / len(rows), off.T @ off[:, :n_x] - np.outer(rest, rest[:n_x]) / len(rows))
+
+    def merged(self, other: Moments) -> Moments:
+        n, apart = self.n + other.n, other.mean - self.mean
+        n_x = self.products.shape[1]
+        between = np.outer(apart, apart[:n_x]) * (self.n * (other.n / n))
+        return Moments(n, self.mean + apart * (other.n / n), self.products + other.products + between)
+
+    def packed(self) -> list[float]:
+        return [float(self.n), *self.mean.tolist(), *self.products.ravel().tolist()]
+
+    @staticmethod
+    def unpacked(values: np.ndarray, n_x: int) -> Moments:
+        width = (len(values) - 1) // (1 + n_x)
+        return Moments(int(values[0]), values[1:1 + width], values[1 + width:].reshape(width, n_x))
+
+
+def partial_moments(frame: DataFrame, keys, x: list[str], y: list[str]) -> DataFrame:
+    """(keys, moments): the moments of the rows of each series that a task has seen; rows with a null or NaN are left out.
+
+    A task keeps one entry per series and hands them on once it has HELD_SERIES, so its memory is bounded
+    and a hot series moves as one row per task.
+    """
+    keys, n_x = list(keys), len(x)
+    names = [*x, *y]
+    columns = [F.col(quoted(c)).cast("double").alias(f"__{k}") for k, c in enumerate(names)]
+    schema = T.StructType([frame.schema[k] for k in keys] + [T.StructField("moments", T.ArrayType(T.DoubleType()))])
+
+    def rows_of(held: dict) -> pd.DataFrame:
+        out = pd.DataFrame(list(held), columns=keys) if keys else pd.DataFrame(index=range(len(held)))
+        out["moments"] = [m.packed() for m in held.values()]
+        return out
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, Moments] = {}
+        for batch in batches:
+            values = batch.iloc[:, len(keys):].to_numpy(float)
+            known = ~np.isnan(values).any(axis=1)
+            values, batch = values[known], batch[known]
+            groups = batch.groupby(keys, sort=False, dropna=False).indices if keys else {(): np.arange(len(batch))}
+            for key, at in groups.items():
+                if len(at):
+                    key = key if isinstance(key, tuple) else (key,)
+                    found = Moments.of(values[at], n_x)
+                    held[key] = held[key].merged(found) if key in held else found
+            if len(held) >= HELD_SERIES:
+                yield rows_of(held)
+                held = {}
+        if held:
+            yield rows_of(held)
+
+    return frame.select(*keys, *columns).mapInPandas(sums, schema)
+
+
+def solve(partials: DataFrame, keys, n_x: int, n_y: int, rcond: float = RCOND) -> DataFrame:
+    """(keys, n_rows, intercepts[n_y], weights[n_y][n_x]), one row per series, from partial_moments.
+
+    The partial rows of a series meet in one task and are merged as they come, so no group is held whole.
+    The pseudo-inverse picks the least-norm solution, so a constant or too short series still gets one.
+    """
+    keys = list(keys)
+    schema = T.StructType([partials.schema[k] for k in keys] + [
         T.StructField("n_rows", T.LongType()),
         T.StructField("intercepts", T.ArrayType(T.DoubleType())),
         T.StructField("weights", T.ArrayType(T.ArrayType(T.DoubleType()))),
     ])
-    keys = list(keys)
-
-    def solve_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-        import pandas as pd
 
+    def solve_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, Moments] = {}
         for batch in batches:
-            if batch.empty:
-                continue
-            s = np.array([np.vstack(m) for m in batch["sums"]])          # series, term, 1 + n_x
-            n = s[:, 0, 0]
-            mean = s[:, :, 0] / n[:, None]                               # of 1, every x, every y
-            centered = s[:, 1:, 1:] - n[:, None, None] * mean[:, 1:, None] * mean[:, None, 1:n_x + 1]
-            gram, cross = centered[:, :n_x], centered[:, n_x:]           # x·x and y·x
-            # Directions that are zero, or no larger than what rounding leaves of the raw sums.
+            for *key, values in batch.itertuples(index=False, name=None):
+                found = Moments.unpacked(np.asarray(values, float), n_x)
+                held[tuple(key)] = held[tuple(key)].merged(found) if tuple(key) in held else found
+        series = list(held.items())
+        for start in range(0, len(series), HELD_SERIES):
+            part = series[start:start + HELD_SERIES]
+            n = np.array([m.n for _, m in part])
+            mean, products = np.array([m.mean for _, m in part]), np.array([m.products for _, m in part])
+            gram, cross = products[:, :n_x], products[:, n_x:]           # x·x and y·x
+            # Directions that are zero, or no larger than what rounding leaves of a constant.
             values, vectors = np.linalg.eigh(gram)
-            raw = np.einsum("sjj->sj", s[:, 1:n_x + 1, 1:]).max(axis=1)
-            floor = np.maximum(rcond * values[:, -1], 64 * np.finfo(float).eps * raw)[:, None]
+            noise = n * (NOISE * np.abs(mean[:, :n_x]).max(axis=1)) ** 2
+            floor = np.maximum(rcond * values[:, -1], noise)[:, None]
             inverse = np.where(values > floor, 1.0 / np.where(values > floor, values, 1.0), 0.0)
             weights = cross @ (vectors * inverse[:, None, :]) @ vectors.transpose(0, 2, 1)
-            intercepts = mean[:, n_x + 1:] - np.einsum("shx,sx->sh", weights, mean[:, 1:n_x + 1])
-            out = batch[keys].copy()
+            intercepts = mean[:, n_x:] - np.einsum("shx,sx->sh", weights, mean[:, :n_x])
+            out = pd.DataFrame([k for k, _ in part], columns=keys) if keys else pd.DataFrame(index=range(len(part)))
             out["n_rows"] = n.astype("int64")
             out["intercepts"] = list(intercepts)
             out["weights"] = [list(w) for w in weights]
             yield out
 
-    return packed.mapInPandas(solve_batches, schema)
+    return (partials.repartition(*keys) if keys else partials.coalesce(1)).mapInPandas(solve_all, schema)
 
 
 def fit_linear(frame: DataFrame, keys, x: list[str] | None = None, y: list[str] | None = None) -> DataFrame:
     """One regression per series, or one over all rows with empty ``keys``. Pass training rows."""
     x, y = x or lag_names(), y or target_names()
-    return solve(sufficient_statistics(frame, keys, x, y), keys, len(x), len(y))
+    return solve(partial_moments(frame, keys, x, y), keys, len(x), len(y))
 
 
 def _with_model(frame: DataFrame, model: DataFrame, keys) -> DataFrame:
