@@ -159,8 +159,9 @@ def test_series_without_a_model_stay_visible(series):
     model = linear.fit_linear(frame.where(f"{CENTER} = 1"), KEYS)
     cells = linear.score_long(frame, model, KEYS, [CENTER])
     assert cells.count() == 14 * frame.count() and cells.where("y is null or horizon is null").count() == 0
-    left = {r[CENTER]: r.n_unscored for r in met.unscored(cells, [CENTER]).collect()}
-    assert left == {1: 0, 2: 14 * frame.where(f"{CENTER} = 2").count()}
+    errors = {r[CENTER]: r for r in met.error_metrics(cells, [CENTER]).collect()}
+    assert {c: r.unscored for c, r in errors.items()} == {1: 0, 2: 14 * frame.where(f"{CENTER} = 2").count()}
+    assert errors[2].n == 0 and errors[2].rmse is None and errors[1].rmse is not None
 
 
 def test_a_model_without_an_error_does_not_win(spark):

@@ -56,6 +56,23 @@ def keep_centers(df: DataFrame, ids) -> DataFrame:
     return df.where(F.col(CENTER) == ids[0]) if len(ids) == 1 else df.where(F.col(CENTER).isin(*ids))
 
 
+def sales(items: DataFrame, keys: tuple[str, ...], price: str = "sale_price") -> DataFrame:
+    """(keys, units, revenue): the facts reduced to one row per key before anything is joined to them.
+
+    Rows with a null key are left out. Units and revenue add up, so attributes of the keys can be joined to
+    this table and its rows summed by them; the facts themselves never meet a dimension.
+    """
+    for k in keys:
+        items = items.where(F.col(k).isNotNull())
+    return items.groupBy(*keys).agg(F.count(F.lit(1)).alias("units"), F.sum(price).alias("revenue"))
+
+
+def sales_by(sold: DataFrame, attributes: tuple[str, ...]) -> DataFrame:
+    """``sales`` summed by attributes that have been joined to it; rows with a null attribute are left out."""
+    return sold.dropna(subset=list(attributes)).groupBy(*attributes).agg(
+        F.sum("units").alias("units"), F.sum("revenue").alias("revenue"))
+
+
 def without_statuses(items: DataFrame, statuses) -> DataFrame:
     """Drops items in the given states; items of unknown state stay."""
     statuses = tuple(statuses)

@@ -25,17 +25,20 @@ def long_pairs(scored: DataFrame, keep: list[str], n: int = 14) -> DataFrame:
 
 
 def error_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """n, mae, mape, mape_nonzero, rmse (pooled) and rmse_per_output per ``by`` group.
+    """n, unscored, mae, mape, mape_nonzero, rmse (pooled) and rmse_per_output per ``by`` group.
 
     ``mape`` is a fraction and lets zero actuals blow it up; ``mape_nonzero`` leaves them out.
     ``rmse_per_output`` averages the roots of the single horizons. ``n`` counts the cells with a
-    value and a prediction; ``unscored`` counts those with a value alone. Two levels of sums: the
+    value and a prediction; ``unscored`` counts those with a value alone, such as those of series
+    without a model. A group without any scored cell has null errors. Two levels of sums: the
     first combines map side, the second only sees one row per group and horizon.
     """
-    err = F.abs(F.col("y") - F.col("yhat"))
-    nonzero = F.col("y") != 0
-    per_horizon = pairs.where(F.col("y").isNotNull() & F.col("yhat").isNotNull()).groupBy(*by, "horizon").agg(
-        F.count(F.lit(1)).alias("n"),
+    scored = F.col("y").isNotNull() & F.col("yhat").isNotNull()
+    err = F.when(scored, F.abs(F.col("y") - F.col("yhat")))
+    nonzero = scored & (F.col("y") != 0)
+    per_horizon = pairs.where(F.col("y").isNotNull()).groupBy(*by, "horizon").agg(
+        F.count_if(scored).alias("n"),
+        F.count_if(~scored).alias("unscored"),
         F.sum(err).alias("abs_sum"),
         F.sum(err / F.greatest(F.abs("y"), F.lit(EPS))).alias("pct_sum"),
         F.sum(F.when(nonzero, err / F.abs("y"))).alias("pct_nonzero_sum"),
@@ -45,19 +48,15 @@ def error_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
     n = F.sum("n")
     return per_horizon.groupBy(*by).agg(
         n.alias("n"),
-        (F.sum("abs_sum") / n).alias("mae"),
-        (F.sum("pct_sum") / n).alias("mape"),
+        F.sum("unscored").alias("unscored"),
+        F.try_divide(F.sum("abs_sum"), n).alias("mae"),
+        F.try_divide(F.sum("pct_sum"), n).alias("mape"),
         F.try_divide(F.sum("pct_nonzero_sum"), F.sum("n_nonzero")).alias("mape_nonzero"),
-        F.sqrt(F.sum("sq_sum") / n).alias("rmse"),
-        F.avg(F.sqrt(F.col("sq_sum") / F.col("n"))).alias("rmse_per_output"),
+        F.sqrt(F.try_divide(F.sum("sq_sum"), n)).alias("rmse"),
+        F.avg(F.sqrt(F.try_divide(F.col("sq_sum"), F.col("n")))).alias("rmse_per_output"),
     )
 
 
-def unscored(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """(by…, n_unscored): cells with a known value and no prediction, such as those of series without a model."""
-    return pairs.groupBy(*by).agg(F.count_if(F.col("y").isNotNull() & F.col("yhat").isNull()).alias("n_unscored"))
-
-
 def best_model(metrics: DataFrame, metric: str = "rmse", by: tuple[str, ...] = ()) -> DataFrame:
     """The model with the least error; equal errors go to the smaller name, models without an error are out."""
     return metrics.where(F.col(metric).isNotNull() & ~F.isnan(metric)).groupBy(*by).agg(

@@ -51,6 +51,8 @@ def product_mix(items: DataFrame, demand: DataFrame, as_of: dt.date | None, prod
         items, as_of = items.where(F.lit(False)), dt.date(1970, 1, 1)
     totals = demand.where((F.col(DATE) > F.lit(_months_back(as_of, months))) & (F.col(DATE) <= F.lit(as_of))).groupBy(CENTER).agg(
         F.sum(QTY).alias("center_units"))
+    if totals.count() <= MOST_CENTERS:  # else all products of a center would meet under its key
+        totals = F.broadcast(totals)
     units = recent_items(items, as_of, months, created_at).where(
         F.col(CENTER).isNotNull() & F.col(product).isNotNull()).groupBy(CENTER, product).agg(
         F.count(F.lit(1)).alias("units"))

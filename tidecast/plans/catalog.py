@@ -19,10 +19,10 @@ from tidecast.config import (
 )
 from tidecast.functions import calendar as cal
 from tidecast.operators import (
-    daily, densify as dense_ops, features as feat, linear, metrics as met, planning, profile, splits, trees,
+    daily, densify as dense_ops, features as feat, linear, maintained, metrics as met, planning, profile, splits, trees,
 )
 from tidecast.plans import jobs
-from tidecast.sources import loader, tables
+from tidecast.sources import loader, sinks, tables
 from tidecast.sources.loader import prefixed
 from tidecast.sources.sinks import preview_view
 from tidecast.staging import shared_folder, stage
@@ -81,7 +81,7 @@ def demand_from_csv(spark, folder):
     day = F.concat(cal.utc_date(items, "created_at").cast("string"), F.lit(" 00:00:00 UTC"))
     text = items.withColumns({"created_at": day, "note": F.concat(F.lit('a "'), "status", F.lit('", \\ and more'))})
     path = f"{shared_folder(spark)}/items-{uuid.uuid4().hex}"
-    text.select("order_id", "note", "product_id", "status", "created_at", CENTER).write.options(header=True, escape='"').csv(path)
+    sinks.save_table(text.select("order_id", "note", "product_id", "status", "created_at", CENTER), path, fmt="csv")
     again = loader.read_csv(spark, path, {**loader.ORDER_ITEM_TYPES, CENTER: "bigint"})
     counted = daily.daily_demand(again.where(F.col("note") == F.concat(F.lit('a "'), "status", F.lit('", \\ and more'))), KEYS, ALL)
     return daily.with_attributes(counted, tables.centers(spark, folder).select(CENTER, CENTER_NAME))
@@ -90,11 +90,40 @@ def demand_from_csv(spark, folder):
 @query
 def demand_by_category(spark, folder):
     """Units and revenue by category of the product and name of the center: facts joined to both dimensions."""
+    sold = daily.sales(tables.order_items(spark, folder, "product_id", "sale_price", CENTER), ("product_id", CENTER))
     parts = tables.products(spark, folder).select(F.col("id").alias("product_id"), "category")
-    items = daily.attach_products(tables.order_items(spark, folder, "product_id", "sale_price", CENTER), parts)
-    named = daily.attach_centers(items, tables.centers(spark, folder).select(CENTER, CENTER_NAME))
-    known = named.where(F.col("category").isNotNull() & F.col(CENTER_NAME).isNotNull())
-    return known.groupBy("category", CENTER_NAME).agg(F.count("*").alias("units"), F.round(F.sum("sale_price"), 2).alias("revenue"))
+    named = daily.attach_centers(daily.attach_products(sold, parts), tables.centers(spark, folder).select(CENTER, CENTER_NAME))
+    return daily.sales_by(named, ("category", CENTER_NAME)).withColumn("revenue", F.round("revenue", 2))
+
+
+@query
+def daily_demand_maintained(spark, folder):
+    """Demand kept as counts per load: half of the days, then the others, then the first half again, which replaces itself."""
+    items = tables.order_items(spark, folder, "created_at", CENTER)
+    path = f"{shared_folder(spark)}/maintained-{uuid.uuid4().hex}"
+    first, second = daily.before(items, "created_at", dt.date(1998, 1, 1)), daily.since(items, "created_at", dt.date(1998, 1, 1))
+    for load, rows in (("old", first), ("new", second), ("old", first)):
+        maintained.ingest(rows, path, load, KEYS, ALL)
+    return daily.with_attributes(maintained.maintained_demand(spark, path), tables.centers(spark, folder).select(CENTER, CENTER_NAME))
+
+
+@query
+def demand_of_replaced_splits(spark, folder):
+    """Daily demand saved by split; one split is then written anew, which leaves the others."""
+    rows = splits.with_split(demand(spark, folder, CUT), CUT)
+    path = f"{shared_folder(spark)}/splits-{uuid.uuid4().hex}"
+    sinks.save_splits(rows.withColumn(QTY, F.when(F.col(splits.SPLIT) == "valid", -F.col(QTY)).otherwise(F.col(QTY))), path)
+    sinks.replace_splits(rows.where(F.col(splits.SPLIT) == "valid"), path)
+    read = [sinks.load_split(spark, path, part) for part in ("train", "valid", "test")]
+    return read[0].unionByName(read[1]).unionByName(read[2]).select(*rows.columns)
+
+
+@query
+def series_from_csv(spark, folder):
+    """Daily demand written as CSV by the engine and read back with its day as an ordinary column."""
+    path = f"{shared_folder(spark)}/series-{uuid.uuid4().hex}"
+    sinks.save_table(demand(spark, folder), path, fmt="csv")
+    return loader.read_series(spark, path, DATE, {CENTER: "bigint", QTY: "bigint"})
 
 
 @query
@@ -362,8 +391,7 @@ def duplicate_rows(spark, folder):
 @query
 def describe_numeric(spark, folder):
     rows = feat.complete_rows(feat.with_qty_lags(dense(spark, folder), KEYS), ALL)
-    named = plain(feat.with_day_step(rows, KEYS)).select(QTY, STEP, "qty_d1", "qty_d7", "qty_d14")
-    return rounded(profile.describe_numeric(named))
+    return rounded(profile.describe_numeric(plain(feat.with_day_step(rows, KEYS))))
 
 
 @query
@@ -390,7 +418,7 @@ def column_profile(spark, folder):
 @query
 def correlation_matrix(spark, folder):
     rows = plain(feat.complete_rows(feat.with_qty_lags(dense(spark, folder), KEYS), ALL))
-    return rounded(profile.correlations(rows, [QTY, "qty_d1", "qty_d7", "qty_d14"]))
+    return rounded(profile.correlations(rows, profile.numeric_columns(rows)))
 
 
 @query
@@ -483,12 +511,12 @@ def best_model(spark, folder):
 @query
 def forecast_vs_actual(spark, folder):
     """A forecast repeating the last train week, against the actual validation days, by date."""
-    days = dense(spark, folder, CUT)
+    days = stage(dense(spark, folder, CUT), "days")
     week = days.where((F.col(DATE) < F.lit(CUT.valid_from)) & (F.col(DATE) >= F.date_sub(F.lit(CUT.valid_from), 7)))
     forecast = week.select(CENTER, F.explode(F.array(F.lit(7), F.lit(14))).alias("shift"), DATE, QTY).select(
         CENTER, F.date_add(DATE, F.col("shift")).alias(DATE), F.col(QTY).cast("double").alias("yhat")
     ).withColumn("horizon", F.datediff(DATE, F.lit(CUT.valid_from)) + 1)
-    return met.forecast_vs_actual(forecast, days, KEYS)
+    return met.forecast_vs_actual(stage(forecast, "forecast"), days, KEYS)
 
 
 # --- linear model ---------------------------------------------------------------------------------------

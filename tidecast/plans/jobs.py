@@ -19,6 +19,7 @@ from tidecast.operators.metrics import best_model, error_metrics, forecast_vs_ac
 from tidecast.operators.recursion import STATE, recursive_forecast
 from tidecast.operators.splits import SPLIT, with_split
 from tidecast.operators.trees import fit_boosted, known_frequency, recursive_boosted, tree_features, vector_of
+from tidecast.sources.models import Manifest, find, publish
 from tidecast.sources.sinks import load_linear, record_run, save_linear, save_splits, save_table
 from tidecast.staging import stage
 
@@ -72,6 +73,15 @@ class Training:
     metrics: DataFrame    # (model, n, mae, …) on exactly those days
     best: DataFrame       # (model, rmse)
     boosted: BoostedModel | None  # None when it was trained anew each round
+    cfg: ForecastConfig
+
+
+@dataclass
+class LinearModel:
+    """Coefficients of a saved linear model, one row per series, and what they were fitted for."""
+
+    coefficients: DataFrame
+    manifest: Manifest
 
 
 @dataclass
@@ -82,6 +92,7 @@ class BoostedModel:
     features: list[str]
     frequency: DataFrame
     state_holidays: tuple[str, ...]
+    manifest: Manifest | None = None
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/trees")
@@ -91,10 +102,10 @@ class BoostedModel:
         save_table(self.frequency.select("year", "year_freq"), f"{path}/year_freq")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> BoostedModel:
+    def load(spark: SparkSession, path: str, manifest: Manifest | None = None) -> BoostedModel:
         rows = spark.read.parquet(f"{path}/settings").orderBy("position").collect()  # one row per feature and holiday
         pick = lambda kind: [r["value"] for r in rows if r["kind"] == kind]
-        return BoostedModel(GBTRegressionModel.load(f"{path}/trees"), pick("feature"), spark.read.parquet(f"{path}/year_freq"), tuple(pick("state_holiday")))
+        return BoostedModel(GBTRegressionModel.load(f"{path}/trees"), pick("feature"), spark.read.parquet(f"{path}/year_freq"), tuple(pick("state_holiday")), manifest)
 
     def predictor(self) -> Callable[[DataFrame, int], DataFrame]:
         year_freq, vector = known_frequency(self.frequency), vector_of(self.features)
@@ -130,26 +141,32 @@ def train_and_select(demand: DataFrame, cfg: ForecastConfig, boost: BoostParams
     for name, params in ((LINEAR, {"lags": cfg.lags, "horizons": cfg.horizons}), (BOOSTED, asdict(boost or cfg.boost))) if runs else ():
         found = {k: float(v) for k, v in errors.get(name, {}).items() if k != "model" and v is not None}
         record_run(demand.sparkSession, runs, f"{name}-{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S}", name, params, found, {"refit": str(refit), "valid_from": str(cfg.valid_from)})
-    return Training(linear, forecasts, metrics, best_model(metrics), kept)
+    return Training(linear, forecasts, metrics, best_model(metrics), kept, cfg)
+
+
+def inputs_of(kind: str, cfg: ForecastConfig) -> list[str]:
+    """The feature columns of a kind of model, in the order it takes them."""
+    return lag_names(cfg.lags) if kind == LINEAR else tree_features(cfg)
 
 
 def save_best(run: Training, path: str) -> str:
-    """Saves the winning model under ``path`` and returns its name; the name is data, not a file name."""
+    """Saves the winning model as the next version under ``path`` and returns its name; the name is data, not a file name."""
     name = run.best.first()["model"]
     if name == BOOSTED and run.boosted is None:
         raise ValueError("a model trained anew each round leaves no single model to save")
-    save_table(run.best.select("model"), f"{path}/choice")
-    if name == LINEAR:
-        save_linear(run.linear, f"{path}/model")
-    else:
-        run.boosted.save(f"{path}/model")
+    write = (lambda folder: save_linear(run.linear, f"{folder}/model")) if name == LINEAR else (lambda folder: run.boosted.save(f"{folder}/model"))
+    publish(run.linear.sparkSession, path, Manifest.of(name, run.cfg, inputs_of(name, run.cfg)), write)
     return name
 
 
-def load_best(spark: SparkSession, path: str) -> tuple[str, DataFrame | BoostedModel]:
-    name = spark.read.parquet(f"{path}/choice").first()["model"]
-    model = load_linear(spark, f"{path}/model") if name == LINEAR else BoostedModel.load(spark, f"{path}/model")
-    return name, model
+def load_best(spark: SparkSession, path: str, cfg: ForecastConfig | None = None, version: int | None = None) -> tuple[str, LinearModel | BoostedModel]:
+    """The newest model saved under ``path``, or that of a version; with ``cfg`` it must have been trained for these settings."""
+    manifest, folder = find(spark, path, version)
+    if cfg:
+        manifest.check(cfg, inputs_of(manifest.kind, cfg))
+    if manifest.kind == LINEAR:
+        return LINEAR, LinearModel(load_linear(spark, f"{folder}/model"), manifest)
+    return BOOSTED, BoostedModel.load(spark, f"{folder}/model", manifest)
 
 
 def score_boosted(rows: DataFrame, best: BoostedModel, cfg: ForecastConfig) -> DataFrame:
@@ -163,14 +180,18 @@ def score_boosted(rows: DataFrame, best: BoostedModel, cfg: ForecastConfig) -> D
     return rows.join(wide.withColumnRenamed("__start", DATE), [*cfg.series, DATE], "left")
 
 
-def batch_predict(frame: DataFrame, model: DataFrame | BoostedModel, cfg: ForecastConfig, path: str | None = None,
+def batch_predict(frame: DataFrame, model: DataFrame | LinearModel | BoostedModel, cfg: ForecastConfig, path: str | None = None,
                   only_with_targets: bool = False) -> tuple[DataFrame, DataFrame]:
     """(predictions, metrics) of a saved model of either kind on a feature table.
 
     Predictions keep every feature row under the columns y_D+1 …; with ``only_with_targets`` rows
     without a full set of known targets carry nulls. Targets and features share
-    a row, so aligning them takes no join.
+    a row, so aligning them takes no join. A saved model refuses settings it was not trained for.
     """
+    if not isinstance(model, DataFrame) and model.manifest:
+        model.manifest.check(cfg, inputs_of(model.manifest.kind, cfg))
+    if isinstance(model, LinearModel):
+        model = model.coefficients
     keys = (*cfg.series, SPLIT) if cfg.per_split else cfg.series
     names = [quoted(t) for t in target_names(cfg.horizons)]
     rows = frame if target_name(1) in frame.columns else with_targets(frame, keys, cfg.horizons)

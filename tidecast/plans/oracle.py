@@ -6,6 +6,8 @@ small data only, and state what a query means, not how to run it at scale.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 DC = "product_distribution_center_id"
 CUTOFF, VALID, TEST = "DATE '2001-08-01'", "DATE '2001-04-01'", "DATE '2001-07-01'"
 EPS = "2.220446049250313e-16"
@@ -102,7 +104,7 @@ def _naive(lag: int) -> str:
 
 
 PAIRS = f"{XY}, pairs AS ({_naive(1)} UNION ALL {_naive(7)})"
-METRICS = """CAST(count(*) AS BIGINT) AS n, round(avg(abs(y - yhat)), 6) AS mae,
+METRICS = """CAST(count(yhat) AS BIGINT) AS n, CAST(count(*) - count(yhat) AS BIGINT) AS unscored, round(avg(abs(y - yhat)), 6) AS mae,
   round(avg(CASE WHEN y <> 0 THEN abs(y - yhat) / abs(y) END), 6) AS mape_nonzero,
   round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse"""
 
@@ -266,7 +268,7 @@ ORACLE = {
         SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicates FROM g""",
     "describe_numeric": f"""WITH {dense()}, l AS (SELECT *, {lags()} FROM dense), r AS (SELECT *, row_number() OVER {W}
         AS day_step FROM l WHERE qty_d14 IS NOT NULL) """ + _describe(
-            "r", {c: c for c in ("qty", "day_step", "qty_d1", "qty_d7", "qty_d14")}, 6),
+            "r", {c: c for c in (DC, "qty", "day_step", *[f"qty_d{i}" for i in LAGS])}, 6),
     "describe_prices": f"WITH {ITEMS} " + _describe("items", {"sale_price": "sale_price"}, 4),
     "describe_categorical": f"WITH {PRODUCTS}, f AS ({_freq('products', ['name', 'brand', 'category'])}) " + """
         SELECT "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS n_unique,
@@ -284,8 +286,7 @@ ORACLE = {
     "correlation_matrix": f"""WITH {dense()}, l AS (SELECT *, {lags()} FROM dense),
         r AS (SELECT * FROM l WHERE qty_d14 IS NOT NULL) """ + " UNION ALL ".join(
             f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM r"
-            for a, b in (("qty", "qty_d1"), ("qty", "qty_d7"), ("qty", "qty_d14"), ("qty_d1", "qty_d7"),
-                         ("qty_d1", "qty_d14"), ("qty_d7", "qty_d14"))),
+            for a, b in combinations((DC, "qty", *[f"qty_d{i}" for i in LAGS]), 2)),
     "daily_date_bounds": f"WITH {daily()} SELECT min(date) AS first_day, max(date) AS last_day FROM daily",
     "table_shape": f"WITH {daily()} SELECT count(*) AS n_rows, CAST(3 AS INTEGER) AS n_columns FROM daily",
     "numeric_columns_profile": f"WITH {ITEMS} " + " UNION ALL ".join(
@@ -308,8 +309,9 @@ ORACLE = {
     "best_model": f"""WITH {PAIRS}, m AS (SELECT model, split, sqrt(avg((y - yhat) * (y - yhat))) AS rmse FROM pairs
         GROUP BY model, split) SELECT split, first(model ORDER BY rmse, model) AS model, round(min(rmse), 6) AS rmse
         FROM m GROUP BY split""",
-    "forecast_vs_actual": f"""WITH {dense(CUT)}, f AS (SELECT {DC}, date + s AS date, CAST(qty AS DOUBLE) AS yhat
-        FROM dense, (VALUES (7), (14)) v(s) WHERE date < {VALID} AND date >= {VALID} - 7)
+    "forecast_vs_actual": f"""WITH {dense(CUT).replace("dense AS (", "dense AS MATERIALIZED (")}, week AS (
+        SELECT {DC}, date, CAST(qty AS DOUBLE) AS yhat FROM dense WHERE date < {VALID} AND date >= {VALID} - 7),
+        f AS MATERIALIZED (SELECT {DC}, CAST(date + 7 AS DATE) AS date, yhat FROM week UNION ALL SELECT {DC}, CAST(date + 14 AS DATE), yhat FROM week)
         SELECT f.{DC}, f.date, yhat, CAST(f.date - {VALID} + 1 AS INTEGER) AS horizon, CAST(qty AS DOUBLE) AS y
         FROM f JOIN dense d ON d.{DC} = f.{DC} AND d.date = f.date""",
     "lr_sufficient_stats": f"WITH {XY}, train AS (SELECT * FROM xy WHERE split = 'train') {STATS}",
@@ -367,3 +369,7 @@ ORACLE = {
 }
 # Written as CSV and read back, demand is what it was.
 ORACLE["demand_from_csv"] = ORACLE["daily_demand"]
+# Kept by load, it is the same demand; saved and read back, it is too.
+ORACLE["daily_demand_maintained"] = ORACLE["daily_demand"]
+ORACLE["demand_of_replaced_splits"] = ORACLE["demand_cutoff_split"]
+ORACLE["series_from_csv"] = f"WITH {daily()} SELECT * FROM daily"

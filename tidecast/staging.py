@@ -56,11 +56,54 @@ def dropping_staged(spark: SparkSession) -> Iterator[None]:
             _staged[app] = before
 
 
+class Files:
+    """Renames and deletes folders on whatever file system Spark reads. Only sessions that own a JVM have it."""
+
+    def __init__(self, spark: SparkSession):
+        jvm = getattr(spark, "_jvm", None)
+        if jvm is None:
+            raise RuntimeError("folders can be renamed and deleted in a classic Spark session only")
+        self._path, self._conf = jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        target = self._path(path)
+        return target, target.getFileSystem(self._conf)
+
+    def exists(self, path: str) -> bool:
+        target, system = self._at(path)
+        return system.exists(target)
+
+    def delete(self, path: str) -> None:
+        target, system = self._at(path)
+        system.delete(target, True)
+
+    def rename(self, path: str, to: str) -> None:
+        target, system = self._at(path)
+        if not system.rename(target, self._path(to)):
+            raise OSError(f"could not rename {path} to {to}")
+
+    def replace(self, fresh: str, path: str, aside: str) -> None:
+        """``fresh`` takes the place of ``path``, which comes back if that fails and goes otherwise."""
+        had = self.exists(path)
+        if had:
+            self.rename(path, aside)
+        try:
+            self.rename(fresh, path)
+        except BaseException:
+            if had:
+                self.rename(aside, path)
+            raise
+        if had:
+            self.delete(aside)
+
+
+def files_of(spark: SparkSession) -> Files:
+    return Files(spark)
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Deletes the tables this application staged, at the end of a job; frames on them stop working."""
     paths = _staged.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        files_of(spark).delete(path)
     return len(paths)
