@@ -221,7 +221,7 @@ def test_next_day_features_match_training_features(series, cfg):
         assert str(july19[DATE]) == "2023-07-19" and july19.is_state_holiday == flag
 
 
-@pytest.mark.parametrize("refit", [False, True])
+@pytest.mark.parametrize("refit", [False, True, "warm"])
 def test_recursive_boosted(series, cfg, refit):
     small = replace(cfg, horizons=3 if refit else 14)
     demand = series({1: noisy(304, 1), 2: noisy(304, 2, 60)})
@@ -232,6 +232,32 @@ def test_recursive_boosted(series, cfg, refit):
     assert low.between(10, 40).all() and high.between(45, 75).all()
 
 
+def test_a_model_that_goes_on_is_boosting_by_more_trees(spark):
+    """Each added tree is the tree of the residuals before it, counted eta times; values of rows are kept up to date."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 2))
+    df = spark.createDataFrame([(float(a), float(b), float(2 * a + (b > 0))) for a, b in x], "a double, b double, qty double")
+    params = BoostParams(n_estimators=1, eta=0.5, max_depth=2, subsample=1.0, colsample=1.0, seed=1)
+    going = trees.Continued(trees.fit_boosted(df, ["a", "b"], params), params)
+    rows = going.predict(trees.assembled(df, ["a", "b"], QTY).select("features", "label"), "fitted").cache()
+    errors = [rows.agg(F.avg((F.col("label") - F.col("fitted")) ** 2)).first()[0]]
+    for _ in range(4):
+        before = rows
+        rows = going.go_on(rows, 1)
+        tree = going.added[-1]
+        want = {tuple(r.features): r.fitted + 0.5 * tree.predict(r.features) for r in before.collect()}
+        assert {tuple(r.features): r.fitted for r in rows.collect()} == pytest.approx(want)
+        leaves = {}
+        for r in before.collect():
+            leaves.setdefault(round(tree.predict(r.features), 9), []).append(r.label - r.fitted)
+        assert all(value == pytest.approx(np.mean(left), abs=1e-6) for value, left in leaves.items())
+        errors.append(rows.agg(F.avg((F.col("label") - F.col("fitted")) ** 2)).first()[0])
+    assert errors == sorted(errors, reverse=True) and errors[-1] < errors[0]
+    # The model's value from scratch is what the rows carry.
+    again = going.predict(rows.select("features", "fitted")).collect()
+    assert [r.prediction for r in again] == pytest.approx([r.fitted for r in again])
+
+
 def test_boost_parameters():
     for params in (BoostParams(), SHALLOW_BOOST):
         m = trees.boosted_regressor(params)

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,23 +61,64 @@ def fit_boosted(frame: DataFrame, features: list[str], params: BoostParams, labe
         data.unpersist()
 
 
+class Continued:
+    """A boosted model that goes on: trees fitted to what the model of the round before left of longer histories.
+
+    Each added tree is fitted to the residual of all trees before it and counts ``eta`` times, which is
+    what one more round of boosting does; nothing that was learned is learned again. The rows keep the
+    model's value in a column, so a round evaluates its new trees only.
+    """
+
+    def __init__(self, first: GBTRegressionModel, params: BoostParams):
+        self.first, self.params = first, params
+        self.added: list[DecisionTreeRegressionModel] = []
+
+    def predict(self, rows: DataFrame, name: str = "prediction", after: int | None = None) -> DataFrame:
+        """Adds the value of the model to rows with ``features``; with ``after`` only that of the trees added after so many, without the first model."""
+        out, total = rows, F.lit(0.0)
+        if after is None:
+            out = self.first.copy({self.first.predictionCol: "__first"}).transform(out)
+            total = total + F.col("__first")
+        names = []
+        for k, tree in enumerate(self.added[after or 0:]):
+            names.append(f"__tree{k}")
+            out = tree.copy({tree.predictionCol: names[-1]}).transform(out)
+            total = total + self.params.eta * F.col(names[-1])
+        return out.withColumn(name, total).drop("__first", *names)
+
+    def go_on(self, rows: DataFrame, trees: int) -> DataFrame:
+        """Fits so many trees to ``rows`` (features, label, fitted), one after the other; returns the rows with their new value, staged."""
+        p = self.params
+        for _ in range(trees):
+            residual = rows.withColumn("label", F.col("label") - F.col("fitted"))
+            seed = p.seed + 1 + len(self.added)
+            drawn = residual if p.subsample >= 1 else residual.sample(p.subsample, seed)
+            self.added.append(DecisionTreeRegressor(maxDepth=min(p.max_depth, MAX_DEPTH), seed=seed).fit(drawn.select("features", "label")))
+            more = self.predict(rows, "__more", len(self.added) - 1)
+            rows = stage(more.withColumn("fitted", F.col("fitted") + F.col("__more")).drop("__more"), "boosted")
+        return rows
+
+
 def recursive_boosted(frame: DataFrame, demand: DataFrame, frequency: DataFrame, cfg: ForecastConfig,
-                      params: BoostParams | None = None, refit: bool = False, model: GBTRegressionModel | None = None,
-                      step_first: int = 0) -> DataFrame:
+                      params: BoostParams | None = None, refit: bool | str = False, model: GBTRegressionModel | None = None,
+                      step_first: int = 0, refit_trees: int = 5) -> DataFrame:
     """(series, horizon, date, yhat) for the days after ``demand`` ends.
 
     ``frame`` are the training rows of the template table, ``frequency`` the year frequencies
     they were encoded with. ``refit`` trains again each round on the history plus the forecasts
-    made so far; without it one model, given or fitted here, serves all rounds.
+    made so far; ``refit="warm"`` goes on from the model of the round before with ``refit_trees`` more trees
+    fitted to its residuals; without it one model, given or fitted here, serves all rounds.
     """
     params, features = params or cfg.boost, tree_features(cfg)
     history = frame.select(*[F.col(quoted(c)) for c in features], QTY)
     year_freq, vector = known_frequency(frequency), vector_of(features)
+    going: Continued | None = None
+    seen: DataFrame | None = None  # rows with features, label and the value of the model so far
 
     def predict(rows: DataFrame, step: int) -> DataFrame:
         nonlocal history, model
         rows = rows.withColumn("year_freq", year_freq)
-        if model is None or refit:
+        if model is None or refit is True:
             model = fit_boosted(history, features, params)
         predicted = model.transform(rows.withColumn("features", vector)).drop("features")
         if refit:
@@ -87,7 +128,21 @@ def recursive_boosted(frame: DataFrame, demand: DataFrame, frequency: DataFrame,
             history = append_rows(history, appended)
         return predicted
 
-    return recursive_forecast(series_state(demand, cfg, step_first), predict, cfg)
+    def predict_warm(rows: DataFrame, step: int) -> DataFrame:
+        nonlocal going, seen
+        if going is None:
+            first = model or fit_boosted(history, features, params)
+            going = Continued(first, params)
+            seen = stage(going.predict(_training(history, features, QTY), "fitted"), "boosted")
+        else:
+            seen = going.go_on(seen, refit_trees)
+        ready = going.predict(rows.withColumn("year_freq", year_freq).withColumn("features", vector))
+        ready = stage(ready, "round")
+        # A forecast is the quantity of its day from now on, which the model hits exactly.
+        seen = seen.unionByName(ready.select("features", F.col("prediction").alias("label"), F.col("prediction").alias("fitted")))
+        return ready.drop("features")
+
+    return recursive_forecast(series_state(demand, cfg, step_first), predict_warm if refit == "warm" else predict, cfg)
 
 
 def known_frequency(frequency: DataFrame) -> Column:

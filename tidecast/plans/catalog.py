@@ -699,6 +699,23 @@ def gbt_recursive_means(spark, folder):
     return rounded(both[0].unionByName(both[1]))
 
 
+@query
+def gbt_warm_means(spark, folder):
+    """A model of means that goes on each round from the one before, on all center's forecasts so far, stays at the mean."""
+    cfg = replace(CUT, horizons=3)
+    train = demand(spark, folder, CUT).where(F.col(DATE) < F.lit(CUT.valid_from))
+    frame = stage(feat.template_features(train, cfg), "train")
+    return rounded(trees.recursive_boosted(frame, train, feat.year_frequency(frame), cfg, STUMP, refit="warm", refit_trees=2))
+
+
+@query
+def gbt_recursive_warm(spark, folder):
+    """Boosted trees that go on with two more trees a round, fourteen days forward."""
+    train = demand(spark, folder, CUT).where(F.col(DATE) < F.lit(CUT.valid_from))
+    frame = stage(feat.template_features(train, CUT), "train")
+    return trees.recursive_boosted(frame, train, feat.year_frequency(frame), CUT, replace(SHALLOW_BOOST, n_estimators=PER_HORIZON_TREES), refit="warm", refit_trees=2)
+
+
 @query
 def gbt_per_horizon_means(spark, folder):
     """A tree with one split on one flag predicts the means of its two sides, for each horizon."""

@@ -373,3 +373,4 @@ ORACLE["demand_from_csv"] = ORACLE["daily_demand"]
 ORACLE["daily_demand_maintained"] = ORACLE["daily_demand"]
 ORACLE["demand_of_replaced_splits"] = ORACLE["demand_cutoff_split"]
 ORACLE["series_from_csv"] = f"WITH {daily()} SELECT * FROM daily"
+ORACLE["gbt_warm_means"] = f"SELECT * EXCLUDE (refit) FROM ({ORACLE['gbt_recursive_means']}) WHERE refit"
