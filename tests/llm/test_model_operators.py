@@ -58,6 +58,23 @@ def test_lm_base_counts_and_probabilities(spark):
     assert {r["n_known"] for r in unlearned} == {0} and all(r["score"] <= 0 for r in unlearned)
 
 
+def test_lm_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    """The same rows in two and in nine partitions, with many chunks and parts, score the same."""
+    for name, size in (("CHUNK", 5_000), ("PART", 3_000)):
+        monkeypatch.setattr(hpylm, name, size)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    one, two = ({r["id"]: tuple(r) for r in hpylm.score_texts(docs.repartition(n), queries._held_out).collect()} for n in (2, 9))
+    assert one == two and len(one) == 1_000
+
+
+def test_lm_distinct_pairs_are_counted_within_their_error(spark):
+    hashes = np.random.default_rng(2).integers(0, 1 << 63, 50_000)
+    cut = [sorted(h.tolist())[:hpylm.LEAST] for h in (hashes[:30_000], hashes[20_000:], hashes[:5])]
+    found = hpylm._distinct_pairs(spark.createDataFrame([(c,) for c in cut], "least array<long>"))
+    assert abs(found / 50_000 - 1) < 0.15
+    assert hpylm._distinct_pairs(spark.createDataFrame([([5, 7],), ([7],), ([],)], "least array<long>")) == 2
+
+
 def test_lm_probabilities_of_all_words_add_up_to_one(spark):
     """One-word texts over the whole vocabulary and an unknown word: p(word | beginning) sums to one."""
     words = ["red", "green", "blue", "grey"]
