@@ -3,7 +3,7 @@ from pathlib import Path
 import __spark_entry__ as contract
 from conftest import SMALL
 
-from tidecast.staging import drop_staged, dropping_staged, shared_folder, stage
+from tidecast.staging import drop_staged, dropping_staged, shared_folder, stage, unstage
 
 
 def test_staged_rows_come_back_until_dropped(spark):
@@ -15,6 +15,14 @@ def test_staged_rows_come_back_until_dropped(spark):
     assert drop_staged(spark) == 0
 
 
+def test_one_staged_table_goes_alone(spark):
+    drop_staged(spark)
+    one, two = stage(spark.range(2)), stage(spark.range(3))
+    path = Path(one.inputFiles()[0].removeprefix("file://")).parent
+    unstage(one)
+    assert not path.exists() and two.count() == 3 and drop_staged(spark) == 1
+
+
 def test_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or shared_folder(spark) == named.rstrip("/")

@@ -43,6 +43,18 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(staged: DataFrame) -> None:
+    """Deletes one table that ``stage`` wrote, once nothing will read it again."""
+    spark = staged.sparkSession
+    files = staged.inputFiles()
+    if not files:
+        return
+    path = files[0].rsplit("/", 1)[0]
+    files_of(spark).delete(path)
+    mine = _staged.get(spark.sparkContext.applicationId, [])
+    mine[:] = [p for p in mine if p.rsplit("/", 1)[1] != path.rsplit("/", 1)[1]]
+
+
 @contextmanager
 def dropping_staged(spark: SparkSession) -> Iterator[None]:
     """Deletes what the application stages inside the block when it ends, however it ends."""
