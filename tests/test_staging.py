@@ -1,6 +1,9 @@
+import subprocess
+import sys
 from pathlib import Path
 
 import __spark_entry__ as contract
+import pytest
 from conftest import SMALL
 
 from tidecast.staging import drop_staged, dropping_staged, shared_folder, stage, unstage
@@ -58,3 +61,23 @@ def test_tables_of_a_database_keep_their_buckets(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP DATABASE star CASCADE")
+
+
+@pytest.mark.parametrize("missing", ["xxhash", "zstandard", "regex", "corpus_pipeline", "tidecast.llm"])
+def test_entry_points_do_without_the_optional_part(missing):
+    """In a process of its own, where the module cannot be imported."""
+    code = f"""
+import sys
+class Blocked:
+    def find_spec(self, name, path=None, target=None):
+        if name == {missing!r} or name.startswith({missing!r} + "."):
+            raise ModuleNotFoundError(f"No module named {{name!r}}", name={missing!r})
+sys.meta_path.insert(0, Blocked())
+import __spark_entry__ as e
+from tidecast.plans.catalog import QUERIES
+assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+print(len(e.queries()) - len(QUERIES))
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(contract.__file__).parent, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.strip() == "0"
