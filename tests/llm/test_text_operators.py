@@ -137,6 +137,17 @@ OTHERS = [
     ("<p>Only a plain paragraph with text.</p>", "Only a plain paragraph with text."), ("", ""), (None, ""), ("<script>x</script><!-- c -->", "")]
 
 
+def test_rare_training_pages_are_found_at_every_size(spark, monkeypatch):
+    for name, size in (("TRAIN_PAGES", 6), ("LOOKED_AT", 24)):
+        monkeypatch.setattr(html_crf, name, size)
+    rows = [(k, f"<article>{k}</article>" if k % 500 == 3 else f"<p>{k}</p>") for k in range(4_000)] + [(None, None), (5, "<main>" + "x" * html_crf.TRAIN_CHARS)]
+    few = html_crf.training_pages(spark.createDataFrame(rows, "page_id long, html string"))
+    assert len(few) == 6 and all(h.startswith("<article>") for h in few)
+    every = spark.createDataFrame([(k, f"<main >{k}</main>") for k in range(5_000)], "page_id long, html string")
+    assert html_crf.training_pages(every) == html_crf.training_pages(every.repartition(9)) and len(html_crf.training_pages(every)) == 6
+    assert html_crf.training_pages(every.limit(0)) == []
+
+
 def test_page_text(spark):
     sample = [PAGE.replace("First", f"Number {k} of the first") for k in range(30)] + [
         r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(20).collect()]

@@ -272,17 +272,22 @@ def _climb(x: np.ndarray, kind: np.ndarray, y: np.ndarray, there: np.ndarray, we
             p += 0.3 * g / (np.sqrt(s) + 1e-8)
 
 
-def train_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Field:
-    """Learns from at most TRAIN_PAGES pages of at most TRAIN_CHARS characters that have an article or main element.
+def training_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> list[str]:
+    """At most TRAIN_PAGES pages of at most TRAIN_CHARS characters that have an article or main element, by hash of the id.
 
-    They are taken from a share of all pages, by hash of the id, that holds LOOKED_AT of them on average, so that
-    no more than that many pages reach the driver, however many tasks read the table.
+    All such pages are counted first; of those a share by hash that holds LOOKED_AT on average is ordered, so that
+    no more than about so many pages reach the driver, however many tasks read the table and however rare they are.
     """
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 40))
-    some = pages.where(place <= F.lit((1 << 40) * LOOKED_AT // max(LOOKED_AT, pages.count())))
-    labelled = some.where(F.col(html_col).rlike("(?i)<(article|main)[ >]") & (F.char_length(html_col) <= TRAIN_CHARS))
-    sample = labelled.select(F.col(html_col).alias("html"), place.alias("place")).orderBy("place", "html").limit(TRAIN_PAGES).collect()
-    return train([r["html"] for r in sample])
+    labelled = pages.where(F.col(html_col).rlike("(?i)<(article|main)[ >]") & (F.char_length(html_col) <= TRAIN_CHARS))
+    share = F.lit((1 << 40) * LOOKED_AT // max(LOOKED_AT, labelled.count()))
+    sample = labelled.where(place <= share).select(F.col(html_col).alias("html"), place.alias("place"))
+    return [r["html"] for r in sample.orderBy("place", "html").limit(TRAIN_PAGES).collect()]
+
+
+def train_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Field:
+    """Learns from the training pages of a table."""
+    return train(training_pages(pages, id_col, html_col))
 
 
 def main_text(pages: DataFrame, crf: Field, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
