@@ -5,6 +5,7 @@ from conftest import day
 from pyspark.sql import functions as F
 
 from tidecast.config import CENTER, ForecastConfig
+from tidecast.operators import sketches
 from tidecast.operators import planning, profile
 from tidecast.operators.ranking import running_total
 
@@ -137,3 +138,16 @@ def test_other_lags_and_horizons(series):
     cfg = ForecastConfig(cutoff=None, lags=5, horizons=3)
     r = planning.two_week_demand(series({1: [6] * 40}), cfg).collect()[0]
     assert r.units == pytest.approx(18) and r.first_day == day("2023-02-10")
+
+
+def test_united_sketches_stay_within_their_bound(spark):
+    """Values that repeat over groups count once in the union; a smaller sketch has a larger bound and keeps to it."""
+    rows = spark.range(60_000).select((F.col("id") % 7).alias("load"), (F.col("id") * 13 % 20_000).alias("many"), (F.col("id") % 3).alias("few"),
+                                      F.when(F.col("id") < 0, "x").alias("none"), F.concat(F.lit("é"), (F.col("id") % 5_000).cast("string")).alias("text"))
+    exact = {r["column"]: r["n_distinct"] for r in profile.distinct_counts(rows.drop("load")).collect()}
+    for size in (8, sketches.REGISTERS_LOG):
+        kept = sketches.distinct_sketches(rows, by=("load",), registers_log=size)
+        got = {r["column"]: r["n_distinct"] for r in sketches.united_counts(kept).collect()}
+        assert set(got) == set(exact) and got["none"] == 0 and got["few"] == 3
+        assert all(abs(got[c] - n) <= sketches.error_bound(size) * n + 1 for c, n in exact.items())
+    assert sketches.error_bound(8) > sketches.error_bound() and sketches.error_bound() < 0.04

@@ -19,10 +19,10 @@ from tidecast.config import (
 )
 from tidecast.functions import calendar as cal
 from tidecast.operators import (
-    daily, densify as dense_ops, features as feat, linear, maintained, metrics as met, planning, profile, splits, trees,
+    daily, densify as dense_ops, features as feat, linear, maintained, metrics as met, planning, profile, sketches, splits, trees,
 )
 from tidecast.plans import jobs
-from tidecast.sources import loader, sinks, tables
+from tidecast.sources import loader, sinks, sql_functions, tables
 from tidecast.sources.loader import prefixed
 from tidecast.sources.sinks import preview_view
 from tidecast.staging import shared_folder, stage
@@ -215,6 +215,19 @@ def features_qty_lags(spark, folder):
     return plain(feat.complete_rows(feat.with_qty_lags(dense(spark, folder), KEYS), ALL))
 
 
+@query
+def features_by_sql(spark, folder):
+    """The lag features by SQL statements alone, over the registered view of demand."""
+    sql_functions.register_demand(demand(spark, folder), KEYS)
+    return spark.sql("SELECT * FROM demand_lagged() WHERE qty_d14 IS NOT NULL")
+
+
+@query
+def demand_filled_by_sql(spark, folder):
+    sql_functions.register_demand(demand(spark, folder), KEYS)
+    return spark.sql("SELECT * FROM demand_filled()")
+
+
 @query
 def features_step_lags(spark, folder):
     rows = feat.with_step_lags(feat.with_day_step(dense(spark, folder), KEYS))
@@ -367,6 +380,16 @@ def distinct_counts(spark, folder):
         tables.order_items(spark, folder))
 
 
+@query
+def distinct_counts_by_sketch(spark, folder):
+    """Sketches of every column by year of the order, united: whether the counts are within their bound of the exact ones."""
+    items = tables.order_items(spark, folder)
+    kept = stage(sketches.distinct_sketches(items.withColumn("year", F.year(cal.utc_date(items, "created_at"))), by=("year",)), "sketches")
+    both = sketches.united_counts(kept).join(profile.distinct_counts(items).withColumnRenamed("n_distinct", "exact"), "column")
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.ceil(F.col("exact") * sketches.error_bound())
+    return both.select("column", F.col("exact").alias("n_exact"), near.alias("within_bound"))
+
+
 @query
 def distinct_dcs(spark, folder):
     return profile.distinct_values(tables.order_items(spark, folder, CENTER), CENTER)

@@ -374,3 +374,7 @@ ORACLE["daily_demand_maintained"] = ORACLE["daily_demand"]
 ORACLE["demand_of_replaced_splits"] = ORACLE["demand_cutoff_split"]
 ORACLE["series_from_csv"] = f"WITH {daily()} SELECT * FROM daily"
 ORACLE["gbt_warm_means"] = f"SELECT * EXCLUDE (refit) FROM ({ORACLE['gbt_recursive_means']}) WHERE refit"
+# By SQL alone they are the same features; sketched counts are within their bound.
+ORACLE["features_by_sql"] = ORACLE["features_qty_lags"]
+ORACLE["demand_filled_by_sql"] = ORACLE["dense_demand_per_dc"]
+ORACLE["distinct_counts_by_sketch"] = f'SELECT "column", n_distinct AS n_exact, TRUE AS within_bound FROM ({ORACLE["distinct_counts"]})'
