@@ -1,10 +1,12 @@
 import datetime as dt
 import math
 
+import duckdb
 from pandas.tseries.holiday import USFederalHolidayCalendar
 from pyspark.sql import functions as F
 
 from tidecast.functions import calendar as cal
+from tidecast.plans.oracle import NATIONAL
 
 
 def test_calendar_columns_match_python(spark):
@@ -38,13 +40,35 @@ def test_holidays_of_2024(spark):
 
 
 def test_dimension_equals_predicate(spark):
-    days = cal.calendar(spark, dt.date(1890, 1, 1), dt.date(2150, 12, 31))
+    days = cal.calendar(spark, dt.date(1866, 1, 1), dt.date(2150, 12, 31))
     by_rule = {r.date for r in days.where(cal.is_national_holiday(F.col("date")) == 1).collect()}
-    assert by_rule == {r.date for r in cal.holiday_dim(spark, 1890, 2150).collect()}
+    assert by_rule == {r.date for r in cal.holiday_dim(spark, 1866, 2150).collect()}
     assert {dt.date(1975, 7, 4), dt.date(2105, 7, 4)} <= by_rule
     assert not {dt.date(1980, 1, 21), dt.date(1965, 2, 15), dt.date(1930, 11, 27)} & by_rule and dt.date(1986, 1, 20) in by_rule
 
 
+def test_holidays_follow_the_law_of_their_year(spark):
+    """Veterans Day on a Monday of October from 1971 to 1977, moved holidays on their dates before 1971, nothing before its first year."""
+    rows = cal.holiday_dim(spark, 1865, 2100).where("not observed").collect()
+    on = {}
+    for r in rows:
+        on.setdefault((r.holiday, r.date.year), []).append((r.date.month, r.date.day))
+    assert all(len(days) == 1 for days in on.values())
+    assert on["Veterans Day", 1970] == [(11, 11)] and on["Veterans Day", 1975] == [(10, 27)] and on["Veterans Day", 1978] == [(11, 11)]
+    assert on["Memorial Day", 1970] == [(5, 30)] and on["Memorial Day", 1971] == [(5, 31)] and on["Washington's Birthday", 1930] == [(2, 22)]
+    assert on["Columbus Day", 1960] == [(10, 12)] and ("Columbus Day", 1936) not in on
+    first = {name: min(y for n, y in on if n == name) for name, _ in on}
+    assert first == {"New Year's Day": 1871, "Independence Day": 1870, "Christmas Day": 1870, "Washington's Birthday": 1879, "Memorial Day": 1888, "Labor Day": 1894,
+                     "Columbus Day": 1937, "Veterans Day": 1938, "Thanksgiving": 1942, "Martin Luther King Jr. Day": 1986, "Juneteenth National Independence Day": 2021}
+
+
+def test_rules_equal_their_sql_on_all_years(spark):
+    days = cal.calendar(spark, dt.date(1866, 1, 1), dt.date(2100, 12, 31))
+    flagged = [r[0] for r in days.orderBy("date").select(cal.is_national_holiday(F.col("date"))).collect()]
+    sql = duckdb.sql(f"SELECT {NATIONAL} FROM (SELECT CAST(unnest(generate_series(DATE '1866-01-01', DATE '2100-12-31', INTERVAL 1 DAY)) AS DATE) AS date) ORDER BY date")
+    assert flagged == [r[0] for r in sql.fetchall()]
+
+
 def test_dimension_covers_whatever_days_there_are(spark):
     days = spark.createDataFrame([(dt.date(1975, 7, 4),), (dt.date(2104, 12, 31),), (dt.date(2105, 7, 3),), (dt.date(2105, 7, 6),), (None,)], "date date")
     hit = days.join(cal.holidays_on(days).select("date").distinct(), "date").select("date")

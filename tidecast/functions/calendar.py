@@ -12,22 +12,27 @@ from tidecast.config import DATE, STATE_HOLIDAYS, quoted
 
 SECONDS_PER_DAY = 86_400
 
-# US federal holidays. Month and day of those bound to a date, with first year.
+# US federal holidays. Month and day of those bound to a date, with first and last year (None: still).
 FIXED_HOLIDAYS = (
-    (1, 1, "New Year's Day", 0),
-    (6, 19, "Juneteenth National Independence Day", 2021),
-    (7, 4, "Independence Day", 0),
-    (11, 11, "Veterans Day", 0),
-    (12, 25, "Christmas Day", 0),
+    (1, 1, "New Year's Day", 1871, None),
+    (2, 22, "Washington's Birthday", 1879, 1970),
+    (5, 30, "Memorial Day", 1888, 1970),
+    (6, 19, "Juneteenth National Independence Day", 2021, None),
+    (7, 4, "Independence Day", 1870, None),
+    (10, 12, "Columbus Day", 1937, 1970),
+    (11, 11, "Veterans Day", 1938, 1970),
+    (11, 11, "Veterans Day", 1978, None),
+    (12, 25, "Christmas Day", 1870, None),
 )
-# Month, weekday (Monday = 0) and first possible day of those bound to a weekday, with first year.
+# Month, weekday (Monday = 0) and first possible day of those bound to a weekday, with first and last year.
 FLOATING_HOLIDAYS = (
-    (1, 0, 15, "Martin Luther King Jr. Day", 1986),
-    (2, 0, 15, "Washington's Birthday", 1971),
-    (5, 0, 25, "Memorial Day", 1971),
-    (9, 0, 1, "Labor Day", 1894),
-    (10, 0, 8, "Columbus Day", 1971),
-    (11, 3, 22, "Thanksgiving", 1942),
+    (1, 0, 15, "Martin Luther King Jr. Day", 1986, None),
+    (2, 0, 15, "Washington's Birthday", 1971, None),
+    (5, 0, 25, "Memorial Day", 1971, None),
+    (9, 0, 1, "Labor Day", 1894, None),
+    (10, 0, 8, "Columbus Day", 1971, None),
+    (10, 0, 22, "Veterans Day", 1971, 1977),
+    (11, 3, 22, "Thanksgiving", 1942, None),
 )
 # Periods of the cyclic encodings.
 CYCLES = {"day_of_week": 7, "month": 12, "day": 30, "week_of_year": 53}
@@ -68,21 +73,26 @@ def month_day(date: Column) -> Column:
     return F.date_format(date, "MM-dd")
 
 
+def _in_force(year: Column, since: int, until: int | None) -> Column:
+    return (year >= since) if until is None else year.between(since, until)
+
+
 def _on_fixed_holiday(date: Column) -> Column:
-    key = F.month(date) * 100 + F.dayofmonth(date)
-    hit = key.isin(*[m * 100 + d for m, d, _, since in FIXED_HOLIDAYS if not since])
-    for m, d, _, since in FIXED_HOLIDAYS:
-        if since:
-            hit = hit | ((key == m * 100 + d) & (F.year(date) >= since))
+    key, hit = F.month(date) * 100 + F.dayofmonth(date), F.lit(False)
+    for m, d, _, since, until in FIXED_HOLIDAYS:
+        hit = hit | ((key == m * 100 + d) & _in_force(F.year(date), since, until))
     return hit
 
 
 def is_national_holiday(date: Column) -> Column:
-    """1 on US federal holidays and on their observed weekday (Saturday → Friday, Sunday → Monday)."""
+    """1 on US federal holidays and on their observed weekday (Saturday → Friday, Sunday → Monday).
+
+    Each rule holds from its first to its last year, so days count by the law of their time.
+    """
     key, weekday = F.month(date) * 100 + F.dayofmonth(date), F.weekday(date)
     hit = _on_fixed_holiday(date)
-    for m, wd, d, _, since in FLOATING_HOLIDAYS:
-        hit = hit | ((weekday == wd) & key.between(m * 100 + d, m * 100 + d + 6) & (F.year(date) >= since))
+    for m, wd, d, _, since, until in FLOATING_HOLIDAYS:
+        hit = hit | ((weekday == wd) & key.between(m * 100 + d, m * 100 + d + 6) & _in_force(F.year(date), since, until))
     observed_friday = (weekday == 4) & _on_fixed_holiday(F.date_add(date, 1))
     observed_monday = (weekday == 0) & _on_fixed_holiday(F.date_sub(date, 1))
     return (hit | observed_friday | observed_monday).cast("int")
@@ -118,11 +128,11 @@ def holidays_of(years: DataFrame) -> DataFrame:
     rules without a join.
     """
     year = F.col("year")
-    rules = [(since, F.make_date(year, F.lit(m), F.lit(d)), name) for m, d, name, since in FIXED_HOLIDAYS]
-    for m, wd, d, name, since in FLOATING_HOLIDAYS:
+    rules = [(_in_force(year, since, until), F.make_date(year, F.lit(m), F.lit(d)), name) for m, d, name, since, until in FIXED_HOLIDAYS]
+    for m, wd, d, name, since, until in FLOATING_HOLIDAYS:
         start = F.make_date(year, F.lit(m), F.lit(d))
-        rules.append((since, F.date_add(start, F.pmod(F.lit(wd) - F.weekday(start), F.lit(7)).cast("int")), name))
-    known = F.array(*[F.when(year >= since, F.struct(day.alias(DATE), F.lit(name).alias("holiday"))) for since, day, name in rules])
+        rules.append((_in_force(year, since, until), F.date_add(start, F.pmod(F.lit(wd) - F.weekday(start), F.lit(7)).cast("int")), name))
+    known = F.array(*[F.when(valid, F.struct(day.alias(DATE), F.lit(name).alias("holiday"))) for valid, day, name in rules])
     actual = years.select(F.explode(known).alias("h")).where("h is not null").select("h.*")
     # Only days bound to a date can fall on a weekend.
     moved = F.when(F.weekday(DATE) == 5, F.date_sub(F.col(DATE), 1)).when(F.weekday(DATE) == 6, F.date_add(F.col(DATE), 1))

@@ -55,18 +55,26 @@ CALENDAR = """CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER)
   CAST(weekofyear(date) AS INTEGER) AS week_of_year, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week"""
 
 
-def _fixed(d: str) -> str:
-    md = f"strftime({d}, '%m-%d')"
-    return f"({md} IN ('01-01','07-04','11-11','12-25') OR ({md} = '06-19' AND year({d}) >= 2021))"
+# Holidays bound to a date (key, name, first and last year) and to a weekday (month, ISO weekday, first possible day, name, years).
+DATED = (("01-01", "New Year''s Day", 1871, 9999), ("02-22", "Washington''s Birthday", 1879, 1970), ("05-30", "Memorial Day", 1888, 1970),
+         ("06-19", "Juneteenth National Independence Day", 2021, 9999), ("07-04", "Independence Day", 1870, 9999), ("10-12", "Columbus Day", 1937, 1970),
+         ("11-11", "Veterans Day", 1938, 1970), ("11-11", "Veterans Day", 1978, 9999), ("12-25", "Christmas Day", 1870, 9999))
+NTH = ((1, 1, 15, "Martin Luther King Jr. Day", 1986, 9999), (2, 1, 15, "Washington''s Birthday", 1971, 9999), (5, 1, 25, "Memorial Day", 1971, 9999),
+       (9, 1, 1, "Labor Day", 1894, 9999), (10, 1, 8, "Columbus Day", 1971, 9999), (10, 1, 22, "Veterans Day", 1971, 1977), (11, 4, 22, "Thanksgiving", 1942, 9999))
 
 
-def _nth(month: int, dow: int, first: int) -> str:
-    return f"(month(date) = {month} AND isodow(date) = {dow} AND day(date) BETWEEN {first} AND {first + 6})"
+def _dated(d: str) -> str:
+    """The name of the holiday bound to the date ``d``, else null."""
+    return "CASE " + " ".join(f"WHEN strftime({d}, '%m-%d') = '{k}' AND year({d}) BETWEEN {a} AND {b} THEN '{n}'" for k, n, a, b in DATED) + " END"
 
 
-NATIONAL = f"""CAST(CASE WHEN {_fixed('date')} OR (isodow(date) = 5 AND {_fixed('(date + 1)')})
-  OR (isodow(date) = 1 AND {_fixed('(date - 1)')}) OR {_nth(1, 1, 15)} OR {_nth(2, 1, 15)} OR {_nth(5, 1, 25)}
-  OR {_nth(9, 1, 1)} OR {_nth(10, 1, 8)} OR {_nth(11, 4, 22)} THEN 1 ELSE 0 END AS INTEGER)"""
+def _nth(d: str) -> str:
+    return "CASE " + " ".join(f"WHEN month({d}) = {m} AND isodow({d}) = {w} AND day({d}) BETWEEN {f} AND {f + 6} AND year({d}) BETWEEN {a} AND {b} THEN '{n}'"
+                              for m, w, f, n, a, b in NTH) + " END"
+
+
+NATIONAL = f"""CAST(CASE WHEN {_dated('date')} IS NOT NULL OR {_nth('date')} IS NOT NULL OR (isodow(date) = 5 AND {_dated('(date + 1)')} IS NOT NULL)
+  OR (isodow(date) = 1 AND {_dated('(date - 1)')} IS NOT NULL) THEN 1 ELSE 0 END AS INTEGER)"""
 STATE = "CAST(CASE WHEN strftime(date, '%m-%d') IN ('07-19', '03-04', '03-29') THEN 1 ELSE 0 END AS INTEGER)"
 HOLIDAYS = f"{NATIONAL} AS is_national_holiday, {STATE} AS is_state_holiday"
 CYCLES = {"day_of_week": 7, "month": 12, "day": 30, "week_of_year": 53}
@@ -161,15 +169,9 @@ mix AS (SELECT *, units / sum(units) OVER (PARTITION BY {DC}) AS mix FROM units)
 
 HOLIDAY_ROWS = f"""days AS (SELECT DISTINCT date FROM daily),
 rules AS (
-  SELECT date, CASE strftime(date, '%m-%d') WHEN '01-01' THEN 'New Year''s Day' WHEN '07-04' THEN 'Independence Day'
-    WHEN '11-11' THEN 'Veterans Day' WHEN '12-25' THEN 'Christmas Day' END AS holiday, FALSE AS observed FROM days
-  UNION ALL SELECT date, CASE strftime(date + s, '%m-%d') WHEN '01-01' THEN 'New Year''s Day'
-    WHEN '07-04' THEN 'Independence Day' WHEN '11-11' THEN 'Veterans Day' WHEN '12-25' THEN 'Christmas Day' END, TRUE
-    FROM days, (VALUES (5, 1), (1, -1)) v(dow, s) WHERE isodow(date) = dow
-  UNION ALL SELECT date, CASE WHEN {_nth(1, 1, 15)} THEN 'Martin Luther King Jr. Day'
-    WHEN {_nth(2, 1, 15)} THEN 'Washington''s Birthday' WHEN {_nth(5, 1, 25)} THEN 'Memorial Day'
-    WHEN {_nth(9, 1, 1)} THEN 'Labor Day' WHEN {_nth(10, 1, 8)} THEN 'Columbus Day'
-    WHEN {_nth(11, 4, 22)} THEN 'Thanksgiving' END, FALSE FROM days)"""
+  SELECT date, {_dated('date')} AS holiday, FALSE AS observed FROM days
+  UNION ALL SELECT date, {_dated('(date + s)')}, TRUE FROM days, (VALUES (5, 1), (1, -1)) v(dow, s) WHERE isodow(date) = dow
+  UNION ALL SELECT date, {_nth('date')}, FALSE FROM days)"""
 
 ORACLE = {
     "daily_demand": f"""WITH {daily()} SELECT d.{DC}, date, qty, n_name AS distribution_center_name
