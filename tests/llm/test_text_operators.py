@@ -37,6 +37,18 @@ def test_chat_reads_back_and_marks_assistant_texts(spark):
     assert chat.format_chats(_chats(spark, [])).count() == 0
 
 
+def test_long_conversations_take_work_in_proportion(spark):
+    """Nothing in the plan grows an array turn by turn, and one shuffle serves the places and the gathering."""
+    turns = spark.range(60_000).select(F.when(F.col("id") >= 0, 1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("x").alias("formatted"),
+                                       F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é"), F.col("id").cast("string")).alias("text"))
+    out = chat.format_chats(turns)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert " aggregate(" not in plan and plan.count("Exchange hashpartitioning") == 1
+    row = out.first()
+    texts = [f"é{k}" for k in range(60_000) if k % 3]
+    assert [row["formatted"][s - 1:s - 1 + n] for s, n in row["loss_spans"]] == texts
+
+
 QUESTION = "Each morning farmer Tom carries 12 kg of ripe apples past the old mill and sells 12 of them to Tom at the gate before lunch."
 
 

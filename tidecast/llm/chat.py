@@ -8,7 +8,7 @@ texts, those of other templates included, get a backslash after their first char
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BEGIN, START, TEXT, TURN, END, CLOSE = "<s>", "<|start|>", "<|text|>", "<|turn|>", "<|end|>", "</s>"
@@ -31,24 +31,26 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     null turn comes first. Null roles and texts are empty strings; a null conversation id is a
     conversation of its own. loss_spans are (start, length) in code points, from 1, of each text of
     ``train_role``; an empty text has an empty span. No rows give no conversation. A conversation is
-    one row of the output, so its turns are gathered in one row. Other columns are not looked at.
+    one row of the output, so its turns are gathered in one row; places are running sums taken
+    before that, in the same shuffle, so work grows with the number of turns. Other columns are not looked at.
     """
     clean = lambda c: escape(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    turn = F.struct(F.col(turn_col).alias("turn"), clean(role_col).alias("role"), clean(text_col).alias("text"))
-    chats = rows.groupBy(F.col(conv_col).alias("conv")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    turns = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), clean(role_col).alias("role"), clean(text_col).alias("text"))
+    along = Window.partitionBy("conv").orderBy("turn", "role", "text")
+    turns = turns.withColumn("n", F.row_number().over(along)).withColumn("opens", F.coalesce(F.lag("role").over(along) != F.col("role"), F.lit(True)))
+    # The characters between a text's start and the end of the text before it.
+    opening = F.when(F.col("n") == 1, len(BEGIN)).otherwise(len(END)) + len(START + TEXT) + F.char_length("role")
+    size = F.char_length("text")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    start = F.sum(F.when(F.col("opens"), opening).otherwise(len(TURN)) + size).over(upto) - size + 1
+    turns = turns.withColumn("start", start.cast("int"))
+    chats = turns.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("n", "role", "text", "opens", "start"))).alias("turns"))
     # Where a block of one role begins; the blocks are the slices between.
-    starts = """aggregate(sequence(1, size(turns)), cast(array() as array<int>), (found, i) ->
-        CASE WHEN i = 1 OR turns[i - 1].role <> turns[i - 2].role THEN concat(found, array(i)) ELSE found END)"""
+    starts = "transform(filter(turns, t -> t.opens), t -> t.n)"
     blocks = "transform(starts, (s, k) -> slice(turns, s, coalesce(get(starts, k + 1), size(turns) + 1) - s))"
     written = f"""concat('{BEGIN}', array_join(transform(blocks, b -> concat('{START}', b[0].role, '{TEXT}',
         array_join(transform(b, x -> x.text), '{TURN}'), '{END}')), ''), '{CLOSE}')"""
-    # The characters between a text's start and the end of the text before it.
-    lead = f"""CASE WHEN array_contains(starts, i) THEN IF(i = 1, {len(BEGIN)}, {len(END)}) + {len(START) + len(TEXT)} + char_length(turns[i - 1].role)
-        ELSE {len(TURN)} END"""
-    spans = f"""aggregate(sequence(1, size(turns)), named_struct('pos', 1, 'spans', cast(array() as array<struct<start:int,length:int>>)),
-        (a, i) -> named_struct('pos', a.pos + {lead} + char_length(turns[i - 1].text), 'spans',
-            CASE WHEN turns[i - 1].role = train_role THEN concat(a.spans, array(named_struct('start', a.pos + {lead}, 'length', char_length(turns[i - 1].text))))
-            ELSE a.spans END), a -> a.spans)"""
+    spans = "transform(filter(turns, t -> t.role = train_role), t -> named_struct('start', t.start, 'length', char_length(t.text)))"
     chats = chats.withColumn("starts", F.expr(starts)).withColumn("train_role", escape(F.lit(train_role)))
     return chats.withColumn("blocks", F.expr(blocks)).select("conv", F.expr(written).alias("formatted"), F.expr(spans).alias("loss_spans"))
 
