@@ -1,5 +1,6 @@
 """Source mixing against exact fractions, and the pipeline against plain versions of its stages."""
 
+import hashlib
 import sys
 from fractions import Fraction
 from pathlib import Path
@@ -68,6 +69,31 @@ def test_zero_weights_empty_tables_and_seeds(spark):
     assert ids(1) == ids(1) != ids(2)
 
 
+def test_prefixes_equal_one_order_at_every_range_size_with_rows_without_id(spark, monkeypatch):
+    """A hot leaf, half of it without ids, cut into ranges of a few tokens or into one; levels have names used inside."""
+    rows = [(None if k % 2 else k, f"w{k % 50} " * (1 + k % 7), "en" if k % 5 else "fr", "hot" if k % 3 else "s") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, w string")
+    want = {}
+    for key in {r[2:] for r in rows}:
+        leaf = [(i, len(text.split()), str(i) if i is not None else "text:" + hashlib.md5(text.encode()).hexdigest()) for i, text, *rest in rows if tuple(rest) == key]
+        want[key] = leaf
+    for size in (20, 1_000_000):
+        monkeypatch.setattr(mixing, "RANGE", size)
+        out = mixing.mix(docs, {"id": F.col("id"), "w": F.col("w")}, {}, (1, 3)).collect()
+        for key, leaf in want.items():
+            got = [r for r in out if (r["id"], r["w"]) == key]
+            left = sum(r["prefix_tokens"] for r in got)
+            epochs, = {r["full_epochs"] for r in got}
+            expected = []
+            for i, n, k in sorted(leaf, key=lambda x: (hashlib.md5(f"17:{epochs}:{x[2]}".encode()).hexdigest(), x[0] is not None, x[0] or 0, x[1])):
+                if epochs or left > 0:
+                    expected.append((str(i), n, max(0, min(n, left))))
+                left -= n
+            assert sorted((str(r["doc_id"]), r["n_tokens"], r["prefix_tokens"]) for r in got) == sorted(expected)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"n_tokens": F.col("id")}, {})
+
+
 def _rows(relation, columns):
     return sorted(map(tuple, relation), key=repr) if columns is None else sorted((tuple(r[c] for c in columns) for r in relation), key=repr)
 

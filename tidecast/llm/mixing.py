@@ -19,8 +19,11 @@ from tidecast.staging import stage
 
 # Leaves that may be broadcast to the documents; more of them are joined by a shuffle.
 MOST_LEAVES = 50_000
-# An epoch's order is cut into this many ranges; only ranges are summed in one place per leaf.
-RANGES = "substring(place, 1, 3)"
+# An epoch's order is cut into ranges of about this many tokens (16 times fewer at most), whatever the leaf's size:
+# a range is summed in one place, and so are the sums of the ranges of a run, and of the runs.
+RANGE = 1_000_000
+# Hex digits of a place that tell ranges apart at most.
+MOST_DIGITS = 12
 
 
 def _weight(level: str, weights: Mapping[str, int] | None) -> Column:
@@ -85,23 +88,35 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     deliver. Output: the id, the levels, n_tokens (words), full_epochs (whole passes),
     prefix_tokens (tokens taken from the start of the document in the last pass: its first ones if
     the prefix ends inside it) and taken_tokens. Texts without words, null ones included, give no
-    row; so do empty tables. Repeated rows count each. Other columns are not looked at.
+    row; so do empty tables. Repeated rows count each. A row without id has a place by its text.
+    A level named like a column of the output is an error. Other columns are not looked at.
     """
-    names = list(levels)
+    if clash := {id_col, "n_tokens", "full_epochs", "prefix_tokens", "taken_tokens"} & set(levels):
+        raise ValueError(f"levels named like columns of the result: {sorted(clash)}")
+    # Levels have names of their own inside, so that they may be called anything outside.
+    names = [f"level_{k}" for k in range(len(levels))]
+    weights = {n: weights.get(level) for n, level in zip(names, levels)}
+    text = F.coalesce(F.col(text_col), F.lit(""))
     sizes = stage(docs.select(
-        F.col(id_col).alias("id"), *[F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in levels.items()],
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens")), "sizes")
+        F.col(id_col).alias("id"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values())],
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"),
+        F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(text))).alias("key")), "sizes")
     leaves = stage(sizes.groupBy(*names).agg(F.sum("n_tokens").cast("decimal(38,0)").alias("size")), "leaves")
     plan = leaf_budgets(leaves, names, weights, budget_share, max_epochs)
-    plan = stage(plan.select(*names, F.expr("cast(given div size as bigint) AS full_epochs"), F.expr("cast(given % size as bigint) AS rest")), "plan")
+    digits = F.least(F.lit(MOST_DIGITS), F.ceil(F.log(16.0, F.greatest(F.lit(1.0), F.col("size").cast("double") / RANGE)))).cast("int")
+    plan = stage(plan.select(*names, F.expr("cast(given div size as bigint) AS full_epochs"), F.expr("cast(given % size as bigint) AS rest"), digits.alias("digits")), "plan")
     placed = sizes.where("n_tokens > 0").join(broadcast_up_to(plan, MOST_LEAVES), names).withColumn(
-        "place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full_epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
-    placed = placed.withColumn("range", F.expr(RANGES))
-    ranges = placed.groupBy(*names, "range").agg(F.sum("n_tokens").alias("tokens"))
-    along = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = stage(ranges.select(*names, "range", F.coalesce(F.sum("tokens").over(along), F.lit(0)).alias("ahead")), "ranges")
-    inside = Window.partitionBy(*names, "range").orderBy("place", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    taken = placed.join(ranges, [*names, "range"]).withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+        "place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full_epochs").cast("string"), F.col("key"))))
+    # A run is a range without its last digits, the range the digits in all.
+    placed = placed.withColumns({"run": F.expr("substring(place, 1, digits div 2)"), "range": F.expr("substring(place, 1, digits)")})
+    ranges = stage(placed.groupBy(*names, "run", "range").agg(F.sum("n_tokens").alias("tokens")), "ranges")
+    ahead = lambda tokens, order, *within: F.coalesce(F.sum(tokens).over(
+        Window.partitionBy(*names, *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = ranges.groupBy(*names, "run").agg(F.sum("tokens").alias("tokens")).select(*names, "run", ahead("tokens", ["run"]).alias("ahead_of_run"))
+    ranges = ranges.select(*names, "run", "range", ahead("tokens", ["range"], "run").alias("ahead_in_run")).join(runs, [*names, "run"])
+    ranges = stage(ranges.select(*names, "range", (F.col("ahead_of_run") + F.col("ahead_in_run")).alias("ahead")), "ahead")
+    taken = placed.join(ranges, [*names, "range"]).withColumn("ahead", F.col("ahead") + ahead("n_tokens", ["place", "id", "n_tokens"], "range"))
     taken = taken.withColumn("prefix_tokens", F.greatest(F.lit(0), F.least("n_tokens", F.col("rest") - F.col("ahead"))).cast("long"))
     taken = taken.withColumn("taken_tokens", F.col("full_epochs") * F.col("n_tokens") + F.col("prefix_tokens"))
-    return taken.where("taken_tokens > 0").select(F.col("id").alias(id_col), *names, "n_tokens", "full_epochs", "prefix_tokens", "taken_tokens")
+    return taken.where("taken_tokens > 0").select(
+        F.col("id").alias(id_col), *[F.col(n).alias(level) for n, level in zip(names, levels)], "n_tokens", "full_epochs", "prefix_tokens", "taken_tokens")

@@ -139,7 +139,8 @@ def mix_sql(documents: str = "documents") -> str:
 WITH sizes AS (
   SELECT doc_id, CASE WHEN coalesce(length(text), 0) < 1000 THEN 'short' WHEN length(text) < 10000 THEN 'article' ELSE 'long' END AS domain,
     coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n_tokens
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n_tokens,
+    coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, ''))) AS key
   FROM {documents}
 ), leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS HUGEINT) AS size FROM sizes GROUP BY ALL),
 total AS (SELECT CAST(coalesce(sum(size), 0) AS HUGEINT) // 2 AS budget FROM leaves),
@@ -151,7 +152,7 @@ placed AS (
   FROM sizes JOIN leaves USING (domain, lang, source) JOIN s USING (domain, lang, source) WHERE n_tokens > 0
 ), taken AS (
   SELECT *, greatest(0, least(n_tokens, rest - coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source
-    ORDER BY md5('17:' || full_epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS prefix_tokens
+    ORDER BY md5('17:' || full_epochs || ':' || key), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS prefix_tokens
   FROM placed
 )
 SELECT doc_id, domain, lang, source, n_tokens, full_epochs, CAST(prefix_tokens AS BIGINT) AS prefix_tokens,
