@@ -21,7 +21,7 @@ from tidecast.staging import stage
 MOST_LEAVES = 50_000
 # An epoch's order is cut into ranges of about this many tokens (16 times fewer at most), whatever the leaf's size:
 # a range is summed in one place, and so are the sums of the ranges of a run, and of the runs.
-RANGE = 1_000_000
+RANGE = 50_000
 # Hex digits of a place that tell ranges apart at most.
 MOST_DIGITS = 12
 
