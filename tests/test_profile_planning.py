@@ -151,3 +151,24 @@ def test_united_sketches_stay_within_their_bound(spark):
         assert set(got) == set(exact) and got["none"] == 0 and got["few"] == 3
         assert all(abs(got[c] - n) <= sketches.error_bound(size) * n + 1 for c, n in exact.items())
     assert sketches.error_bound(8) > sketches.error_bound() and sketches.error_bound() < 0.04
+
+
+def test_quantiles_of_united_sketches_stay_within_their_rank_error(spark):
+    """Sorted, skewed and hot columns; a load that comes twice replaces its sketch; columns without values have none."""
+    rows = spark.range(70_000).select(
+        (F.col("id") % 7).alias("load"), F.col("id").alias("rising"), F.exp(F.col("id") % 1_000 / 100).alias("skewed"),
+        F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 100).alias("hot"), F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") % 2 == 0, float("nan")).otherwise(F.col("id") % 10).cast("double").alias("half"))
+    for size in (100, sketches.QUANTILE_SIZE):
+        kept = sketches.quantile_sketches(rows, by=("load",), size=size)
+        assert kept.count() == 35
+        again = kept.where("load <> 3").unionByName(sketches.quantile_sketches(rows.where("load = 3"), by=("load",), size=size))
+        got = sketches.united_quantiles(again, (0.0, 0.01, 0.5, 0.99, 1.0))
+        found = {(r["column"], r["p"]): (r["count"], r["value"]) for r in got.collect()}
+        assert {n for (c, _), (n, _) in found.items() if c in ("rising", "skewed", "hot")} == {70_000}
+        assert found["half", 0.5][0] == 35_000 and found["none", 0.5] == (0, None)
+        assert found["rising", 0.0][1] == 0 and found["rising", 1.0][1] == 69_999 and found["hot", 0.0][1] == 0
+        errors = sketches.rank_errors(rows, got).collect()
+        assert len(errors) == 20 and max(r["error"] for r in errors) <= sketches.rank_error_bound(size)
+    assert sketches.rank_error_bound() < 0.01 < sketches.rank_error_bound(100)
+    assert sketches.united_quantiles(sketches.quantile_sketches(rows.limit(0)), (0.5,)).where("value IS NOT NULL").count() == 0

@@ -390,6 +390,17 @@ def distinct_counts_by_sketch(spark, folder):
     return both.select("column", F.col("exact").alias("n_exact"), near.alias("within_bound"))
 
 
+@query
+def quantiles_by_sketch(spark, folder):
+    """Quantile sketches of all numeric columns by year of the order, united: whether ranks are within their bound of the exact ones."""
+    items = tables.order_items(spark, folder)
+    dated = items.withColumn("year", F.year(cal.utc_date(items, "created_at")))
+    kept = stage(sketches.quantile_sketches(dated, profile.numeric_columns(items), by=("year",)), "sketches")
+    united = stage(sketches.united_quantiles(kept, (0.05, 0.25, 0.5, 0.75, 0.95)), "quantiles")
+    near = sketches.rank_errors(items, united).select("column", "p", (F.col("error") <= sketches.rank_error_bound()).alias("within_bound"))
+    return united.select("column", "p", F.col("count").alias("n_values")).join(near, ["column", "p"])
+
+
 @query
 def distinct_dcs(spark, folder):
     return profile.distinct_values(tables.order_items(spark, folder, CENTER), CENTER)

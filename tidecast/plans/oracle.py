@@ -380,3 +380,5 @@ ORACLE["gbt_warm_means"] = f"SELECT * EXCLUDE (refit) FROM ({ORACLE['gbt_recursi
 ORACLE["features_by_sql"] = ORACLE["features_qty_lags"]
 ORACLE["demand_filled_by_sql"] = ORACLE["dense_demand_per_dc"]
 ORACLE["distinct_counts_by_sketch"] = f'SELECT "column", n_distinct AS n_exact, TRUE AS within_bound FROM ({ORACLE["distinct_counts"]})'
+ORACLE["quantiles_by_sketch"] = f"""WITH c AS ({ORACLE['numeric_columns_profile']})
+    SELECT "column", p, n AS n_values, TRUE AS within_bound FROM c CROSS JOIN (SELECT CAST(unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS DOUBLE) AS p)"""
