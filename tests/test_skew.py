@@ -5,6 +5,7 @@ from conftest import SMALL
 from oracle_check import TABLES, compare, connect
 from pyspark.sql import functions as F
 
+from tidecast.operators import profile
 from tidecast.plans.catalog import QUERIES
 from tidecast.plans.oracle import ORACLE
 
@@ -70,3 +71,28 @@ def test_hot_order_is_split_by_the_join(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_duplicates_of_a_hot_order_are_counted_behind_an_exchange(spark):
+    """Grouped where the join left them, all items of the hot order would be in one task, which AQE cannot split then."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB"}
+    # 60,000 items of one order and 20,000 of 2,000 others; every seventh item comes twice, with nulls and zeros of both signs.
+    items = spark.range(0, 80_000, 1, 8).select(
+        F.when(F.col("id") < 60_000, 1).otherwise(2 + F.col("id") % 2_000).alias("order_id"), "id",
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("price"))
+    again = items.where("id % 7 = 0")
+    rows = items.withColumn("x", F.lit(0.0)).union(again.withColumn("x", F.lit(-0.0)))
+    orders = spark.range(1, 2_002, 1, 2).select(F.col("id").alias("order"), (F.col("id") % 3).cast("string").alias("status"))
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = profile.duplicate_rows(rows.join(orders, F.col("order_id") == F.col("order"), "left"))
+        assert df.collect()[0][0] == 11_429
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
